@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import table
 
-from . import bpe, mixing, simhash
+from . import bpe, langid, mixing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,38 @@ SELECT doc_id, text, lang, source, n_chars, copy::BIGINT AS copy,
   ('0x' || substr(md5('{mixing.SEED + 1}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / {float(1 << 52)!r} AS shuffle_key
 FROM copies
 """
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the exact patterns, and all spans."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    line = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, pii.KINDS)), s["kind"] + 1), s["start"], s["end"])
+    joined = lambda spans: F.array_join(F.transform(spans, line), ",")
+    exact = F.filter("spans", lambda s: s["exact"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["exact"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(exact).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def remainder(column: str, by: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32 leaves no 2 by 4."""
+    docs = table(spark, sf_dir, "documents")
+    parser = langid.fit(docs.where(F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))))
+    return langid.predict(docs, parser).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels whose crc32 leaves no 1 by 3."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
