@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import table
 
-from . import bpe, langid, mixing, pii, simhash, toxicity
+from . import bpe, langid, lattice, mixing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings at a cosine of 0.95."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
