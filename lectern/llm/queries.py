@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import table
 
-from . import bpe, langid, lattice, mixing, pii, simhash, toxicity
+from . import ann, bpe, langid, lattice, mixing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all embeddings at a cosine of 0.95."""
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose id is divisible by 20, among all the others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors, 20), vectors.where("vec_id % 20 = 0"), 20)
