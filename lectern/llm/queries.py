@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import table
 
-from . import ann, bpe, langid, lattice, mixing, pii, simhash, toxicity
+from . import ann, bpe, langid, lattice, mixing, pii, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,20 @@ def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every embedding whose id is divisible by 20, among all the others."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(ann.build_index(vectors, 20), vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("problem")
+
+
+ORACLES["op6_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS digest FROM p),
+g AS (SELECT digest, n, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY digest, n)
+SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN g.last IS NULL OR g.last = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.last <> d.page_id THEN g.last END AS refers_to
+FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
+"""
