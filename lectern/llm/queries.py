@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.session import table
 
-from . import ann, bpe, langid, lattice, mixing, pii, simhash, toxicity, warc
+from . import ann, bpe, langid, lattice, mixing, pii, simhash, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,10 @@ SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
   CASE WHEN g.last <> d.page_id THEN g.last END AS refers_to
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
 """
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes that 400-byte strings repeat."""
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
