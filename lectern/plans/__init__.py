@@ -1 +1,2 @@
 
+"""Queries over the driver's tables; importing a module of this package registers its queries."""
