@@ -22,6 +22,8 @@ from .common import bounded, settle
 LENGTH, GRAM = 400, 64
 #: Regions that share an anchor and go to one shard at most; anchors with more are settled by hashes of whole strings.
 SHARD_GROUP = 256
+#: Neighbouring starts of strings that such an anchor's regions are first compared by together.
+BLOCK = 16
 #: Bytes of text sorted at once in a task, and bytes of queued suffixes held in memory before they go to disk.
 SORT_BYTES, QUEUE_BYTES = 2 << 20, 32 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -415,20 +417,61 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+def _hash(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of a region in blocks of BLOCK neighbouring starts: what all strings of a block share, and what they
+    cover together, as hashes; near and far are how far before the anchor the block's strings start."""
+    for whole in batches:
+        for s in range(0, whole.num_rows, 500):
+            out: dict[str, list] = {k: [] for k in ("a", "r", "block", "near", "far", "core", "outer")}
+            for anchor, kind, lead, content in zip(*(whole.slice(s, 500).column(i).to_pylist() for i in range(4)), strict=True):
+                least, most = max(0, LENGTH - (len(content) - lead)), min(LENGTH - GRAM, lead)
+                for j in range(least // BLOCK, most // BLOCK + 1):
+                    near, far, at = max(least, j * BLOCK), min(most, j * BLOCK + BLOCK - 1), lead - j * BLOCK
+                    for k, v in zip(out, (anchor, kind, j, near, far, _hash(content[at : at - BLOCK + 1 + LENGTH]), _hash(content[lead - far : lead - near + LENGTH])), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("block", "near", "far") else pa.int64()) for k, v in out.items()], list(out))
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of every string of LENGTH bytes of a region, and where it starts before the anchor."""
+    """The hash of every string of LENGTH bytes that starts near to far before the anchor of a region."""
     for whole in batches:
-        for s in range(0, whole.num_rows, 64):
+        for s in range(0, whole.num_rows, 1000):
             a, r, lo, h = [], [], [], []
-            for anchor, kind, lead, content in zip(*(whole.slice(s, 64).column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(content) - LENGTH + 1
+            for anchor, kind, near, far, lead, content in zip(*(whole.slice(s, 1000).column(i).to_pylist() for i in range(6)), strict=True):
+                n = far - near + 1
                 a += [anchor] * n
                 r += [kind] * n
-                lo += range(-lead, n - lead)
-                h += [int.from_bytes(hashlib.blake2b(content[i : i + LENGTH], digest_size=8).digest(), "big", signed=True) for i in range(n)]
+                lo += range(-far, -near + 1)
+                h += [_hash(content[lead - d : lead - d + LENGTH]) for d in range(far, near - 1, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(lo, pa.int32()), pa.array(h, pa.int64())], ["a", "r", "lo", "h"])
 
 
+def _several(df: DataFrame, *key: str) -> DataFrame:
+    """The keys that more than one region has; added up per task before they are shuffled."""
+    return settle(df.groupBy(*key).agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select(*key, "x"))
+
+
+def _crowded(regions: DataFrame, tasks: int) -> DataFrame:
+    """(a, r, lo, hi) for regions of anchors that have too many for one shard, by counting hashes: of blocks of strings
+    first, and of single strings only where a block's strings may repeat but not all of them do so together."""
+    blocks = regions.select("a", "r", "lead", "content").repartition(tasks, F.xxhash64("r")).mapInArrow(_blocks, "a long, r long, block int, near int, far int, core long, outer long")
+    blocks = settle(blocks)
+    all_of, some_of = ("a", "near", "far", "outer"), ("a", "block", "core")
+    whole = _several(blocks, *all_of)
+    done = blocks.join(whole, [*all_of], "left_semi").select("a", "r", (-F.col("far")).alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi"))
+    # one block stands for all that are equal as a whole
+    rest = settle(blocks.join(whole, [*all_of], "left_anti").select(*blocks.columns).union(blocks.join(whole, [*all_of]).where("r = x").select(*blocks.columns)))
+    rest = settle(rest.join(_several(rest, *some_of), [*some_of], "left_semi").select("a", "r", "near", "far"))
+    texts = rest.join(regions.select("a", "r", "lead", "content"), ["a", "r"]).select("a", "r", "near", "far", "lead", "content")
+    strings = settle(texts.repartition(tasks, F.xxhash64("r", "near")).mapInArrow(_strings, "a long, r long, lo int, h long"))
+    again = strings.join(_several(strings, "a", "lo", "h"), ["a", "lo", "h"], "left_semi")
+    return done.union(again.select("a", "r", "lo", (F.col("lo") + LENGTH).alias("hi")))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc, text, spans as [lo, hi]) to what is left of each text."""
     for b in batches:
@@ -467,7 +510,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty. Rows that repeat a doc_id with another text are documents of their own; rows that
     repeat both are copies of each other. An empty table gives no rows. Other columns are ignored.
     """
-    bounded(docs.sparkSession)
+    tasks = int(bounded(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     raw = settle(rows.select("doc", "mark", "text").mapInArrow(_raw, "doc long, mark long, a long, r long, at int"))
@@ -480,13 +523,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wanted")
     regions = settle(texts.mapInArrow(_regions, "a long, r long, owner long, lead int, at int, many boolean, content binary"))
     few = regions.where("not many").select("a", "r", "owner", "lead", "at", "content")
-    cover = few.repartition("a").sortWithinPartitions("a", "r").mapInArrow(_sorted, "a long, r long, lo int, hi int")
+    cover = few.repartition(tasks, "a").sortWithinPartitions("a", "r").mapInArrow(_sorted, "a long, r long, lo int, hi int")
     cover = cover.union(kinds.where("n > 1").select("a", "r", F.lit(GRAM - LENGTH).alias("lo"), F.lit(LENGTH).alias("hi")))
     if not several.where(F.col("kinds") > SHARD_GROUP).isEmpty():
-        crowd = regions.where("many").select("a", "r", "lead", "content").repartition(F.xxhash64("r"))
-        strings = settle(crowd.mapInArrow(_strings, "a long, r long, lo int, h long"))
-        again = settle(strings.groupBy("a", "lo", "h").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select("a", "lo", "h"))
-        cover = cover.union(strings.join(again, ["a", "lo", "h"], "left_semi").select("a", "r", "lo", (F.col("lo") + LENGTH).alias("hi")))
+        cover = cover.union(_crowded(regions.where("many"), tasks))
     cover = settle(cover)
     marks = seen.join(cover, ["a", "r"]).select("doc", "mark", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     marks = settle(marks.distinct().groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")))
