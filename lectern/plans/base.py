@@ -97,6 +97,8 @@ frames AS (
 def on_base(sql: str) -> str:
     """SQL that may name the tables of this module; it may begin with WITH."""
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {PRELUDE}, {sql[15:]}"
     if sql.upper().startswith("WITH "):
         return f"WITH {PRELUDE}, {sql[5:]}"
     return f"WITH {PRELUDE} {sql}"
