@@ -86,3 +86,88 @@ def word_count(c: Column) -> Column:
 
 def speaker_tag(speaker_id: Column) -> Column:
     return F.concat(F.lit("speaker_"), (speaker_id - 1).cast("string"))
+
+
+def content_words(c: Column, stop: tuple[str, ...]) -> Column:
+    """Words of letters and apostrophes in lower case, stop words left out."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop))
+
+
+def script_fraction(c: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Share of the characters that aren't white space inside the ranges of code points; null where there are none."""
+    inside = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    solid = F.regexp_replace(c, r"\s", "")
+    return F.when(F.length(solid) > 0, F.length(F.regexp_replace(solid, f"[^{inside}]", "")) / F.length(solid))
+
+
+def detokenised(pieces: Column) -> Column:
+    """Sentence pieces joined, the word mark read as a blank."""
+    return F.trim(F.replace(F.array_join(pieces, ""), F.lit("▁"), F.lit(" ")))
+
+
+def from_byte_pieces(pieces: Column) -> Column:
+    """As detokenised, but pieces like <0xE9> are bytes; one leading blank goes."""
+    raw = F.transform(pieces, lambda p: F.when(p.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.unhex(F.substring(p, 4, 2))).otherwise(F.encode(F.replace(p, F.lit("▁"), F.lit(" ")), "UTF-8")))
+    joined = F.aggregate(raw, F.lit("").cast("binary"), lambda a, b: F.concat(a, b))
+    return F.regexp_replace(F.decode(joined, "UTF-8"), "^ ", "")
+
+
+def byte_characters() -> dict[str, int]:
+    """Which byte each printable character of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest
+    in order from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def from_byte_level(c: Column) -> Column:
+    """Text of a byte-level token: each character is a byte."""
+    table = byte_characters()
+    back = F.translate(c, "".join(table), "".join(map(chr, table.values())).replace("\0", "\1"))
+    return F.decode(F.encode(back, "ISO-8859-1"), "UTF-8")
+
+
+def clip_runs(lengths: Column, total: Column) -> Column:
+    """How much of each run fits a text of total characters: runs follow one another, later ones get nothing."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], F.greatest(F.lit(0), F.least(n, total - acc["at"]))).alias("out"))
+
+    return F.aggregate(F.transform(lengths, lambda x: x.cast("int")), start, step, lambda acc: acc["out"])
+
+
+def split_by_ratio(c: Column, part: Column, whole: Column) -> Column:
+    """A struct of head and tail: text is cut at part / whole of its length, back at the last blank before, if there is one."""
+    at = F.floor(F.length(c) * part / whole).cast("int")
+    head = F.substring(c, F.lit(1), at)
+    blank = F.length(head) - F.instr(F.reverse(head), " ") + 1
+    cut = F.when(F.instr(head, " ") > 0, blank).otherwise(at)
+    return F.struct(F.trim(F.substring(c, F.lit(1), cut)).alias("head"), F.trim(F.substring(c, cut + 1, F.length(c))).alias("tail"))
+
+
+def iso(c: Column) -> Column:
+    """Language code in lower case; two old codes are replaced, blank stays."""
+    low = F.lower(F.trim(c))
+    return F.when(low == "iw", "he").when(low == "jw", "jv").when(low == "", c).otherwise(low)
+
+
+def template(c: Column, fills: dict[str, list[str]], key: Column, seed: int = 0) -> Column:
+    """Placeholders {name} filled with choices picked by a hash of key, name and seed."""
+    for name, choices in sorted(fills.items()):
+        pick = F.pmod(F.crc32(F.concat_ws(":", key.cast("string"), F.lit(name), F.lit(seed).cast("string")).cast("binary")), F.lit(len(choices))).cast("int")
+        c = F.replace(c, F.lit("{" + name + "}"), F.get(F.array(*map(F.lit, choices)), pick))
+    return c
+
+
+def language_prefix(c: Column, names: list[str]) -> Column:
+    """The language a text says it is in: `language <name>`, the longest known name first, else one capitalised word."""
+    known = "|".join(sorted(names, key=lambda n: (-len(n), n)))
+    return F.coalesce(F.nullif(F.regexp_extract(c, rf"(?i)^\s*language\s+({known})", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"^\s*language\s+([A-Z][a-z]+)", 1), F.lit("")))
+
+
+def lid_summary(names: Column, probabilities: Column, ambiguous: Column) -> Column:
+    """`Name (93 %)`, or `ambiguous: ` with the first three."""
+    each = F.zip_with(names, probabilities, lambda n, p: F.format_string("%s (%d %%)", n, F.bround(p * 100).cast("int")))
+    return F.when(ambiguous, F.concat(F.lit("ambiguous: "), F.array_join(F.slice(each, 1, 3), ", "))).otherwise(F.get(each, F.lit(0)))

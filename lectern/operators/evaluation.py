@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def prf(gold: Column, found: Column) -> Column:
@@ -52,14 +53,14 @@ def lcs(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("sub int, del int, ins int, n_ref int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("sub", "del", "ins", "n_ref")]))
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edits between two texts by words; texts are compared as they are, so normalise them first."""
     rows = [(*edits(r := (a or "").split(), (b or "").split()), len(r)) for a, b in zip(ref, hyp, strict=True)]
     return pd.DataFrame(rows, columns=["sub", "del", "ins", "n_ref"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of words; 1 where both have none, 0 where one has none."""
     out = []

@@ -1,2 +1,10 @@
+"""Queries over the driver's tables; load() registers those of all modules."""
 
-"""Queries over the driver's tables; importing a module of this package registers its queries."""
+from importlib import import_module
+
+MODULES = ("store", "sequences", "aggregates", "scalars", "models", "audio")
+
+
+def load() -> None:
+    for m in MODULES:
+        import_module(f"lectern.plans.{m}")
