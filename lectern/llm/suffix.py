@@ -26,6 +26,8 @@ SHARD_GROUP = 256
 BLOCK = 16
 #: Bytes of text sorted at once in a task, and bytes of queued suffixes held in memory before they go to disk.
 SORT_BYTES, QUEUE_BYTES = 2 << 20, 32 << 20
+#: Starts of strings before an anchor are told apart by so many bytes at first: strings of one stride share a core.
+STRIDE, CORES = 64, 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -56,39 +58,55 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the anchors of all strings of length bytes in a text."""
-    if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    out_h, out_p = [], []
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, cores) of the anchors of all strings of length bytes in a text.
+
+    Strings that start STRIDE * j up to STRIDE * (j + 1) bytes before the anchor share a core around it; cores [anchor, j]
+    are 16 bits of its hash, or 0 where the text doesn't hold it.
+    """
+    n = len(data)
+    if n < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, CORES), np.int64)
+    out = []
     step = 4 << 20
-    for lo in range(0, len(data) - length + 1, step):  # windows of long texts in turn
-        h = gram_hashes(data[lo : lo + step + length - 1], gram)
-        packed = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        place = np.unique(sliding_minimum(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out_h.append(h[place])
-        out_p.append(place + lo)
-    h, p = np.concatenate(out_h), np.concatenate(out_p)
+    for lo in range(0, n - length + 1, step):  # windows of long texts in turn
+        left = max(0, lo - length)
+        h = gram_hashes(data[left : lo + step + 2 * length], gram)
+        own = h[lo - left : lo - left + step + length - gram]
+        packed = (own & ~np.uint64(0xFFFFFFFF)) | np.arange(len(own), dtype=np.uint64)
+        place = np.unique(sliding_minimum(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
+        start = place[:, None] - STRIDE * np.arange(CORES)
+        size = length - STRIDE + 1
+        there = (start >= 0) & (start + size <= n)
+        at = np.where(there, start - left, 0)
+        core = np.zeros(at.shape, np.uint64)
+        for d in [*range(0, size - gram, gram), size - gram]:
+            core = (core ^ h[np.minimum(at + d, len(h) - 1)]) * MULTIPLIER
+        out.append((h[place - left], place, np.where(there, np.maximum((core >> np.uint64(48)).astype(np.int64), 1), 0)))
+    h, p, c = (np.concatenate(x) for x in zip(*out, strict=True))
     _, first = np.unique(p, return_index=True)
-    return h[first], p[first]
+    return h[first], p[first], c[first]
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text hash, anchor, region, place) of every anchor of every text."""
+    """(doc, text hash, anchor, region, place, cores) of every anchor of every text."""
     for b in batches:
-        docs, marks, hs, rs, ps = [], [], [], [], []
+        docs, marks, hs, rs, ps, cs = [], [], [], [], [], []
         for k in range(b.num_rows):
             text = (b.column(2)[k].as_py() or "").encode("utf-8", "surrogatepass")
-            h, p = anchors(np.frombuffer(text, np.uint8))
+            h, p, c = anchors(np.frombuffer(text, np.uint8))
             rs += [_region(text, at) for at in p.tolist()]
             hs.append(h)
             ps.append(p)
+            cs.append(c)
             docs.append(np.full(len(h), b.column(0)[k].as_py()))
             marks.append(np.full(len(h), b.column(1)[k].as_py()))
         if hs and sum(map(len, hs)):
+            c = np.concatenate(cs)
+            packed = [sum(c[:, j] << (16 * (j % 3)) for j in range(first, first + 3)) for first in (0, 3)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(marks), pa.int64()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(rs, pa.int64()), pa.array(np.concatenate(ps).astype(np.int32))],
-                ["doc", "mark", "a", "r", "at"],
+                [pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(marks), pa.int64()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(rs, pa.int64()), pa.array(np.concatenate(ps).astype(np.int32)), pa.array(packed[0]), pa.array(packed[1])],
+                ["doc", "mark", "a", "r", "at", "c0", "c1"],
             )
 
 
@@ -376,6 +394,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = int.from_bytes(hashlib.blake2b(f"{b.column(0)[k].as_py()}:{b.column(1)[k].as_py()}".encode(), digest_size=8).digest(), "big", signed=True)
             for w in b.column(3)[k].as_py():
                 lo, hi = _bounds(len(text), w["at"])
+                lo, hi = max(lo, w["at"] - STRIDE * (w["most"] + 1) + 1), min(hi, w["at"] - STRIDE * w["least"] + LENGTH)
                 for key, v in zip(rows, (w["a"], w["r"], owner, w["at"] - lo, w["at"], w["many"], text[lo:hi]), strict=True):
                     rows[key].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(rows["a"], pa.int64()), pa.array(rows["r"], pa.int64()), pa.array(rows["owner"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["at"], pa.int32()), pa.array(rows["many"], pa.bool_()), pa.array(rows["content"], pa.binary())], list(rows))
@@ -513,19 +532,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = int(bounded(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    raw = settle(rows.select("doc", "mark", "text").mapInArrow(_raw, "doc long, mark long, a long, r long, at int"))
+    raw = settle(rows.select("doc", "mark", "text").mapInArrow(_raw, "doc long, mark long, a long, r long, at int, c0 long, c1 long"))
     shared = settle(raw.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     seen = settle(raw.join(shared, "a", "left_semi"))
-    kinds = settle(seen.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "at")).alias("one")))
-    several = settle(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    differ = kinds.join(several, "a").select("a", "r", "one.*", (F.col("kinds") > SHARD_GROUP).alias("many"))
-    wanted = settle(differ.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "r", "at", "many")).alias("wanted")))
+    kinds = settle(seen.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "at", "c0", "c1")).alias("one")))
+    several = settle(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a"))
+    differ = kinds.join(several, "a").select("a", "r", "one.*")
+    # strings that repeat share a core: regions none of whose cores another one has are done, others are narrowed
+    core = lambda j: F.shiftright(F.col(f"c{j // 3}"), 16 * (j % 3)).bitwiseAND(F.lit(0xFFFF))
+    cores = differ.select("a", "r", F.posexplode(F.array(*[core(j) for j in range(CORES)])).alias("j", "core")).where("core <> 0")
+    cores = settle(cores)
+    live = cores.join(_several(cores, "a", "j", "core"), ["a", "j", "core"], "left_semi").groupBy("a", "r").agg(F.min("j").alias("least"), F.max("j").alias("most"))
+    live = settle(live)
+    many = settle(live.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_GROUP).select("a", F.lit(True).alias("many")))
+    some = live.join(many, "a", "left").join(differ.select("a", "r", "doc", "mark", "at"), ["a", "r"])
+    wanted = settle(some.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "r", "at", "least", "most", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted")))
     texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wanted")
     regions = settle(texts.mapInArrow(_regions, "a long, r long, owner long, lead int, at int, many boolean, content binary"))
     few = regions.where("not many").select("a", "r", "owner", "lead", "at", "content")
     cover = few.repartition(tasks, "a").sortWithinPartitions("a", "r").mapInArrow(_sorted, "a long, r long, lo int, hi int")
     cover = cover.union(kinds.where("n > 1").select("a", "r", F.lit(GRAM - LENGTH).alias("lo"), F.lit(LENGTH).alias("hi")))
-    if not several.where(F.col("kinds") > SHARD_GROUP).isEmpty():
+    if not many.isEmpty():
         cover = cover.union(_crowded(regions.where("many"), tasks))
     cover = settle(cover)
     marks = seen.join(cover, ["a", "r"]).select("doc", "mark", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
