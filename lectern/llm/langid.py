@@ -89,7 +89,7 @@ class Parser:
             tables.append(table)
             self.roots.append(at * self.width)
             at += len(step)
-        self.table = np.concatenate(tables).ravel().astype(np.int32)
+        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.empty(0, np.int32)
 
     def phrases(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases [text, language] of the texts data[start:end], summed over blocks of BLOCK bytes."""
