@@ -14,10 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, tidy
 
 #: Pieces whose ids a Python worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_table() -> dict[int, str]:
@@ -80,7 +80,7 @@ class Codec:
         return lead[starts].astype(np.int32), (lead[np.maximum(ends - 1, 0)] + 1).astype(np.int32)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return rows.mapInArrow(tidy(run, codec.cache_clear), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -119,7 +119,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], ["doc_id", "bytes", "text"])
 
     bounded(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, codec.cache_clear), "doc_id long, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,4 +138,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run, codec.cache_clear), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

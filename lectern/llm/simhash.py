@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, components, forest, pairs_within, settle
+from .common import bounded, components, forest, pairs_within, settle, tidy
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 WORDS, SEED, BITS = 3, 42, 3
@@ -139,10 +139,10 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, bits:
         raise ValueError("two halves with one deleted bit find at most three differing bits")
     bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    prints = settle(rows.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"))
+    prints = settle(rows.mapInArrow(tidy(_fingerprints(words, seed)), "doc_id long, fp long"))
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     keyed = classes.where("id is not null").select("id", "fp").mapInArrow(_variants, "key long, fp long, id long")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "a long, b long")
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links(bits)), "a long, b long")
     groups = components(edges)
     named = settle(classes.join(groups, classes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
