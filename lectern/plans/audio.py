@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import re
+import wave
+import zipfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions import audio
-from lectern.operators import decoding, sequence
+from lectern.operators import decoding, scorers, sequence
 from lectern.session import table
+from lectern.sources import exports, readers
 from lectern.streaming import stateful
 
 from .base import base_query, frames
@@ -113,3 +119,89 @@ def _(spark, d):
     seen = f.groupBy("audio_id").agg(F.count("*").alias("seen"))
     s = r.join(seen, "audio_id").select("audio_id", F.col("first").alias("a"), (F.col("last") + 1).alias("b"), (F.col("last") + 1).cast("double").alias("end"), "seen")
     return stateful.stable_segments(s, "audio_id", "seen", frame=1.0).select("audio_id", "a", "b")
+
+
+def _transcripts(spark, d):
+    from .store import transcript
+
+    return exports.office_files(transcript(spark, d), "audio_id")
+
+
+def _entries(spark, d, column, name, pattern):
+    """How often a pattern occurs in a part of each file."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [zipfile.ZipFile(io.BytesIO(b)).read(name).decode() for b in pdf[column]]
+            yield pd.DataFrame({"audio_id": pdf["audio_id"], "n": [len(re.findall(pattern, x)) for x in found]})
+
+    return _transcripts(spark, d).mapInPandas(run, "audio_id long, n long")
+
+
+@base_query("snk_xlsx", "SELECT audio_id, count(*) + 1 AS n FROM cards WHERE NOT suppressed GROUP BY audio_id")
+def _(spark, d):
+    return _entries(spark, d, "xlsx", "xl/worksheets/sheet1.xml", "<row>")
+
+
+@base_query("snk_docx", "SELECT audio_id, 2 * count(*) AS n FROM cards WHERE NOT suppressed GROUP BY audio_id")
+def _(spark, d):
+    return _entries(spark, d, "docx", "word/document.xml", "<w:p>")
+
+
+@query("src_arpa_lm", "SELECT 1 AS ord, p_partkey::VARCHAR AS gram, -(p_size / 10.0::DOUBLE) AS logp, -0.5::DOUBLE AS backoff FROM part WHERE p_partkey < 16384 UNION ALL SELECT 0, '', -9.0, 0")
+def _(spark, d):
+    p = table(spark, d, "part")
+    lines = p.select((F.col("p_partkey") + 10).alias("pos"), F.concat_ws("\t", (-(F.col("p_size") / F.lit(10.0))).cast("string"), F.col("p_partkey").cast("string"), F.lit("-0.5")).alias("line"))
+    head = spark.createDataFrame([(0, "\\data\\"), (1, "\\1-grams:"), (2, "-9.0\t<unk>"), (3, "-1.0\t<s>\t-0.2")], "pos long, line string")
+    e = readers.arpa_entries(head.union(lines))
+    return e.select("order", F.array_join(F.transform("gram", lambda x: x.cast("string")), " ").alias("gram"), "logp", "backoff").withColumnRenamed("order", "ord")
+
+
+@query("bat_oom_halving", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def _(spark, d):
+    """A scorer that takes no more than three items at once, asked with sixteen."""
+
+    def make():
+        def scorer(items):
+            if len(items) > 3:
+                raise MemoryError
+            return [np.array([x.sum()]) for x in items]
+
+        return scorer
+
+    return scorers.score(table(spark, d, "embeddings"), "vec_id", "embedding", make).select("vec_id", F.round(F.col("scores")[0], 6).alias("total"))
+
+
+@query("st_vad_recurrent")
+def _(spark, d):
+    """A stand-in scorer whose state is a running mean of the windows' energy."""
+
+    def make():
+        def step(w, state):
+            state = 0.9 * state + 0.1 * np.array([np.mean(w * w)])
+            return float(state[0]), state
+
+        return lambda items: [np.array(scorers.recurrent(x, step, np.zeros(1))) for x in items]
+
+    x = _signals(spark, d).select("audio_id", F.flatten(F.transform("x", lambda v: F.array_repeat(v, 40))).alias("x"))
+    return scorers.score(x, "audio_id", "x", make).select("audio_id", F.size("scores").alias("n"), F.round(F.element_at("scores", -1), 6).alias("last"))
+
+
+@query("src_audio_file", "SELECT user_id AS audio_id, 16000 AS rate, 1 AS channels, count(*) AS n FROM events GROUP BY user_id")
+def _(spark, d):
+    """WAV files written from the signals, then decoded."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for a, x in zip(pdf["audio_id"], pdf["x"], strict=True):
+                f = io.BytesIO()
+                with wave.open(f, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(16000)
+                    w.writeframes((np.clip(np.asarray(x, float), -1, 1) * 32767).astype("<i2").tobytes())
+                rows.append((a, *readers.decode_wav(f.getvalue())[:2], len(x)))
+            yield pd.DataFrame(rows, columns=["audio_id", "rate", "channels", "n"])
+
+    return _signals(spark, d).mapInPandas(run, "audio_id long, rate long, channels long, n long")

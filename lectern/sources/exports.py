@@ -55,3 +55,61 @@ def free_name(taken: DataFrame, stem: str, ext: str) -> Column | str:
     held = {r["n"] for r in n.collect()}
     k = next(i for i in range(len(held) + 1) if i not in held)
     return f"{stem}.{ext}" if k == 0 else f"{stem}_{k}.{ext}"
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, xml in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + xml)
+    return out.getvalue()
+
+
+_TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
+_RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_APP = "application/vnd.openxmlformats-officedocument"
+
+
+def _package(main: str, kind: str, more: dict[str, str], also: str = "") -> bytes:
+    types = f'<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/{main}" ContentType="{_APP}.{kind}.main+xml"/>{also}</Types>'
+    rels = f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="{main}"/></Relationships>'
+    return _zipped({"[Content_Types].xml": types, "_rels/.rels": rels} | more)
+
+
+def xlsx(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet with a header and rows (speaker, start, end, text); an error where there are none."""
+    from xml.sax.saxutils import escape
+
+    if not rows:
+        raise ValueError("there are no rows to export")
+    line = lambda cells: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(c))}</t></is></c>' for c in cells) + "</row>"
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f"<worksheet {ns}><sheetData>{line(('speaker_name', 'start_time', 'end_time', 'content'))}{''.join(map(line, rows))}</sheetData></worksheet>"
+    book = f'<workbook {ns} xmlns:r="{_OFFICE}"><sheets><sheet name="Transcript" sheetId="1" r:id="r1"/></sheets></workbook>'
+    rels = f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
+    return _package("xl/workbook.xml", "spreadsheetml.sheet", {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": sheet}, f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_APP}.spreadsheetml.worksheet+xml"/>')
+
+
+def docx(rows: list[tuple]) -> bytes:
+    """A document with a bold line of speaker and times, and a paragraph of text, for each row."""
+    from xml.sax.saxutils import escape
+
+    para = lambda t, bold: f'<w:p><w:r>{"<w:rPr><w:b/></w:rPr>" if bold else ""}<w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    body = "".join(para(f"{s} [{a} - {b}]", True) + para(t, False) for s, a, b, t in rows)
+    return _package("word/document.xml", "wordprocessingml.document", {"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'})
+
+
+def office_files(t: DataFrame, within: str) -> DataFrame:
+    """(within, xlsx binary, docx binary) of each recording's cues (speaker, start, end as text, text) in order."""
+    import pandas as pd
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values(["order", "id"])[["speaker", "start", "end", "text"]].itertuples(index=False, name=None))
+        return pd.DataFrame({within: [pdf[within].iloc[0]], "xlsx": [xlsx(rows)], "docx": [docx(rows)]})
+
+    shaped = t.select(within, "id", "speaker", F.col("start").alias("order"), times.hms(F.col("start")).alias("start"), times.hms(F.col("end")).alias("end"), "text")
+    return shaped.groupBy(within).applyInPandas(make, f"{within} long, xlsx binary, docx binary")

@@ -37,7 +37,11 @@ def arpa(spark: SparkSession, path: str) -> DataFrame:
     """(order, gram array<int>, logp, backoff) of an ARPA file, gzip or not. Entries with words that aren't ids below
     2^14 are left out; <unk> comes as an order of 0. Lines keep their order by file position, so one file is one task."""
     whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    lines = whole.select(F.posexplode("lines").alias("pos", "line"))
+    return arpa_entries(whole.select(F.posexplode("lines").alias("pos", "line")))
+
+
+def arpa_entries(lines: DataFrame) -> DataFrame:
+    """arpa() of (pos, line)."""
     mark = F.regexp_extract("line", r"^\\(\d+)-grams:", 1).try_cast("int")
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     sections = lines.withColumn("order", F.last(F.when(F.col("line").startswith("\\"), F.coalesce(mark, F.lit(0))), ignorenulls=True).over(w))
@@ -49,6 +53,20 @@ def arpa(spark: SparkSession, path: str) -> DataFrame:
     return good.select("order", "gram", "logp", "backoff").union(unk)
 
 
+def decode_wav(content: bytes) -> tuple[int, int, np.ndarray]:
+    """Rate, channels and interleaved samples in [-1, 1] of a PCM WAV file."""
+    with wave.open(io.BytesIO(content)) as f:
+        width, raw = f.getsampwidth(), f.readframes(f.getnframes())
+        if width == 1:
+            x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+        elif width == 3:
+            b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+            x = (np.pad(b, ((0, 0), (1, 0))).view("<i4").ravel() / np.float32(1 << 31)).astype(np.float32)
+        else:
+            x = (np.frombuffer(raw, f"<i{width}") / np.float32(1 << (8 * width - 1))).astype(np.float32)
+        return f.getframerate(), f.getnchannels(), x
+
+
 def wav(spark: SparkSession, path: str) -> DataFrame:
     """(path, rate, channels, samples array<float>) of PCM WAV files, interleaved, in [-1, 1]; rate is null for what can't be read."""
 
@@ -57,16 +75,7 @@ def wav(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    with wave.open(io.BytesIO(content)) as f:
-                        width, raw = f.getsampwidth(), f.readframes(f.getnframes())
-                        if width == 1:
-                            x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-                        elif width == 3:
-                            b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-                            x = (np.pad(b, ((0, 0), (1, 0))).view("<i4").ravel() / np.float32(1 << 31)).astype(np.float32)
-                        else:
-                            x = (np.frombuffer(raw, f"<i{width}") / np.float32(1 << (8 * width - 1))).astype(np.float32)
-                        rows.append((p, f.getframerate(), f.getnchannels(), x))
+                    rows.append((p, *decode_wav(content)))
                 except (wave.Error, EOFError, ValueError):
                     rows.append((p, None, None, None))
             yield pd.DataFrame(rows, columns=["path", "rate", "channels", "samples"]).astype({"rate": "Int32", "channels": "Int32"})
