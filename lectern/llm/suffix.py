@@ -541,7 +541,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # strings that repeat share a core: regions none of whose cores another one has are done, others are narrowed
     core = lambda j: F.shiftright(F.col(f"c{j // 3}"), 16 * (j % 3)).bitwiseAND(F.lit(0xFFFF))
     cores = differ.select("a", "r", F.posexplode(F.array(*[core(j) for j in range(CORES)])).alias("j", "core")).where("core <> 0")
-    cores = settle(cores)
     live = cores.join(_several(cores, "a", "j", "core"), ["a", "j", "core"], "left_semi").groupBy("a", "r").agg(F.min("j").alias("least"), F.max("j").alias("most"))
     live = settle(live)
     many = settle(live.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_GROUP).select("a", F.lit(True).alias("many")))
