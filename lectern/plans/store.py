@@ -383,7 +383,7 @@ def _(spark, d):
 
 @base_query("join_point_in_interval", "WITH pts AS (SELECT user_id AS audio_id, event_id, value / 8 AS t FROM events WHERE user_id < 100), segs AS (SELECT audio_id, result_id AS seg_id, start_time AS st, end_time AS en FROM results), a AS (SELECT p.audio_id, p.event_id, s.seg_id, CASE WHEN s.st <= p.t AND p.t < s.en THEN 0 WHEN s.st > p.t THEN 1 ELSE 2 END AS k, s.st FROM pts p JOIN segs s USING (audio_id)), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k, CASE WHEN k = 2 THEN -st ELSE st END, seg_id) AS rn FROM a) SELECT audio_id, event_id, seg_id, ['inside', 'next', 'last'][k + 1] AS how FROM r WHERE rn = 1")
 def _(spark, d):
-    pts = table(spark, d, "events").where("user_id < 100").select(F.col("user_id").alias("audio_id"), "event_id", (F.col("value") / 8).alias("t"))
+    pts = table(spark, d, "events").select(F.col("user_id").alias("audio_id"), "event_id", (F.col("value") / 8).alias("t"))
     segs = _asr(spark, d).withColumnRenamed("result_id", "seg_id")
     return joins.segment_at(pts, segs, "audio_id", "event_id", "t", "seg_id")
 
