@@ -85,24 +85,34 @@ def _lm(spark, d):
     return c.where("n > 1").select("gram", (-F.lit(1.0) / F.col("n")).alias("logp"), (-F.lit(0.5) / F.col("n")).alias("backoff"))
 
 
+def _at_each_word(spark, d):
+    """(id, pos, gram): every word of every turn, with as many of the two words before it as there are. Scores depend on
+    the gram alone, so they are made once for each different one."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.split(F.lower("text"), " ").alias("w"))
+    at = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " "))
+    return c.where("w is not null").select("id", F.posexplode(at).alias("pos", "gram"))
+
+
 _LM = f"{_GRAMS}, lm AS (SELECT gram, -1.0::DOUBLE / n AS p, -0.5::DOUBLE / n AS b FROM c WHERE ord <= 3 AND n > 1), q AS (SELECT conv_id * 1000 + turn AS id, string_split(lower(text), ' ')[1:3] AS w FROM conversations WHERE len(string_split(text, ' ')) >= 3)"
 _LM_SCORE = "CASE WHEN p3 IS NOT NULL THEN p3 WHEN p2 IS NOT NULL THEN p2 + coalesce(b3, 0) WHEN p1 IS NOT NULL THEN p1 + coalesce(b2, 0) + coalesce(b3, 0) ELSE -10.0::DOUBLE END"
 
 
 @query("lm_backoff", f"WITH {_LM}, j AS (SELECT id, (SELECT p FROM lm WHERE gram = array_to_string(w, ' ')) AS p3, (SELECT p FROM lm WHERE gram = array_to_string(w[2:3], ' ')) AS p2, (SELECT p FROM lm WHERE gram = w[3]) AS p1, (SELECT b FROM lm WHERE gram = array_to_string(w[1:2], ' ')) AS b3, (SELECT b FROM lm WHERE gram = w[2]) AS b2 FROM q) SELECT id, round({_LM_SCORE}, 9) AS score FROM j")
 def _(spark, d):
-    q = table(spark, d, "conversations").where(F.size(F.split("text", " ")) >= 3)
-    q = q.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 3), " ").alias("gram"))
-    return clustering.backoff_scores(q, _lm(spark, d), -10.0, 3).withColumn("score", F.round("score", 9))
+    q = _at_each_word(spark, d)
+    scores = clustering.backoff_scores(q.select(F.col("gram").alias("id"), "gram").distinct(), _lm(spark, d), -10.0, 3)
+    return q.join(scores.withColumnRenamed("id", "gram"), "gram").select("id", "pos", F.round("score", 9).alias("score"))
 
 
 @query("lm_lookup", f"WITH {_LM} SELECT id, CASE WHEN array_to_string(w, ' ') IN (SELECT gram FROM lm) THEN 3 WHEN array_to_string(w[2:3], ' ') IN (SELECT gram FROM lm) THEN 2 WHEN w[3] IN (SELECT gram FROM lm) THEN 1 ELSE 0 END AS matched FROM q")
 def _(spark, d):
-    lm = _lm(spark, d).select("gram")
-    q = table(spark, d, "conversations").withColumn("w", F.slice(F.split(F.lower("text"), " "), 1, 3)).where(F.size("w") >= 3).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "w")
-    e = q.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", 4 - n, n), " ").alias("gram")))).alias("x")).select("id", "x.*")
-    hit = e.join(lm.withColumn("hit", F.lit(True)), "gram", "left")
-    return hit.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched"))
+    lm = _lm(spark, d).select(F.col("gram").alias("suffix"), F.lit(True).alias("hit"))
+    q = _at_each_word(spark, d)
+    w = F.split("gram", " ")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w, F.size(w) - n + 1, n), " ").alias("suffix")))
+    e = q.select("gram").distinct().select("gram", F.inline(suffixes))
+    matched = e.join(lm, "suffix", "left").groupBy("gram").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched"))
+    return q.join(matched, "gram").select("id", "pos", "matched")
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------

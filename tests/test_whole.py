@@ -46,3 +46,36 @@ def test_points_of_every_recording(spark, tables):
             want.append((c, i, seg[2], how))
     assert {w[0] for w in want} == {5, 99, 100, 731} and {w[3] for w in want} == {"inside", "next", "last"}
     assert run(spark, "join_point_in_interval", d) == sorted(want)
+
+
+def plain_lm(texts, order=3):
+    """(n, gram) that occur more than once, by tuple of words."""
+    n = {}
+    for w in texts:
+        for k in range(1, order + 1):
+            for i in range(len(w) - k + 1):
+                n[tuple(w[i : i + k])] = n.get(tuple(w[i : i + k]), 0) + 1
+    return {g: c for g, c in n.items() if c > 1}
+
+
+def plain_score(context, lm):
+    """Backing off from the longest match; -10 where even the word is unknown."""
+    for at in range(len(context)):
+        if context[at:] in lm:
+            return round(-1.0 / lm[context[at:]] + sum(-0.5 / lm[context[k:-1]] for k in range(at) if context[k:-1] in lm), 9)
+    return -10.0
+
+
+def test_language_model_scores_every_word(spark, tables):
+    r = random.Random(2)
+    turns = [(c, t, "user", " ".join(r.choice(["a", "b", "c", "", "D", f"u{r.random()}"]) for _ in range(r.choice([1, 2, 3, 30])))) for c in range(6) for t in range(5)]
+    turns += [(6, 0, "user", ""), (6, 1, "user", None), (6, 2, "user", "one"), (6, 3, "user", "A b")]
+    d = tables(conversations=(turns, "conv_id long, turn long, role string, text string"))
+    words = {c * 1000 + t: text.lower().split(" ") for c, t, _, text in turns if text is not None}
+    lm = plain_lm(words.values())
+    at = [(i, pos, tuple(w[max(0, pos - 2) : pos + 1])) for i, w in words.items() for pos in range(len(w))]
+    scores = run(spark, "lm_backoff", d)
+    want = sorted((i, pos, plain_score(g, lm)) for i, pos, g in at)
+    assert [x[:2] for x in scores] == [x[:2] for x in want]
+    assert [x[2] for x in scores] == pytest.approx([x[2] for x in want], abs=1e-8)
+    assert run(spark, "lm_lookup", d) == sorted((i, pos, next((len(g) - k for k in range(len(g)) if g[k:] in lm), 0)) for i, pos, g in at)
