@@ -141,14 +141,14 @@ def best_unique(score: np.ndarray) -> list[int]:
     return pick
 
 
-def assign_unique(df: DataFrame, by: str, item: str, scores: str) -> DataFrame:
+def assign_unique(df: DataFrame, by: list[str], item: str, scores: str) -> DataFrame:
     """(by, item, cluster): items of a chunk (at most a handful) get different clusters with the largest total score."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
-        return pd.DataFrame({by: pdf[by], item: pdf[item], "cluster": best_unique(np.stack(pdf[scores].to_numpy()))})
+        return pdf[[*by, item]].assign(cluster=best_unique(np.stack(pdf[scores].to_numpy())))
 
-    return df.select(by, item, scores).groupBy(by).applyInPandas(run, f"{by} long, {item} long, cluster long")
+    return df.select(*by, item, scores).groupBy(*by).applyInPandas(run, ", ".join(f"{c} long" for c in [*by, item, "cluster"]))
 
 
 # --- language models --------------------------------------------------------------------------------------------

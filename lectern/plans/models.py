@@ -63,8 +63,9 @@ def _(spark, d):
 @query("cl_assign_unique")
 def _(spark, d):
     e = _emb(spark, d)
-    few = e.withColumn("n", F.row_number().over(Window.partitionBy("rec").orderBy("vec_id"))).where("n <= 4")
-    return clustering.assign_unique(few.withColumn("scores", F.slice("embedding", 1, 5)), "rec", "vec_id", "scores")
+    n = F.row_number().over(Window.partitionBy("rec").orderBy("vec_id"))
+    chunks = e.withColumn("chunk", F.floor((n - 1) / 4)).withColumn("scores", F.slice("embedding", 1, 5))
+    return clustering.assign_unique(chunks, ["rec", "chunk"], "vec_id", "scores").drop("chunk")
 
 
 @query("cl_compact_ids", "WITH f AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY label), r AS (SELECT label, row_number() OVER (ORDER BY first) - 1 AS cluster FROM f) SELECT vec_id, cluster FROM embeddings JOIN r USING (label)")
