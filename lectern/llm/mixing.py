@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Seed of the draws and of the shuffle; largest mean for which the distribution is summed term by term.
+#: Seed of the draws and of the shuffle; largest mean for which the distribution is summed term by term. Larger
+#: ones are drawn in pieces.
 SEED, LARGEST_MEAN = 17, 500.0
 #: Rates are broadcast where they are counted to have no more rows than this; beyond it both sides shuffle.
 BROADCAST_ROWS = 100_000
@@ -31,6 +32,15 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), k_most), start, step, lambda s: s["k"])).otherwise(F.lit(0))
 
 
+def draws(seed: int, id_col: Column, mean: Column) -> Column:
+    """A Poisson number by a hash of seed and id. A mean above LARGEST_MEAN is cut into equal pieces no larger, each
+    with its own draw: the sum of Poisson numbers is one of the sum of their means."""
+    pieces = F.ceil(mean / LARGEST_MEAN).cast("int")
+    us = F.transform(F.sequence(F.lit(1), pieces), lambda i: uniform(F.concat(F.lit(f"{seed}/"), i.cast("string")), id_col))
+    many = F.aggregate(us, F.lit(0), lambda n, u: n + poisson_inverse(u, mean / pieces))
+    return F.when(mean > LARGEST_MEAN, many).otherwise(poisson_inverse(uniform(F.lit(seed), id_col), mean))
+
+
 def rates(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None, source_col: str = "source") -> DataFrame:
     """(source, n_docs, rate): the mean number of copies that brings each source to its share of the result.
 
@@ -48,7 +58,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, size: float | None
     whole = counts.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").cast("double").alias("all_docs"))
     wanted = F.lit(float(size)) if size is not None else F.col("all_docs")
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * wanted / F.col("n_docs")).otherwise(0.0)
-    return counts.join(F.broadcast(whole)).select("source", "n_docs", F.least(rate, F.lit(LARGEST_MEAN)).alias("rate"))
+    return counts.join(F.broadcast(whole)).select("source", "n_docs", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -57,15 +67,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: float | None =
     Adds __copy (from 1), __rate and __order (in [0, 1); partitions follow it and are sorted by it).
     The draw inverts the Poisson distribution of the source's rate at a hash of seed and doc_id, so it
     doesn't depend on partitioning and is the same when a lost executor's work is done again. Rows with
-    equal doc_id draw alike; a null doc_id hashes as the empty string. A rate above 500 counts as 500. An
-    empty table gives no rows. The draw is made before any text moves: rows without copies are never
-    shuffled, and order keys are spread evenly whatever the sources' sizes.
+    equal doc_id draw alike; a null doc_id hashes as the empty string. An empty table gives no rows. The draw
+    is made before any text moves: rows without copies are never shuffled, and order keys are spread evenly
+    whatever the sources' sizes.
     """
     r = settle(rates(docs, weights, size, source_col).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     if r.count() <= BROADCAST_ROWS:
         r = F.broadcast(r)
     drawn = docs.join(r, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).drop("__source")
-    drawn = drawn.withColumn("__n", poisson_inverse(uniform(F.lit(seed), F.col(f"`{id_col}`")), F.col("__rate"))).where("__n > 0")
+    drawn = drawn.withColumn("__n", draws(seed, F.col(f"`{id_col}`"), F.col("__rate"))).where("__n > 0")
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     keyed = copies.withColumn("__order", uniform(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col("__copy")))
     return keyed.repartitionByRange("__order").sortWithinPartitions("__order", f"`{id_col}`", "__copy")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import struct
 from collections import defaultdict
@@ -426,6 +427,36 @@ def test_mixing_to_weights(spark):
     assert abs(ks[0] - 2.5) < 0.05 and abs(ks[1] - 2.5) < 0.12
 
 
+def plain_draws(doc_id, mean):
+    """The draws of one document from hashlib: one up to a mean of 500, else one for each piece of the mean."""
+    pieces = math.ceil(mean / 500)
+    out = 0
+    for i in range(1, pieces + 1):
+        u = int(hashlib.md5(f"{mixing.SEED}{f'/{i}' if pieces > 1 else ''}:{doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, term = 0, math.exp(-mean / pieces)
+        total = term
+        while u >= total and k < math.ceil(mean / pieces + 12 * math.sqrt(mean / pieces) + 20):
+            k += 1
+            term *= mean / pieces / k
+            total += term
+        out += k
+    return out
+
+
+def test_mixing_rare_sources_to_weights(spark):
+    n = 20000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare").when(F.col("id") < 5, None).when(F.col("id") < 25, "edge").otherwise("big").alias("source"), F.lit("t").alias("text"))
+    w = spark.createDataFrame([("rare", 1.0), (None, 1.0), ("edge", 1.0), ("big", 1.0)], "source string, weight double")
+    m = mixing.mix(docs, w)
+    got = {r["source"]: r["count"] for r in m.groupBy("source").count().collect()}
+    assert all(abs(got[k] - n / 4) < 4 * (n / 4) ** 0.5 for k in ("rare", None, "edge", "big"))
+    each = {r["doc_id"]: r["count"] for r in m.where("doc_id < 25").groupBy("doc_id").count().collect()}
+    assert each == {i: plain_draws(i, n / 4 / (3 if i < 3 else 2 if i < 5 else 20)) for i in range(25)}
+    assert m.select("doc_id", "__copy").distinct().count() == m.count()
+    ks = spark.range(4000).select(mixing.draws(17, F.col("id"), F.lit(1250.0)).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+    assert abs(ks[0] - 1250) < 3 and abs(ks[1] - 1250) < 150
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------
 
 
