@@ -52,7 +52,7 @@ def _(spark, d):
 
 @query("sc_strip_speaker", "SELECT conv_id, turn, trim(text) AS line FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%'")
 def _(spark, d):
-    c = table(spark, d, "conversations").where(~F.col("text").contains("\n")).withColumn("t", F.concat(F.when(F.col("role") == "user", "Patient: ").otherwise("DOCTOR:  "), "text", F.lit("\\n")))
+    c = table(spark, d, "conversations").withColumn("t", F.concat(F.when(F.col("role") == "user", "Patient: ").otherwise("DOCTOR:  "), "text", F.lit("\\n")))
     return c.select("conv_id", "turn", F.explode(text.turns_without_speakers(F.col("t"))).alias("line"))
 
 

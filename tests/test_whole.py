@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,20 @@ def test_every_chunk_is_assigned(spark, tables):
             picked = [got[v][1] for v, _ in chunk]
             assert len(set(picked)) == len(picked) and set(picked) <= set(range(5))
             assert sum(e[c] for (_, e), c in zip(chunk, picked)) == pytest.approx(best, abs=1e-5)
+
+
+def plain_lines(role, text):
+    """Lines of a turn, a name before the first, without names of speakers."""
+    t = ("Patient: " if role == "user" else "DOCTOR:  ") + text + "\\n"
+    bare = [re.sub(r"^\s*(DOCTOR|PATIENT):\s*", "", x, flags=re.I).strip(" ") for x in t.replace("\\n", "\n").split("\n")]
+    return [x for x in bare if x]
+
+
+def test_every_line_of_a_turn(spark, tables):
+    texts = ["one", " two \nDoctor: three\n\n  patient:four\\nfive", "\n", "", "Patients: six\n\nDOCTOR: ", None]
+    turns = [(1, i, ("user", "assistant")[i % 2], x) for i, x in enumerate(texts)]
+    d = tables(conversations=(turns, "conv_id long, turn long, role string, text string"))
+    want = sorted((c, t, x) for c, t, role, text in turns if text is not None for x in plain_lines(role, text))
+    assert run(spark, "sc_strip_speaker", d) == want and (1, 1, "three") in want and (1, 1, "five") in want
+    of = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert run(spark, "sc_strip_speaker", SF) == sorted((c, t, x) for c, t, role, text in of for x in plain_lines(role, text))
