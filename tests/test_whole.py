@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,22 @@ def test_every_line_of_a_turn(spark, tables):
     assert run(spark, "sc_strip_speaker", d) == want and (1, 1, "three") in want and (1, 1, "five") in want
     of = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert run(spark, "sc_strip_speaker", SF) == sorted((c, t, x) for c, t, role, text in of for x in plain_lines(role, text))
+
+
+def test_documents_of_every_language(spark, tables):
+    texts = [("en", "  one. Two! three? Four \n \nfive"), ("de", "ärger hier. Über dort. über"), ("fr", "élan. Élan"), (None, "x\n\n\ny. Z"), ("es", ""), ("es", None)]
+    d = tables(documents=([(i, x, lang) for i, (lang, x) in enumerate(texts)], "doc_id long, text string, lang string"))
+
+    def norm(x):
+        return x if x is None else x.lower().strip(" ")[:1].upper() + x.lower().strip(" ")[1:]
+
+    def split(x):
+        parts = [re.split(r"(?<=[.!?])\s+(?=[A-Z])", re.sub(r"\s+", " ", p, flags=re.A).strip(" ")) for p in re.split(r"\n\s*\n", x, flags=re.A)]
+        return Counter(s.strip(" ") for p in parts for s in p if s.strip(" "))
+
+    assert run(spark, "sc_peoples_norm", d) == [(i, norm(x)) for i, (_, x) in enumerate(texts)]
+    want = sorted((i, s, n) for i, (_, x) in enumerate(texts) if x is not None for s, n in split(x).items())
+    assert run(spark, "sc_sentence_split", d) == want and {w[0] for w in want} == {0, 1, 2, 3}
+    of = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert run(spark, "sc_sentence_split", SF) == sorted((i, s, n) for i, x in of.items() for s, n in split(x).items())
+    assert {i for i, _ in run(spark, "sc_peoples_norm", SF)} == set(of)
