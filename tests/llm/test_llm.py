@@ -353,6 +353,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(df, none).where("score >= 0.7").count() == 0
 
 
+def test_toxicity_tells_every_language():
+    langs = [f"l{i:02}" for i in range(12)]
+    texts = [" ".join(f"{lang}w{(d + j) % 20}" for j in range(15)) for d in range(40) for lang in langs]
+    m = toxicity.Model().fit(texts, np.arange(len(texts)) % 7 == 0, langs * 40)
+    distinct, index, begins = toxicity.words(pa.array([*texts[:12], "nothing known", ""]))
+    got = m.language(toxicity.buckets(distinct), index, begins)
+    assert m.languages == langs and got.tolist() == [*range(12), -1, -1]
+    assert m.shift.shape == (13,)
+
+
 # --- 9 suffixes -------------------------------------------------------------------------------------------------
 
 
