@@ -1,9 +1,9 @@
 """Repeated passages by suffix sorting: anchors bring equal strings to one shard, induced sorting finds them there.
 
 Every string of LENGTH bytes has an anchor, the leftmost smallest hash of GRAM bytes in it, which depends on the
-string alone. So equal strings share an anchor at the same place, and all strings with an anchor lie in the region
-of up to LENGTH - GRAM bytes before and LENGTH bytes after its start. Anchors that occur once need no text. Regions
-that are equal as a whole are settled by their hash. What is left, regions that share an anchor and differ, is sorted.
+string alone. So equal strings have equal anchors at the same distance. The starts of the strings of one anchor are
+neighbours; the bytes these strings cover are its region. Anchors that occur once need no text, and equal regions are
+sorted once. Regions that share an anchor and a core with another one are dealt to shards, each of which is sorted.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, settle
+from .common import bounded, release, store
 
 LENGTH, GRAM = 400, 64
-#: Regions that share an anchor and go to one shard at most; anchors with more are settled by hashes of whole strings.
-SHARD_GROUP = 256
+#: Regions of one anchor that a shard gets at most. An anchor with more is split by hashes of its strings.
+SHARD_GROUP = 4096
 #: Neighbouring starts of strings that such an anchor's regions are first compared by together.
 BLOCK = 16
-#: Bytes of text sorted at once in a task, and bytes of queued suffixes held in memory before they go to disk.
-SORT_BYTES, QUEUE_BYTES = 2 << 20, 32 << 20
+#: Bytes that a shard holds in memory of each of its text, queues and results; what is beyond goes to disk.
+ROOM = 32 << 20
 #: Starts of strings before an anchor are told apart by so many bytes at first: strings of one stride share a core.
 STRIDE, CORES = 64, 6
+#: Starts looked at together.
+STEP = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -58,76 +60,90 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, cores) of the anchors of all strings of length bytes in a text.
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ y) * MULTIPLIER
+    return x ^ (x >> np.uint64(29))
 
-    Strings that start STRIDE * j up to STRIDE * (j + 1) bytes before the anchor share a core around it; cores [anchor, j]
-    are 16 bits of its hash, or 0 where the text doesn't hold it.
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, anchor, region, place, far, near, cores) of the texts data[offsets[k]:offsets[k + 1]], some at a time.
+
+    An anchor is the hash of its GRAM bytes at place. Its strings start far to near bytes before it. A region is a hash
+    of all that these strings cover. Strings that start STRIDE * j up to STRIDE * (j + 1) bytes before the anchor share a
+    core; cores [anchor, j] are 16 bits of its hash, or 0 where no string starts there.
     """
-    n = len(data)
-    if n < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, CORES), np.int64)
-    out = []
-    step = 4 << 20
-    for lo in range(0, n - length + 1, step):  # windows of long texts in turn
-        left = max(0, lo - length)
-        h = gram_hashes(data[left : lo + step + 2 * length], gram)
-        own = h[lo - left : lo - left + step + length - gram]
-        packed = (own & ~np.uint64(0xFFFFFFFF)) | np.arange(len(own), dtype=np.uint64)
-        place = np.unique(sliding_minimum(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
-        start = place[:, None] - STRIDE * np.arange(CORES)
-        size = length - STRIDE + 1
-        there = (start >= 0) & (start + size <= n)
-        at = np.where(there, start - left, 0)
-        core = np.zeros(at.shape, np.uint64)
-        for d in [*range(0, size - gram, gram), size - gram]:
-            core = (core ^ h[np.minimum(at + d, len(h) - 1)]) * MULTIPLIER
-        out.append((h[place - left], place, np.where(there, np.maximum((core >> np.uint64(48)).astype(np.int64), 1), 0)))
-    h, p, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    _, first = np.unique(p, return_index=True)
-    return h[first], p[first], c[first]
+    for lo in range(0, max(0, len(data) - LENGTH + 1), STEP):
+        part = data[lo : lo + STEP + LENGTH - 1]
+        if len(part) < LENGTH:
+            return
+        h = gram_hashes(part, GRAM)
+        packed = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        least = (sliding_minimum(packed, LENGTH - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first_text, last_text = np.searchsorted(offsets, [lo, lo + len(least)], "right") - 1
+        ends = offsets[first_text + 1 : last_text + 2] - lo  # of the texts here
+        text = np.searchsorted(ends, np.arange(len(least)), "right")
+        inside = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[np.minimum(text, len(ends) - 1)])
+        if not len(inside):
+            continue
+        least, text = least[inside], text[inside]
+        begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+        first, last, at, text = inside[begin], inside[np.r_[begin[1:], len(inside)] - 1], least[begin], text[begin]
+        far, near = at - first, at - last
+        region = _mixed(far.astype(np.uint64), near.astype(np.uint64) << np.uint64(32))
+        for k in range(0, 2 * LENGTH, GRAM):
+            use = np.flatnonzero(first + k < last + LENGTH)
+            region[use] = _mixed(region[use], h[np.minimum(first[use] + k, last[use] + LENGTH - GRAM)])
+        stride = np.arange(CORES)
+        there = (stride >= (near // STRIDE)[:, None]) & (stride <= (far // STRIDE)[:, None])
+        start = np.where(there, at[:, None] - STRIDE * stride, 0)
+        core, size = np.zeros(start.shape, np.uint64), LENGTH - STRIDE + 1
+        for d in [*range(0, size - GRAM, GRAM), size - GRAM]:
+            core = _mixed(core, h[np.minimum(start + d, len(h) - 1)])
+        core = np.where(there, np.maximum((core >> np.uint64(48)).astype(np.int64), 1), 0)
+        yield text + first_text, h[at], region, at + lo - offsets[text + first_text], far, near, core
+
+
+def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts without nulls, and where each begins."""
+    column = column.cast(pa.large_string())
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+RAW = "doc long, mark long, a long, r long, at int, far short, near short, c0 long, c1 long"
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text hash, anchor, region, place, cores) of every anchor of every text."""
+    """A row of RAW for every anchor of every text."""
     for b in batches:
-        docs, marks, hs, rs, ps, cs = [], [], [], [], [], []
-        for k in range(b.num_rows):
-            text = (b.column(2)[k].as_py() or "").encode("utf-8", "surrogatepass")
-            h, p, c = anchors(np.frombuffer(text, np.uint8))
-            rs += [_region(text, at) for at in p.tolist()]
-            hs.append(h)
-            ps.append(p)
-            cs.append(c)
-            docs.append(np.full(len(h), b.column(0)[k].as_py()))
-            marks.append(np.full(len(h), b.column(1)[k].as_py()))
-        if hs and sum(map(len, hs)):
-            c = np.concatenate(cs)
-            packed = [sum(c[:, j] << (16 * (j % 3)) for j in range(first, first + 3)) for first in (0, 3)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(marks), pa.int64()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(rs, pa.int64()), pa.array(np.concatenate(ps).astype(np.int32)), pa.array(packed[0]), pa.array(packed[1])],
-                ["doc", "mark", "a", "r", "at", "c0", "c1"],
-            )
-
-
-def _bounds(n: int, at: int) -> tuple[int, int]:
-    return max(0, at - (LENGTH - GRAM)), min(n, at + LENGTH)
-
-
-def _region(text: bytes, at: int) -> int:
-    lo, hi = _bounds(len(text), at)
-    return int.from_bytes(hashlib.blake2b(text[lo:hi], digest_size=8, salt=(at - lo).to_bytes(8, "big")).digest(), "big", signed=True)
+        docs, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for text, a, r, at, far, near, core in anchors(*_utf8(b.column(2))):
+            packed = [core[:, j] | core[:, j + 1] << 16 | core[:, j + 2] << 32 for j in (0, 3)]
+            cols = [docs[text], marks[text], a.view(np.int64), r.view(np.int64), at.astype(np.int32), far.astype(np.int16), near.astype(np.int16), *packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in RAW.split(", ")])
 
 
 # --- induced sorting --------------------------------------------------------------------------------------------
 
 
+def disk_array(n: int, dtype: type, room: int) -> np.ndarray:
+    """Zeros, in a file without a name where they are more than room bytes."""
+    size = n * np.dtype(dtype).itemsize
+    if size <= room:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile() as file:
+        file.truncate(size)
+        return np.memmap(file, dtype, "r+", shape=(n,))
+
+
 class Queues:
     """One queue for each first byte: suffixes come out in the order they were put, smallest byte first. Whatever is
     put has a byte not before the one being read, so first-in first-out per byte is all the priority there is. Each
     suffix carries its common prefix with the one before it in its queue. Beyond a size, queues continue on disk."""
 
-    def __init__(self, symbols: int, room: int = QUEUE_BYTES):
+    def __init__(self, symbols: int = 256, room: int = ROOM):
         self.held: list[list[tuple]] = [[] for _ in range(symbols)]
         self.size, self.room, self.file = 0, room, None
 
@@ -158,7 +174,7 @@ class Queues:
             else:
                 self.size -= part[0].nbytes + part[1].nbytes
                 out.append(part)
-        return np.concatenate([s for s, _ in out]), np.concatenate([c for _, c in out])
+        return out[0] if len(out) == 1 else (np.concatenate([s for s, _ in out]), np.concatenate([c for _, c in out]))
 
     def close(self) -> None:
         if self.file:
@@ -167,170 +183,183 @@ class Queues:
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo:hi]) for each pair, hi > lo."""
-    levels = [x]
-    while (1 << len(levels)) <= len(x):
-        n = 1 << (len(levels) - 1)
-        levels.append(np.minimum(levels[-1][:-n], levels[-1][n:]))
-    out, size = np.empty(len(lo), x.dtype), hi - lo
-    for k, level in enumerate(levels):
-        use = (size >> k) == 1
-        if use.any():
-            out[use] = np.minimum(level[lo[use]], level[hi[use] - (1 << k)])
+    out, size, level, k = np.empty(len(lo), x.dtype), hi - lo, x, 0
+    longest = int(size.max(initial=0))
+    while (1 << k) <= longest:
+        use = np.flatnonzero((size >> k) == 1)
+        out[use] = np.minimum(level[lo[use]], level[hi[use] - (1 << k)])
+        if (2 << k) <= longest:
+            level = np.minimum(level[: -(1 << k)], level[1 << k :])
+        k += 1
     return out
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, up to most, eight bytes at a time."""
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded[: len(padded) - 7].view(np.uint8), (len(padded) - 7, 8), (1, 1))
     out, live, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    x, y = a.astype(np.int64), b.astype(np.int64)
+    step, last = np.arange(8), len(text) - 1
     while len(live) and k < most:
-        x = np.ascontiguousarray(words[np.minimum(a[live] + k, len(words) - 1)]).view(np.uint64).ravel() ^ np.ascontiguousarray(words[np.minimum(b[live] + k, len(words) - 1)]).view(np.uint64).ravel()
-        low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int64)
-        out[live] += same
-        live, k = live[same == 8], k + 8
-    return np.minimum(np.minimum(out, most), len(text) - np.maximum(a, b))
+        same = text[np.minimum(x[live, None] + k + step, last)] == text[np.minimum(y[live, None] + k + step, last)]
+        n = np.where(same.all(1), 8, same.argmin(1))
+        out[live] += n
+        live, k = live[n == 8], k + 8
+    return np.minimum(np.minimum(out, most), len(text) - np.maximum(x, y)).astype(np.int16)
 
 
-def suffix_types(text: np.ndarray) -> np.ndarray:
+def suffix_types(text: np.ndarray, out: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; text ends with a byte smaller than all others."""
-    n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    nxt = np.searchsorted(differs, np.arange(n - 1))
-    at = differs[np.minimum(nxt, len(differs) - 1)]
-    return np.append(text[at] < text[at + 1], True)
+    n, step = len(text), STEP
+    out[-1] = nxt = True
+    if n < 2:
+        return out
+    for lo in range((n - 2) // step * step, -1, -step):
+        x, y = text[lo : min(lo + step, n - 1)], text[lo + 1 : min(lo + step, n - 1) + 1]
+        differs = np.flatnonzero(x != y)
+        at = np.searchsorted(differs, np.arange(len(x)))
+        known = np.append(x[differs] < y[differs], nxt)  # equal bytes go by the next ones that differ
+        out[lo : lo + len(x)] = known[at]
+        nxt = out[lo]
+    return out
 
 
 class _Induction:
-    """One sweep over the buckets in one direction: from the suffixes read so far to the ones a byte longer."""
+    """Sweeps over the buckets of a text: from the suffixes read so far to the ones a byte longer."""
 
     def __init__(self, text: np.ndarray, small: np.ndarray, most: int, room: int):
-        self.text, self.small, self.most = text, small, most
-        self.symbols, self.room = 256, room
-
-    def sweep(self, seeds: list, left: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """seeds: per symbol (suffixes, common prefixes) in this sweep's order. Left to right it induces the larger-type
-        suffixes, right to left the smaller-type ones; the result is per symbol in this sweep's order."""
-        queues = Queues(self.symbols, self.room)
-        lowest = np.full(self.symbols, self.most, np.int64)  # least common prefix read since the symbol's last put
-        begun = np.zeros(self.symbols, bool)
-        out: list[list[tuple]] = [[] for _ in range(self.symbols)]
-        order = range(self.symbols) if left else range(self.symbols - 1, -1, -1)
-        for c in order:
+        self.text, self.small, self.most, self.room = text, small, most, room
+        self.symbols = 256
+
+    def sweep(self, seeds: Queues, left: bool, backwards: bool = False) -> Queues:
+        """seeds: per symbol suffixes and common prefixes in this sweep's order, or in the opposite one. Left to right it
+        induces the larger-type suffixes, right to left the smaller-type ones, in this sweep's order."""
+        queues, out = Queues(self.symbols, self.room), Queues(self.symbols, self.room)
+        self.lowest = np.full(self.symbols, self.most, np.int16)  # least common prefix read since the symbol's last put
+        self.begun = np.zeros(self.symbols, bool)
+        for c in range(self.symbols) if left else range(self.symbols - 1, -1, -1):
             # left to right the induced suffixes of a bucket come before its seeds; right to left it is the same
-            lowest[:] = 0  # suffixes of different buckets share nothing
-            fresh = True
+            self.lowest[:] = 0  # suffixes of different buckets share nothing
+            last = None
             while (wave := queues.take(c)) is not None:
-                out[c].append(wave)
-                self._read(*wave, left, queues, lowest, begun, fresh)
-                fresh = False
-            if len(seeds[c][0]):
-                s, k = seeds[c]
-                if out[c]:  # the seam between the two kinds
-                    k = k.copy()
-                    k[0] = common_prefix(self.text, out[c][-1][0][-1:], s[:1], self.most)[0]
-                self._read(s, k, left, queues, lowest, begun, fresh)
+                out.put(c, *wave)
+                self._read(*wave, left, queues, last is None)
+                last = wave[0][-1:]
+            if (own := seeds.take(c)) is not None:
+                s, k = own
+                if backwards:
+                    s, k = s[::-1], np.append(k[:1], k[1:][::-1])
+                if last is not None:  # the seam between the two kinds
+                    k = np.append(common_prefix(self.text, last, s[:1], self.most), k[1:])
+                self._read(s, k, left, queues, last is None)
         queues.close()
-        empty = (np.empty(0, np.int64), np.empty(0, np.int64))
-        return [tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else empty for parts in out]
+        seeds.close()
+        return out
 
-    def _read(self, suffix, common, left, queues, lowest, begun, first) -> None:
-        common = common.copy()
+    def _read(self, suffix: np.ndarray, common: np.ndarray, left: bool, queues: Queues, first: bool) -> None:
         if first:
-            common[0] = 0
+            common = np.append(np.zeros(1, np.int16), common[1:])
         before = suffix - 1
         use = np.flatnonzero((before >= 0) & (self.small[np.maximum(before, 0)] != left))
+        if not len(use):
+            np.minimum(self.lowest, common.min(), out=self.lowest)
+            return
         target = self.text[before[use]]
         by = np.argsort(target, kind="stable")
         use, target = use[by], target[by]
-        head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.empty(0, int)
-        whole = common.min()
-        if len(use):
-            previous = np.r_[-1, use[:-1]]
-            previous[head] = -1
-            least = range_minima(common, previous + 1, use + 1)
-            least[head] = np.minimum(least[head], lowest[target[head]])
-            share = np.minimum(least + 1, self.most)
-            starts = head[~begun[target[head]]]
-            share[starts] = 0
-            ends = np.r_[head[1:], len(use)]
-            for h, e in zip(head, ends, strict=True):
-                queues.put(int(target[h]), before[use[h:e]], share[h:e])
-        lowest[:] = np.minimum(lowest, whole)
-        if len(use):
-            last = use[ends - 1]
-            rest = np.full(len(last), self.most, np.int64)
-            inner = last + 1 < len(common)
-            if inner.any():
-                rest[inner] = range_minima(common, last[inner] + 1, np.full(int(inner.sum()), len(common)))
-            lowest[target[head]] = rest
-            begun[target[head]] = True
-
-
-def suffix_array(text: np.ndarray, most: int = LENGTH, room: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of text in order, and each one's common prefix with the one before it, up to most bytes.
-
-    text is bytes without 0; a 0 is added. Order beyond most bytes isn't kept apart. Leftmost smaller-type suffixes
-    are sorted by induction from their buckets, named by their strings, and ranked by those names; where names
-    repeat, the shorter text of names is sorted in turn, by doubling, which stops once most bytes are told apart.
-    Two sweeps then induce all others, and their common prefixes with them.
+        head = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        symbol, ends = target[head], np.append(head[1:], len(use))
+        previous = np.append(-1, use[:-1])
+        previous[head] = -1
+        least = range_minima(common, previous + 1, use + 1)
+        least[head] = np.minimum(least[head], self.lowest[symbol])
+        share = np.minimum(least + 1, self.most).astype(np.int16)
+        share[head[~self.begun[symbol]]] = 0
+        moved = before[use]
+        for c, h, e in zip(symbol.tolist(), head.tolist(), ends.tolist(), strict=True):
+            queues.put(c, moved[h:e], share[h:e])
+        np.minimum(self.lowest, common.min(), out=self.lowest)
+        last = use[ends - 1]
+        rest = np.full(len(last), self.most, np.int16)
+        inner = np.flatnonzero(last + 1 < len(common))
+        if len(inner):
+            rest[inner] = np.minimum.accumulate(common[::-1])[::-1][last[inner] + 1]
+        self.lowest[symbol] = rest
+        self.begun[symbol] = True
+
+
+def sorted_suffixes(text: np.ndarray, most: int = LENGTH, room: int = ROOM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of text in order, by first byte, and each one's common prefix with the one before it, up to most bytes.
+
+    text is bytes without 0 but at its end. Order beyond most bytes isn't kept apart. Leftmost smaller-type suffixes
+    are named by the strings between them and ranked by those names; two sweeps then induce all others, and their
+    common prefixes with them. Text, types, queues and results go to disk beyond room bytes each.
+    """
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    small = suffix_types(text, disk_array(len(text), bool, room))
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
+    sweep, sent = _Induction(text, small, most, room), len(text) - 1
+    s, k = _ranked_seeds(text, seeds, most)
+    start = Queues(room=room)
+    cut = np.searchsorted(text[s], np.arange(257))
+    for c, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        start.put(c, s[a:b], k[a:b])
+    larger = sweep.sweep(start, True)
+    again = Queues(room=room)
+    for c in range(256):
+        if (held := larger.take(c)) is not None:
+            again.put(c, *held)
+            larger.put(c, *held)
+    # right to left: within a bucket larger ones come after smaller ones, so they seed from the end
+    smaller = sweep.sweep(again, False, backwards=True)
+    for c in range(256):
+        one, two = larger.take(c), smaller.take(c)
+        if c == 0:
+            one, two = (np.array([sent], kind), np.zeros(1, np.int16)), None
+        if two is not None:
+            s, k = two[0][::-1], np.append(np.zeros(1, np.int16), two[1][1:][::-1])
+            two = s, k if one is None else np.append(common_prefix(text, one[0][-1:], s[:1], most), k[1:])
+        if both := [x for x in (one, two) if x is not None]:
+            yield np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+    larger.close()
+    smaller.close()
+
+
+def suffix_array(text: np.ndarray, most: int = LENGTH, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+    """All of sorted_suffixes at once for bytes without 0; a 0 is added."""
+    return tuple(map(np.concatenate, zip(*sorted_suffixes(np.append(text, 0).astype(np.uint8), most, room), strict=True)))
+
+
+def _ranked_seeds(text: np.ndarray, seeds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at seeds in order, with their common prefixes.
+
+    Names of the strings between seeds are joined in pairs to names of two, four and more of them until most bytes are
+    told apart. The names of every size then tell how many strings two neighbours share; only the first strings that
+    differ are compared by bytes.
     """
-    text = np.append(text, 0).astype(np.uint8)
-    small = suffix_types(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sweep = _Induction(text, small, most, room)
-
-    def by_symbol(s: np.ndarray, k: np.ndarray) -> list:
-        cut = np.searchsorted(text[s], np.arange(257))
-        return [(s[a:b], k[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def both(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes induced from sorted seeds."""
-        larger = sweep.sweep(by_symbol(s, k), True)
-        # right to left: within a bucket larger ones come after smaller ones, so they seed from the end
-        back = []
-        for a, b in larger:
-            back.append((a[::-1], np.r_[0, b[1:][::-1]] if len(b) else b))
-        sent = len(text) - 1
-        smaller = sweep.sweep(back, False)
-        order, common = [], []
-        for c in range(256):
-            s1, k1 = larger[c]
-            s2, k2 = smaller[c]
-            if c == 0:
-                s1, k1 = np.array([sent]), np.zeros(1, np.int64)
-                s2, k2 = s2[:0], k2[:0]
-            s2, k2 = s2[::-1], np.r_[0, k2[1:][::-1]] if len(k2) else k2
-            if len(s1) and len(s2):
-                k2 = k2.copy()
-                k2[0] = common_prefix(text, s1[-1:], s2[:1], most)[0]
-            order += [s1, s2]
-            common += [k1, k2]
-        return np.concatenate(order), np.concatenate(common)
-
-    if len(seeds):
-        ranked = _rank_seeds(text, seeds, most)
-        s = seeds[np.argsort(ranked, kind="stable")]
-        k = np.r_[0, common_prefix(text, s[:-1], s[1:], most)] if len(s) else s
-        return both(s, k)
-    return both(seeds, seeds)
-
-
-def _rank_seeds(text: np.ndarray, seeds: np.ndarray, most: int) -> np.ndarray:
-    """Ranks of the suffixes that start at seeds, by doubling over the names of the strings between them."""
-    n, size = len(seeds), np.diff(np.append(seeds, len(text)))
-    ends = np.r_[seeds[1:], len(text) - 1]
-    name = _names(text, seeds, ends)
-    covered, step = int(size.min()) if n else 0, 1
-    while n and name.max() + 1 < n and covered < most:
+    n = len(seeds)
+    if not n:
+        return seeds, np.empty(0, np.int16)
+    names, step = [_names(text, seeds, np.append(seeds[1:], len(text) - 1))], 1
+    covered = int(np.diff(seeds).min()) if n > 1 else most
+    while names[-1].max() + 1 < n and covered < most:
         nxt = np.full(n, -1, np.int64)
-        nxt[:-step or None] = name[step:]
-        name = np.unique(name * (n + 1) + nxt + 1, return_inverse=True)[1]
+        nxt[:-step] = names[-1][step:]
+        names.append(np.unique(names[-1] * (n + 1) + nxt + 1, return_inverse=True)[1])
         step *= 2
-        reach = np.r_[seeds, np.full(step, len(text) + most)][step : step + n] - seeds
-        covered = int(reach.min())
-    return name
+        covered = int((seeds[step:] - seeds[:-step]).min()) if step < n else most
+    order = np.argsort(names[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(names) - 1, -1, -1):
+        inside = np.flatnonzero(np.maximum(a, b) < n)
+        same = inside[names[k][a[inside]] == names[k][b[inside]]]
+        a[same] += 1 << k
+        b[same] += 1 << k
+    ends = np.append(seeds, len(text) - 1)
+    shared = (ends[np.minimum(a, n)] - seeds[order[:-1]]).astype(np.int64)
+    open_ = np.flatnonzero(shared < most)
+    x, y = seeds[order[:-1]][open_], seeds[order[1:]][open_]
+    shared[open_] += common_prefix(text, x + shared[open_], y + shared[open_], most)
+    return seeds[order], np.append(0, np.minimum(shared, most)).astype(np.int16)
 
 
 def _names(text: np.ndarray, a: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -365,75 +394,83 @@ def _names(text: np.ndarray, a: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.unique(name, return_inverse=True)[1]
 
 
-def repeated(text: np.ndarray, owner: np.ndarray, place: np.ndarray, usable: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which places of text start a string of length bytes that also starts at another (owner, place)."""
-    order, common = suffix_array(text, length)
-    order, common = order[1:], common[1:].copy()
-    if not len(order):
-        return np.zeros(len(text), bool)
-    common[0] = 0
-    group = np.cumsum(common < length)
-    ok = usable[order]
-    order, group = order[ok], group[ok]
-    who = np.unique(np.stack([group, owner[order], place[order]]), axis=1)
-    several = np.bincount(who[0], minlength=int(group.max(initial=0)) + 1) > 1
-    out = np.zeros(len(text), bool)
-    out[order[several[group]]] = True
-    return out
-
-
-# --- the operator -----------------------------------------------------------------------------------------------
+# --- a shard ----------------------------------------------------------------------------------------------------
+
+
+class Shard:
+    """Regions of a shard as one text, whose strings that occur twice are found by sorting its suffixes."""
+
+    def __init__(self, room: int = ROOM):
+        self.room, self.held, self.size, self.file = room, [], 0, tempfile.SpooledTemporaryFile(room)
+        self.keys: list[np.ndarray] = []
+        self.known: set[tuple[int, int]] = set()
+
+    def add(self, a: np.ndarray, r: np.ndarray, lead: np.ndarray, content: pa.Array) -> None:
+        """Regions of the given anchors and hashes; a region that came before, from a row that repeats another, is left out."""
+        new = []
+        for k, key in enumerate(zip(a.tolist(), r.tolist(), strict=True)):
+            if key not in self.known:
+                self.known.add(key)
+                new.append(k)
+        a, r, lead, content = a[new], r[new], lead[new], content.take(pa.array(new, pa.int64()))
+        size = np.array([len(c.as_buffer()) for c in content], np.int64)
+        self.file.write(b"".join([x for c in content for x in (c.as_buffer(), b"\xff")]))
+        self.keys.append(np.stack([a, r, lead, size], axis=1).astype(np.int64))
+
+    def text(self) -> np.ndarray:
+        """Bytes moved up by one below 0xFF, which UTF-8 never has and ends each region, so that 0 is free for the end."""
+        n = self.file.tell()
+        self.file.seek(0)
+        out = disk_array(n + 1, np.uint8, self.room)
+        for lo in range(0, n, STEP):
+            part = np.frombuffer(self.file.read(min(STEP, n - lo)), np.uint8)
+            out[lo : lo + len(part)] = part + (part != 0xFF)
+        self.file.close()
+        return out
+
+    def repeated(self) -> pa.RecordBatch:
+        """(a, r, lo, hi): what repeated strings cover, from the anchor's start."""
+        a, r, lead, size = np.concatenate(self.keys).T
+        text = self.text()
+        start = np.cumsum(size + 1) - size - 1
+        hit = disk_array(len(text), np.int8, self.room)
+        for s, n in zip(start.tolist(), size.tolist(), strict=True):
+            hit[s : s + n - LENGTH + 1] = 1  # starts of strings of the region; all are in different places
+        for order, common in sorted_suffixes(text, LENGTH, self.room):
+            group = np.cumsum(common < LENGTH)
+            use = np.flatnonzero(hit[order])
+            several = np.bincount(group[use], minlength=1) > 1
+            hit[order[use[several[group[use]]]]] = 2
+        edges = np.flatnonzero(np.diff(np.append(np.append(0, hit == 2), 0)))
+        lo, hi = edges[::2], edges[1::2]
+        of = np.searchsorted(start, lo, "right") - 1
+        cols = a[of], r[of], (lo - start[of] - lead[of]).astype(np.int32), (hi - 1 + LENGTH - start[of] - lead[of]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "r", "lo", "hi"])
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc, mark, text, wanted anchors) to a row of bytes for each region."""
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = Shard()
     for b in batches:
-        rows: dict[str, list] = {k: [] for k in ("a", "r", "owner", "lead", "at", "many", "content")}
-        for k in range(b.num_rows):
-            text = (b.column(2)[k].as_py() or "").encode("utf-8", "surrogatepass")
-            owner = int.from_bytes(hashlib.blake2b(f"{b.column(0)[k].as_py()}:{b.column(1)[k].as_py()}".encode(), digest_size=8).digest(), "big", signed=True)
-            for w in b.column(3)[k].as_py():
-                lo, hi = _bounds(len(text), w["at"])
-                lo, hi = max(lo, w["at"] - STRIDE * (w["most"] + 1) + 1), min(hi, w["at"] - STRIDE * w["least"] + LENGTH)
-                for key, v in zip(rows, (w["a"], w["r"], owner, w["at"] - lo, w["at"], w["many"], text[lo:hi]), strict=True):
-                    rows[key].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(rows["a"], pa.int64()), pa.array(rows["r"], pa.int64()), pa.array(rows["owner"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["at"], pa.int32()), pa.array(rows["many"], pa.bool_()), pa.array(rows["content"], pa.binary())], list(rows))
-
+        shard.add(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), b.column(3))
+    if shard.keys:
+        yield shard.repeated()
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[False, flags, False]))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
+# --- the operator -----------------------------------------------------------------------------------------------
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per region what repeated strings cover of it, from its anchor's start; regions of one anchor come together."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        n = np.array([len(r[5]) for r in rows])
-        text = np.full(int(n.sum()) + len(rows), 0xFF, np.uint8)
-        start = np.cumsum(n + 1) - n - 1
-        owner, place, usable = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), np.zeros(len(text), bool)
-        for (_, _, who, lead, at, content), s, k in zip(rows, start, n, strict=True):
-            text[s : s + k] = np.frombuffer(content, np.uint8)
-            owner[s : s + k], place[s : s + k] = who, np.arange(k) + at - lead
-            usable[s : s + max(0, k - LENGTH + 1)] = True
-        # bytes are moved up by one below 0xFF, which UTF-8 never has, so that 0 is free for the end
-        hit = repeated(np.where(text == 0xFF, 0xFF, text + 1).astype(np.uint8), owner, place, usable)
-        out = [(a, r, s - lead, e + LENGTH - 1 - lead) for (a, r, _, lead, _, _), b, k in zip(rows, start, n, strict=True) for s, e in _runs(hit[b : b + k])]
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "r", "lo", "hi"])
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, wanted anchors) to a row of bytes for each region, narrowed to the strides that may repeat."""
+    names = ("a", "r", "lead", "many", "content")
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if size > SORT_BYTES and row[0] != held[-1][0]:
-                yield flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[5])
-    if held:
-        yield flush(held)
+        rows: dict[str, list] = {k: [] for k in names}
+        for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            text = memoryview(text.as_buffer())
+            for w in wanted:
+                far, near = min(w["far"], STRIDE * (w["most"] + 1) - 1), max(w["near"], STRIDE * w["least"])
+                for k, v in zip(names, (w["a"], w["r"], far, w["many"], bytes(text[w["at"] - far : w["at"] - near + LENGTH])), strict=True):
+                    rows[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(rows["a"], pa.int64()), pa.array(rows["r"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["many"], pa.bool_()), pa.array(rows["content"], pa.binary())], list(rows))
 
 
 def _hash(x: bytes) -> int:
@@ -447,7 +484,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, whole.num_rows, 500):
             out: dict[str, list] = {k: [] for k in ("a", "r", "block", "near", "far", "core", "outer")}
             for anchor, kind, lead, content in zip(*(whole.slice(s, 500).column(i).to_pylist() for i in range(4)), strict=True):
-                least, most = max(0, LENGTH - (len(content) - lead)), min(LENGTH - GRAM, lead)
+                least, most = lead + LENGTH - len(content), lead
                 for j in range(least // BLOCK, most // BLOCK + 1):
                     near, far, at = max(least, j * BLOCK), min(most, j * BLOCK + BLOCK - 1), lead - j * BLOCK
                     for k, v in zip(out, (anchor, kind, j, near, far, _hash(content[at : at - BLOCK + 1 + LENGTH]), _hash(content[lead - far : lead - near + LENGTH])), strict=True):
@@ -471,23 +508,28 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _several(df: DataFrame, *key: str) -> DataFrame:
     """The keys that more than one region has; added up per task before they are shuffled."""
-    return settle(df.groupBy(*key).agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select(*key, "x"))
+    return store(df.groupBy(*key).agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x < y").select(*key, "x"))
+
+
+def _having(df: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
+    """df joined to keys by sorting both, so that adaptive execution can split the rows of a frequent key."""
+    return df.hint("merge").join(keys.hint("merge"), [*on], how)
 
 
 def _crowded(regions: DataFrame, tasks: int) -> DataFrame:
     """(a, r, lo, hi) for regions of anchors that have too many for one shard, by counting hashes: of blocks of strings
     first, and of single strings only where a block's strings may repeat but not all of them do so together."""
     blocks = regions.select("a", "r", "lead", "content").repartition(tasks, F.xxhash64("r")).mapInArrow(_blocks, "a long, r long, block int, near int, far int, core long, outer long")
-    blocks = settle(blocks)
+    blocks = store(blocks)
     all_of, some_of = ("a", "near", "far", "outer"), ("a", "block", "core")
     whole = _several(blocks, *all_of)
-    done = blocks.join(whole, [*all_of], "left_semi").select("a", "r", (-F.col("far")).alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi"))
+    done = _having(blocks, whole.drop("x"), *all_of).select("a", "r", (-F.col("far")).alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi"))
     # one block stands for all that are equal as a whole
-    rest = settle(blocks.join(whole, [*all_of], "left_anti").select(*blocks.columns).union(blocks.join(whole, [*all_of]).where("r = x").select(*blocks.columns)))
-    rest = settle(rest.join(_several(rest, *some_of), [*some_of], "left_semi").select("a", "r", "near", "far"))
-    texts = rest.join(regions.select("a", "r", "lead", "content"), ["a", "r"]).select("a", "r", "near", "far", "lead", "content")
-    strings = settle(texts.repartition(tasks, F.xxhash64("r", "near")).mapInArrow(_strings, "a long, r long, lo int, h long"))
-    again = strings.join(_several(strings, "a", "lo", "h"), ["a", "lo", "h"], "left_semi")
+    rest = store(_having(blocks, whole, *all_of, how="left").where("x is null or r = x").drop("x"))
+    rest = store(_having(rest, _several(rest, *some_of), *some_of).select("a", "r", "near", "far"))
+    texts = _having(rest, regions.select("a", "r", "lead", "content"), "a", "r", how="inner").select("a", "r", "near", "far", "lead", "content")
+    strings = store(texts.repartition(tasks, F.xxhash64("r", "near")).mapInArrow(_strings, "a long, r long, lo int, h long"))
+    again = _having(strings, _several(strings, "a", "lo", "h"), "a", "lo", "h")
     return done.union(again.select("a", "r", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
@@ -495,21 +537,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc, text, spans as [lo, hi]) to what is left of each text."""
     for b in batches:
         out: list[tuple] = []
-        for k in range(b.num_rows):
-            text = (b.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass")
-            parts, done, spans, last = [], 0, [], -1
-            for s in sorted((max(0, s["lo"]), min(len(text), s["hi"])) for s in b.column(2)[k].as_py() or []):
-                if spans and s[0] <= last:
-                    last = max(last, s[1])
-                    spans[-1] = (spans[-1][0], last)
+        for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            text = text.as_buffer().to_pybytes()
+            parts, done, spans = [], 0, []
+            for lo, hi in sorted((s["lo"], s["hi"]) for s in marks or []):
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], hi)
                 else:
-                    spans.append(s)
-                    last = s[1]
+                    spans.append([lo, hi])
             for lo, hi in spans:
                 parts.append(text[done:lo])
                 done = hi
             left = b"".join([*parts, text[done:]])
-            out.append((b.column(0)[k].as_py(), len(text), len(text) - len(left), spans, left))
+            out.append((doc, len(text), len(text) - len(left), spans, left))
         yield pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()),
              pa.array([[{"lo": lo, "hi": hi} for lo, hi in o[3]] for o in out], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([o[4] for o in out], pa.binary())],
@@ -521,10 +561,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, spans array<struct<lo, hi>>, kept binary) for every row: the bytes covered by a
     string of LENGTH bytes that also starts elsewhere, in this or another document, and what is left without them.
 
-    Anchors of all texts are counted after equal ones are added up per task. Those that occur once are dropped, and
-    regions that occur twice as a whole are repeated as a whole. Other regions of shared anchors are sorted by
-    shards of whole anchors; an anchor with more than SHARD_GROUP different regions is settled by hashes of its
-    strings instead, which are counted like words, so that no shard gets them all. Nothing is capped.
+    Anchors of all texts are counted after equal ones are added up per task. Those that occur once are dropped. Equal
+    regions are one entry with a count; those of a count above one repeat as a whole. Entries that share a core with
+    another one are dealt to shards by anchor and sorted there. An anchor with more than SHARD_GROUP such entries is
+    split by hashes of its strings instead, which are counted like words, so that no shard gets them all. Nothing is
+    capped. Tables written on the way are deleted once their successors exist, the last ones with the session.
 
     Null texts count as empty. Rows that repeat a doc_id with another text are documents of their own; rows that
     repeat both are copies of each other. An empty table gives no rows. Other columns are ignored.
@@ -532,30 +573,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = int(bounded(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    raw = settle(rows.select("doc", "mark", "text").mapInArrow(_raw, "doc long, mark long, a long, r long, at int, c0 long, c1 long"))
-    shared = settle(raw.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    seen = settle(raw.join(shared, "a", "left_semi"))
-    kinds = settle(seen.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "at", "c0", "c1")).alias("one")))
-    several = settle(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a"))
-    differ = kinds.join(several, "a").select("a", "r", "one.*")
+    raw = store(rows.where(F.octet_length("text") >= LENGTH).select("doc", "mark", "text").mapInArrow(_raw, RAW))
+    shared = store(raw.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    seen = store(_having(raw, shared, "a"))
+    release(raw, shared)
+    one = F.min(F.struct("doc", "mark", "at", "far", "near", "c0", "c1")).alias("one")
+    kinds = store(seen.groupBy("a", "r").agg(F.count("*").alias("n"), one).select("a", "r", "n", "one.*"))
     # strings that repeat share a core: regions none of whose cores another one has are done, others are narrowed
     core = lambda j: F.shiftright(F.col(f"c{j // 3}"), 16 * (j % 3)).bitwiseAND(F.lit(0xFFFF))
-    cores = differ.select("a", "r", F.posexplode(F.array(*[core(j) for j in range(CORES)])).alias("j", "core")).where("core <> 0")
-    live = cores.join(_several(cores, "a", "j", "core"), ["a", "j", "core"], "left_semi").groupBy("a", "r").agg(F.min("j").alias("least"), F.max("j").alias("most"))
-    live = settle(live)
-    many = settle(live.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_GROUP).select("a", F.lit(True).alias("many")))
-    some = live.join(many, "a", "left").join(differ.select("a", "r", "doc", "mark", "at"), ["a", "r"])
-    wanted = settle(some.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "r", "at", "least", "most", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted")))
-    texts = rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wanted")
-    regions = settle(texts.mapInArrow(_regions, "a long, r long, owner long, lead int, at int, many boolean, content binary"))
-    few = regions.where("not many").select("a", "r", "owner", "lead", "at", "content")
-    cover = few.repartition(tasks, "a").sortWithinPartitions("a", "r").mapInArrow(_sorted, "a long, r long, lo int, hi int")
-    cover = cover.union(kinds.where("n > 1").select("a", "r", F.lit(GRAM - LENGTH).alias("lo"), F.lit(LENGTH).alias("hi")))
+    place = F.struct("doc", "mark", "at", "far", "near").alias("place")
+    cores = kinds.select("a", "r", place, F.posexplode(F.array(*[core(j) for j in range(CORES)])).alias("j", "core")).where("core <> 0")
+    several = _several(cores, "a", "j", "core")
+    live = store(_having(cores, several.drop("x"), "a", "j", "core").groupBy("a", "r").agg(F.min("j").alias("least"), F.max("j").alias("most"), F.first("place").alias("place")))
+    many = store(live.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_GROUP).select("a", F.lit(True).alias("many")))
+    some = _having(live, many, "a", how="left").withColumn("many", F.coalesce("many", F.lit(False)))
+    wanted = store(some.groupBy("place.doc", "place.mark").agg(F.collect_list(F.struct("a", "r", "place.at", "place.far", "place.near", "least", "most", "many")).alias("wanted")))
+    texts = rows.join(wanted, ["doc", "mark"])
+    regions = store(texts.select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_regions, "a long, r long, lead int, many boolean, content binary"))
+    release(several, live, wanted)
+    few = regions.where("not many").select("a", "r", "lead", "content")
+    cover = few.repartition(tasks, "a").mapInArrow(_sorted, "a long, r long, lo int, hi int")
+    cover = cover.union(kinds.where("n > 1").select("a", "r", (-F.col("far")).cast("int").alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi")))
     if not many.isEmpty():
         cover = cover.union(_crowded(regions.where("many"), tasks))
-    cover = settle(cover)
-    marks = seen.join(cover, ["a", "r"]).select("doc", "mark", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
-    marks = settle(marks.distinct().groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")))
-    cut = rows.join(marks, ["doc", "mark"], "left").select("doc", "text", "spans")
+    cover = store(cover)
+    release(regions, kinds, many)
+    span = F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    marks = store(_having(seen.select("doc", "mark", "a", "r", "at"), cover, "a", "r", how="inner").groupBy("doc", "mark").agg(F.collect_set(span).alias("spans")))
+    release(seen, cover)
+    cut = rows.join(marks, ["doc", "mark"], "left").select("doc", F.col("text").cast("binary").alias("text"), "spans")
     out = cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
