@@ -44,38 +44,46 @@ def draws(seed: int, id_col: Column, mean: Column) -> Column:
 def rates(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None, source_col: str = "source") -> DataFrame:
     """(source, n_docs, rate): the mean number of copies that brings each source to its share of the result.
 
-    weights has (source, weight), weight >= 0; sources it doesn't name get none, and without weights all
-    sources get the same. size is the number of documents wanted, by default as many as there are. Null is
+    weights has (source, weight); weights of one source add up, those that are null, NaN or negative count as 0.
+    Sources that aren't named get none, and without weights all sources get the same. size is the number of documents wanted, by default as many as there are. Null is
     a source like any other.
     """
     counts = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n_docs"))
     if weights is None:
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
-        w = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("weight"))
+        weight = F.nanvl(F.col("weight").cast("double"), F.lit(0.0))
+        w = weights.groupBy(F.col("source").alias("__source")).agg(F.sum(F.greatest(weight, F.lit(0.0))).alias("weight"))
         counts = counts.join(w, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        counts = counts.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+        counts = counts.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     whole = counts.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").cast("double").alias("all_docs"))
     wanted = F.lit(float(size)) if size is not None else F.col("all_docs")
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * wanted / F.col("n_docs")).otherwise(0.0)
     return counts.join(F.broadcast(whole)).select("source", "n_docs", rate.alias("rate"))
 
 
+ADDED = ("__copy", "__rate", "__order")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with each row as often as a Poisson draw says, in a global random order.
 
-    Adds __copy (from 1), __rate and __order (in [0, 1); partitions follow it and are sorted by it).
-    The draw inverts the Poisson distribution of the source's rate at a hash of seed and doc_id, so it
-    doesn't depend on partitioning and is the same when a lost executor's work is done again. Rows with
-    equal doc_id draw alike; a null doc_id hashes as the empty string. An empty table gives no rows. The draw
-    is made before any text moves: rows without copies are never shuffled, and order keys are spread evenly
-    whatever the sources' sizes.
+    Adds __copy (from 1), __rate and __order (in [0, 1); partitions follow it and are sorted by it); columns of docs
+    with these names are replaced, all others stay as they are. The draw inverts the Poisson distribution of the
+    source's rate at a hash of seed and doc_id, so it doesn't depend on partitioning and is the same when a lost
+    executor's work is done again. Rows with equal doc_id draw alike and keep their order among themselves only up to
+    ties; a null doc_id hashes as the empty string. An empty table gives no rows, and no row is read twice. The draw
+    is made before any text moves: rows without copies are never shuffled. __order is spread evenly whatever the
+    sources' sizes, so that its ranges need no sample.
     """
-    r = settle(rates(docs, weights, size, source_col).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
+    r = settle(rates(docs, weights, size, source_col).select(F.col("source").alias("s"), F.col("rate")))
     if r.count() <= BROADCAST_ROWS:
         r = F.broadcast(r)
-    drawn = docs.join(r, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).drop("__source")
-    drawn = drawn.withColumn("__n", draws(seed, F.col(f"`{id_col}`"), F.col("__rate"))).where("__n > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    keyed = copies.withColumn("__order", uniform(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col("__copy")))
-    return keyed.repartitionByRange("__order").sortWithinPartitions("__order", f"`{id_col}`", "__copy")
+    kept = [c for c in docs.columns if c not in ADDED]
+    inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("of"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    drawn = inner.join(r, F.col("of").eqNullSafe(F.col("s"))).withColumn("n", draws(seed, F.col("id"), F.col("rate"))).where("n > 0")
+    copies = drawn.select("id", "rate", "row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    keyed = copies.withColumn("order", uniform(F.lit(seed + 1), F.col("id"), F.col("copy")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionById(parts, F.floor(F.col("order") * parts).cast("int")).sortWithinPartitions("order", "id", "copy")
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("copy").alias("__copy"), F.col("rate").alias("__rate"), F.col("order").alias("__order"))
