@@ -17,7 +17,7 @@ from .common import bounded
 KINDS = ("email", "ip", "card", "phone")
 #: The tagger's tags: outside, then first and further characters of each kind.
 TAGS = 1 + 2 * len(KINDS)
-#: Each window decides its middle ZONE characters and sees MARGIN more on either side.
+#: Windows begin every ZONE characters, MARGIN before a zone, and reach MARGIN beyond its end, so that they overlap by half.
 ZONE, MARGIN = 48, 24
 WINDOW = ZONE + 2 * MARGIN
 HIDDEN, STEPS, BATCH, RATE = 20, 360, 48, 0.02
@@ -29,10 +29,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: What every span holds at least one of; zones without, and not next to one, can't hold any.
+#: What every span holds at least one of, in any spelling; zones without, and not next to one, can't hold any.
 _TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]|\sdot\s", re.IGNORECASE)
-_QUICK = re.compile(r"[0-9@]")
-_MARKS = tuple(f(m) for m in ("(at", "[at", "{at", "( at", "[ at", "{ at", "(dot", "[dot", "{dot", " dot") for f in (str.lower, str.upper, str.title))
+#: A character that no span holds.
+_BREAK = 10
 
 
 def luhn(digits: str) -> bool:
@@ -85,12 +85,16 @@ def _sample(r: np.random.Generator) -> tuple[int | None, str]:
     d, pick = (lambda n: _digits(r, n)), (lambda *x: x[r.integers(len(x))])
     kind = int(r.integers(0, 8))
     if kind == 0:
-        name = re.sub("[^a-z]", "", _word(r) + _word(r)) + pick("", "", "." + d(2), "_" + d(1), d(3))
+        name = re.sub("[^a-z]", "", _word(r) + _word(r)) + pick("", "", "." + d(2), "_" + d(1), d(3), "." + re.sub("[^a-z]", "", _word(r) + "e"))
         host, end = re.sub("[^a-z]", "", _word(r)) + "x" + pick("", d(1), "-" + d(1)), pick("com", "org", "net", "example.com", "de", "fr", "co.uk", "io")
         at, dot = pick("@", "@", " (at) ", " [at] ", "(at)", " {at} ", " at "), pick(".", ".", " (dot) ", " [dot] ", "[dot]", " dot ")
         if at == " at ":
             dot = " dot "
-        return 0, (name or "a") + at + (host + "." + end).replace(".", dot)
+        at, dot = (pick(x, x, x.upper(), "".join(c.upper() if r.random() < 0.5 else c for c in x)) for x in (at, dot))
+        if at != "@":
+            name = name.replace(".", dot)
+        whole = (name or "a") + at + (host + "." + end).replace(".", dot)
+        return 0, whole.upper() if r.random() < 0.15 else whole
     if kind == 1:
         return 1, pick(".", ".", "[.]", " . ").join(str(x) for x in r.integers(1, 256, 4))
     if kind == 2:
@@ -245,19 +249,26 @@ def trained(seed: int = 7, steps: int = STEPS) -> dict:
     return p
 
 
-def viterbi(p: dict, x: np.ndarray) -> np.ndarray:
-    """The best tags [N, T] of windows x [N, T]."""
-    e, _ = _emissions(p, x.T.astype(int))
-    steps, n, _ = e.shape
-    score, back = e[0], np.empty(e.shape, np.int8)
-    for t in range(1, steps):
-        through = score[:, :, None] + p["trans"]
-        back[t] = through.argmax(1)
-        score = through.max(1) + e[t]
-    tags = np.empty((n, steps), np.int8)
-    tags[:, -1] = score.argmax(1)
-    for t in range(steps - 1, 0, -1):
-        tags[:, t - 1] = back[t][np.arange(n), tags[:, t]]
+def best_tags(trans: np.ndarray, e: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The best tags of e [position, tag]: in each stretch e[begin:begin + size] the path with the largest sum of
+    emissions and transitions, from and to the outside tag; 0 elsewhere."""
+    tags = np.zeros(len(e), np.int8)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    if not len(size) or not size[0]:
+        return tags
+    active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1), "left")
+    score, back = trans[0] + e[begin[: active[0]]], np.zeros(e.shape, np.int8)
+    for t in range(1, size[0]):
+        k = active[t]
+        through = score[:k, :, None] + trans
+        back[begin[:k] + t] = through.argmax(1)
+        score[:k] = through.max(1) + e[begin[:k] + t]
+    last = (score + trans[:, 0]).argmax(1)
+    for t in range(size[0] - 1, -1, -1):
+        at = begin[: active[t]] + t
+        tags[at] = last[: active[t]]
+        last[: active[t]] = back[at, last[: active[t]]]
     return tags
 
 
@@ -286,59 +297,84 @@ def _zones(text: str) -> list[int]:
     """Zones of the text that may hold a part of a span."""
     near: set[int] = set()
     for m in _TRIGGER.finditer(text):
-        z = m.start() // ZONE
-        near |= {z - 1, z, z + 1}
+        near |= {*range(m.start() // ZONE - 1, (m.end() - 1) // ZONE + 2)}
     last = (len(text) - 1) // ZONE
     return sorted(z for z in near if 0 <= z <= last)
 
 
+#: How much a window counts for each of its characters: most in its middle, whose surroundings it sees.
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+
+
+def reconciled(e: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Emissions [zone, ZONE, tag] from those of windows [zone, WINDOW, tag]: the weighted mean of all windows that see
+    a character. joined: whether a zone follows the one before it in its text."""
+    e = e * _WEIGHT
+    middle = slice(MARGIN, MARGIN + ZONE)
+    out, weight = e[:, middle].copy(), np.repeat(_WEIGHT[None, middle], len(e), axis=0)
+    k = np.flatnonzero(joined)
+    for to, of, here, there in ((k, k - 1, slice(0, MARGIN), slice(MARGIN + ZONE, WINDOW)), (k - 1, k, slice(ZONE - MARGIN, ZONE), slice(0, MARGIN))):
+        out[to, here] += e[of, there]
+        weight[to, here] += _WEIGHT[there]
+    return out / weight
+
+
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) that the tagger finds in each text. Windows overlap by half; every character's tag is
-    that of the one window in whose middle it lies, and spans are read from these tags across windows."""
-    where = [(k, z) for k, t in enumerate(texts) for z in _zones(t)]
+    """(kind, start, end) that the tagger finds in each text. What overlapping windows say of a character is averaged,
+    and one Viterbi pass over all of a text's zones in a row, between line ends, which no span crosses, sets the tags."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    tags = np.zeros((len(where), ZONE), np.int8)
-    for i in range(0, len(where), 2048):
-        some = where[i : i + 2048]
-        x = np.zeros((len(some), WINDOW), np.int16)
-        for row, (k, z) in zip(x, some, strict=True):
-            lo = z * ZONE - MARGIN
-            c = codes(texts[k][max(lo, 0) : lo + WINDOW])
-            row[max(-lo, 0) : max(-lo, 0) + len(c)] = c
-        tags[i : i + len(some)] = viterbi(p, x)[:, MARGIN : MARGIN + ZONE]
-    i = 0
-    while i < len(where):
-        k, z = where[i]
-        j = i + 1
-        while j < len(where) and where[j] == (k, z + j - i):
-            j += 1
-        line, at, text = tags[i:j].ravel(), z * ZONE, texts[k]
-        s = 0
-        while s < len(line):
-            if not (t := int(line[s])):
-                s += 1
-                continue
-            kind, e = (t - 1) // 2, s + 1
-            while e < len(line) and line[e] == 2 + 2 * kind:
-                e += 1
-            a, b = at + s, min(at + e, len(text))
-            s = e
-            while a < b and text[a] in " \t\n,;:.!?)\"'":
-                a += 1
-            while a < b and text[b - 1] in " \t\n,;:.!?(\"'-":
-                b -= 1
-            if a < b and _valid(kind, text[a:b]):
-                out[k].append((kind, a, b))
-        i = j
+    some: list[tuple[int, int]] = []
+    for k, text in enumerate(texts):
+        some += [(k, z) for z in _zones(text)]
+        if len(some) >= 2048 or (k == len(texts) - 1 and some):
+            _decode(p, texts, some, out)
+            some = []
     return out
 
 
+def _decode(p: dict, texts: list[str], where: list[tuple[int, int]], out: list[list[tuple[int, int, int]]]) -> None:
+    e = np.empty((len(where), WINDOW, TAGS), np.float32)
+    x = np.zeros((len(where), WINDOW), np.int16)
+    for row, (k, z) in zip(x, where, strict=True):
+        lo = z * ZONE - MARGIN
+        c = codes(texts[k][max(lo, 0) : lo + WINDOW])
+        row[max(-lo, 0) : max(-lo, 0) + len(c)] = c
+    for i in range(0, len(where), 2048):
+        e[i : i + 2048] = _emissions(p, x[i : i + 2048].T.astype(int))[0].transpose(1, 0, 2)
+    doc, zone = np.array(where).T
+    joined = np.append(False, (doc[1:] == doc[:-1]) & (zone[1:] == zone[:-1] + 1))
+    e = reconciled(e, joined).reshape(-1, TAGS)
+    char = x[:, MARGIN : MARGIN + ZONE].ravel()
+    inside = (char != 0) & (char != _BREAK)
+    head = inside & ~np.append(False, inside[:-1]) | inside & (np.repeat(~joined, ZONE) & (np.arange(len(char)) % ZONE == 0))
+    begin = np.flatnonzero(head)
+    ends = np.flatnonzero(np.append(~inside | head, True))
+    size = ends[np.searchsorted(ends, begin, "right")] - begin
+    tags = best_tags(p["trans"], e, begin, size)
+    first = np.flatnonzero((tags > 0) & ((tags % 2 == 1) | head | (np.append(0, tags[:-1]) != tags) & (np.append(0, tags[:-1]) != tags - 1)))
+    stretch = begin[np.searchsorted(begin, first, "right") - 1] + size[np.searchsorted(begin, first, "right") - 1]
+    for s, stop in zip(first.tolist(), stretch.tolist(), strict=True):
+        kind = (int(tags[s]) - 1) // 2
+        end = s + 1
+        while end < stop and tags[end] == 2 + 2 * kind:
+            end += 1
+        k, z = where[s // ZONE]
+        text = texts[k]
+        a = z * ZONE + s % ZONE
+        b = min(a + end - s, len(text))
+        while a < b and text[a] in " \t\n,;:.!?)\"'":
+            a += 1
+        while a < b and text[b - 1] in " \t\n,;:.!?(\"'-":
+            b -= 1
+        if a < b and _valid(kind, text[a:b]):
+            out[k].append((kind, a, b))
+
+
 def all_spans(p: dict, texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
     """Spans of each text by kind, then start, with whether an exact pattern found them. The tagger's spans
     count where they touch no exact one."""
     found: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
-    some = [k for k, t in enumerate(texts) if _QUICK.search(t) or any(m in t for m in _MARKS)]
-    for k, extra in zip(some, model_spans(p, [texts[k] for k in some]), strict=True):
+    for k, extra in enumerate(model_spans(p, texts)):
         base = base_spans(texts[k])
         new = [x for x in extra if all(x[2] <= b[1] or b[2] <= x[1] for b in base)] if len(base) * len(extra) < 10_000 else _apart(base, extra)
         found[k] = sorted([(*b, True) for b in base] + [(*x, False) for x in new])

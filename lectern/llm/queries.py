@@ -49,16 +49,21 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_poisson_mix"] = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, least((1.0::DOUBLE / (SELECT count(*) FROM counts)) * (SELECT sum(n) FROM counts)::DOUBLE / n, 500.0::DOUBLE) AS rate FROM counts),
+means AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM counts)) * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts),
+rates AS (SELECT source, ceil(rate / {mixing.LARGEST_MEAN})::INT AS pieces, CASE WHEN rate > {mixing.LARGEST_MEAN} THEN rate / ceil(rate / {mixing.LARGEST_MEAN}) ELSE rate END AS rate FROM means),
 cdf(source, rate, k, term, total) AS (
   SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
   UNION ALL
   SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM cdf
   WHERE k < ceil(rate + 12 * sqrt(rate) + 20)
 ),
-drawn AS (SELECT d.*, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM documents d),
+pieces AS (SELECT source, pieces, unnest(range(1, pieces + 1)) AS piece FROM rates),
+drawn AS (
+  SELECT d.*, ('0x' || substr(md5('{mixing.SEED}' || CASE WHEN p.pieces > 1 THEN '/' || p.piece ELSE '' END || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)!r} AS u
+  FROM documents d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source
+),
 copies AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.k + 1 AS copy
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, row_number() OVER (PARTITION BY d.doc_id) AS copy
   FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND d.u >= c.total
   WHERE c.k < ceil(c.rate + 12 * sqrt(c.rate) + 20)
 )
@@ -75,7 +80,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, pii.KINDS)), s["kind"] + 1), s["start"], s["end"])
     joined = lambda spans: F.array_join(F.transform(spans, line), ",")
     exact = F.filter("spans", lambda s: s["exact"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["exact"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    of = lambda k: F.filter("spans", lambda s: s["exact"] & (s["kind"] == k))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(exact).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 

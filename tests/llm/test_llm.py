@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -98,7 +99,8 @@ def test_base_spans_equal_the_patterns():
 def test_tagger_learns_and_keeps_base_spans():
     p = pii.trained()
     x, y = pii.training_windows(300, 99)
-    got = pii.viterbi(p, x)
+    e = pii._emissions(p, x.T.astype(int))[0].transpose(1, 0, 2)
+    got = pii.best_tags(p["trans"], e.reshape(-1, pii.TAGS), np.arange(len(x)) * pii.WINDOW, np.full(len(x), pii.WINDOW)).reshape(x.shape)
     assert (got == y)[y > 0].mean() > 0.85 and (got > 0)[y == 0].mean() < 0.03
     text = "write to bob (at) example (dot) com or call (569) 555-4877, ip 10.0.0.1"
     spans = pii.all_spans(p, [text])[0]
@@ -107,6 +109,71 @@ def test_tagger_learns_and_keeps_base_spans():
     assert pii.all_spans(p, ["no private words here at all", ""]) == [[], []]
 
 
+def test_crf_and_viterbi_equal_enumeration():
+    r = np.random.default_rng(12)
+    p = {"trans": r.normal(size=(pii.TAGS, pii.TAGS))}
+    e = r.normal(size=(4, 1, pii.TAGS))
+    y = r.integers(0, pii.TAGS, (4, 1))
+    paths = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+
+    def total(e, trans, paths):
+        return sum(e[t, 0, paths[:, t]] for t in range(4)) + sum(trans[paths[:, t], paths[:, t + 1]] for t in range(3))
+
+    def loss(e, trans):
+        s = total(e, trans, paths)
+        return np.log(np.exp(s - s.max()).sum()) + s.max() - total(e, trans, y.T)[0]
+
+    found, de, dtrans = pii._crf(p, e, y)
+    assert found == pytest.approx(loss(e, p["trans"]))
+    for at in [(0, 0, 3), (2, 0, 1), (3, 0, int(y[3, 0]))]:
+        moved = e.copy()
+        moved[at] += 1e-6
+        assert (loss(moved, p["trans"]) - loss(e, p["trans"])) / 1e-6 == pytest.approx(de[at], abs=1e-4)
+    moved = p["trans"].copy()
+    moved[y[0, 0], y[1, 0]] += 1e-6
+    assert (loss(e, moved) - loss(e, p["trans"])) / 1e-6 == pytest.approx(dtrans[y[0, 0], y[1, 0]], abs=1e-4)
+    ends = total(e, p["trans"], paths) + p["trans"][0, paths[:, 0]] + p["trans"][paths[:, 3], 0]
+    two = np.concatenate([e[:, 0], np.zeros((1, pii.TAGS)), e[:2, 0]])  # stretches of four and two, one position outside
+    short = np.array(list(itertools.product(range(pii.TAGS), repeat=2)))
+    best = p["trans"][0, short[:, 0]] + two[5, short[:, 0]] + p["trans"][short[:, 0], short[:, 1]] + two[6, short[:, 1]] + p["trans"][short[:, 1], 0]
+    assert pii.best_tags(p["trans"], two, np.array([5, 0]), np.array([2, 4])).tolist() == [*paths[ends.argmax()], 0, *short[best.argmax()]]
+
+
+def test_windows_are_reconciled():
+    r = np.random.default_rng(13)
+    e = r.normal(size=(5, pii.WINDOW, pii.TAGS)).astype(np.float32)
+    joined = np.array([False, True, True, False, True])
+    got = pii.reconciled(e, joined)
+    run = np.cumsum(~joined)
+    for z in range(5):
+        for c in range(pii.ZONE):
+            seen = [(pii.ZONE * (z - k) + pii.MARGIN + c, k) for k in range(5) if run[k] == run[z]]
+            seen = [(at, k) for at, k in seen if 0 <= at < pii.WINDOW]
+            weight = [min(at + 1, pii.WINDOW - at) for at, _ in seen]
+            assert np.allclose(got[z, c], sum(w * e[k, at] for w, (at, k) in zip(weight, seen)) / sum(weight), atol=1e-5)
+
+
+def test_spellings_in_any_case():
+    p = pii.trained()
+    for text in ("bob (aT) example (dOt) com", "bob (at) example (dot) com", "BOB [AT] EXAMPLE [DOT] COM"):
+        kinds = [k for k, *_ in pii.all_spans(p, ["write to " + text.lower() + " now", "write to " + text + " now"])[1]]
+        assert kinds == [0], text
+
+
+def test_pii_query_equals_the_operator(spark, tmp_path):
+    texts = ["", None, "a@b.co 10.0.0.1 and +1 (569) 555-4877, card 4111 1111 1111 1111!", "x" * 70_000 + " me@there.org", "no digits", "é 😀 u@v.io"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(2, texts[2])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op1_pii(spark, str(tmp_path)).collect()))
+    want = []
+    for i, x in [*enumerate(texts), (2, texts[2])]:
+        base = plain_base(x or "")
+        spans = pii.all_spans(pii.trained(), [x or ""])[0]
+        assert [s[:3] for s in spans if s[3]] == sorted(base)
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base)).encode()).hexdigest()
+        want.append((i, *[sum(k == s[0] for s in base) for k in range(4)], digest, ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, _ in spans)))
+    assert got == sorted(want)
+
+
 def test_pii_operator(spark):
     docs = documents(spark).withColumn("text", F.when(F.col("doc_id") == 5, "mail a.b@c.example.org, card 4111 1111 1111 1111.").otherwise(F.col("text")))
     got = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).collect()}
@@ -233,19 +300,19 @@ def test_phrases_equal_a_plain_parse():
     p = langid.Parser(texts)
     r = np.random.default_rng(7)
     docs = ["".join(r.choice(list("the catdrgunkz!É"), int(r.integers(0, 2500)))) for _ in range(30)]
+    docs += ["the cat sat on the mat " * 300, "x" * 5000, "e" * 4000 + "the", ""]
     data = [d.encode() for d in docs]
     ends = np.cumsum([len(d) for d in data])
     got = p.phrases(np.frombuffer(b"".join(data), np.uint8), np.r_[0, ends[:-1]], ends)
     for d, counts in zip(data, got, strict=True):
         for k, lang in enumerate(p.languages):
             known, n = bytes(langid.CLASSES[np.frombuffer(texts[lang], np.uint8)]), 0
-            for s in range(0, len(d), langid.BLOCK):
-                part, i = bytes(langid.CLASSES[np.frombuffer(d[s : s + langid.BLOCK], np.uint8)]), 0
-                while i < len(part):
-                    j = i + 1
-                    while j <= len(part) and part[i:j] in known:
-                        j += 1
-                    n, i = n + 1, max(i + 1, j - 1)
+            part, i = bytes(langid.CLASSES[np.frombuffer(d, np.uint8)]), 0
+            while i < len(part):
+                j = i + 1
+                while j <= len(part) and part[i:j] in known:
+                    j += 1
+                n, i = n + 1, max(i + 1, j - 1)
             assert counts[k] == n
 
 
@@ -258,9 +325,37 @@ def test_language_held_out(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 ..."), (4, "日本語")], "doc_id long, text string")
     p = langid.fit(documents(spark))
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd, p).collect()} == {1: "und", 2: "und", 3: "und", 4: "en"}
+    assert langid.predict(odd.limit(0), p).count() == 0
     assert langid.predict(odd, langid.fit(documents(spark).limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_little_training_text_is_no_loss(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'es')")
+    two = [r["doc_id"] for r in docs.where("lang = 'es' and length(text) between 200 and 600").orderBy("doc_id").limit(2).collect()]
+    p = langid.fit(docs.where((F.col("lang") == "en") | F.col("doc_id").isin(two)))
+    got = langid.predict(docs, p).join(docs.select("doc_id", "lang"), "doc_id").where(~F.col("doc_id").isin(two))
+    right = {r["lang"]: r["right"] for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()}
+    assert right["es"] > 0.9 and right["en"] > 0.97, right
+
+
+def test_score_equals_a_plain_parse(spark):
+    texts = {"a": b"the cat sat on the mat the end " * 20, "b": b"der hund und die katze der garten"}
+    p = langid.Parser(texts)
+    said = ["the cat and the hund", "der garten sat " * 200, "", None, "42"]
+    docs = spark.createDataFrame([(i, x, "z", 1.0) for i, x in enumerate(said)] + [(0, said[0], None, None)], "doc_id long, text string, lang_pred string, score double")
+    bits = np.log2([max(langid.LEAST_BYTES, len(texts[k])) for k in p.languages])
+    for r in langid.predict(docs, p).collect():
+        x = said[r["doc_id"]]
+        if not x or not any(c.isalpha() for c in x):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        d = x.encode()
+        cost = p.phrases(np.frombuffer(d, np.uint8), np.array([0]), np.array([len(d)]))[0] * bits
+        share = (cost.min() / cost) ** langid.SHARPNESS
+        assert r["lang_pred"] == p.languages[int(cost.argmin())] and r["score"] == pytest.approx(share.max() / share.sum())
+
+
 # --- 6 WARC -----------------------------------------------------------------------------------------------------
 
 
