@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.scratch import release, shared_dir, store
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded", "components", "forest", "pairs_within", "release", "rename_free", "settle", "shared_dir", "store", "tidy"]
+
 #: Rows and bytes of one Arrow batch handed to Python, so that long texts don't add up.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -24,45 +26,12 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    if at := sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
-        return at
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder: it is computed once and outlives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write df as a table in the shared folder and read it from there: like settle, but in columns, compressed, and
-    deleted by release or with the session."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(_path(spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lectern_table = path
-    return out
-
-
-def release(*stored: DataFrame) -> None:
-    """Delete tables of store that nothing reads any more."""
-    for df in stored:
-        spark = df.sparkSession
-        at = _path(spark, df._lectern_table)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
 def rename_free(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -498,6 +498,47 @@ def plain_removal(texts, length=400):
     return out
 
 
+def test_anchors_of_every_string(monkeypatch):
+    r = np.random.default_rng(14)
+    passage = sentence(r, 120).encode()
+    texts = [sentence(r, 50).encode() + passage + sentence(r, 30).encode(), passage[100:], b"", b"x" * 239, b"y" * 700, sentence(r, 400).encode()]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    for step in (1 << 20, 333):
+        monkeypatch.setattr(suffix, "STEP", step)
+        at, of = defaultdict(set), defaultdict(list)
+        for text, a, region, place, far, near, reach, cores in suffix.anchors(np.frombuffer(b"".join(texts), np.uint8), offsets):
+            for t, h, kind, p, f, n, e, c in zip(text.tolist(), a, region, place.tolist(), far.tolist(), near.tolist(), reach.tolist(), cores.tolist()):
+                assert e == min(400 - n, len(texts[t]) - p)
+                of[h, kind].append(texts[t][p - f : p + e])
+                for d in range(n, f + 1):
+                    at[texts[t][p - d : p - d + 240]].add((int(h), d, c[d // 64]))
+                    of[t].append(p - d)
+                assert all((c[j] > 0) == (n // 64 <= j <= f // 64) for j in range(4))
+        assert all(len(v) == 1 for v in at.values())  # equal strings: one anchor, distance and core
+        assert all(sorted(of[t]) == list(range(max(0, len(x) - 239))) for t, x in enumerate(texts))
+        assert all(len(set(v)) == 1 for k, v in of.items() if isinstance(k, tuple))
+
+
+def test_a_shard_on_disk(monkeypatch):
+    r = np.random.default_rng(15)
+    passage = sentence(r, 150).encode()
+    regions = [(b"".join([sentence(r, 20).encode()[: 10 * i], passage[i : 620 - 7 * i]])) for i in range(12)]
+    monkeypatch.setattr(suffix, "STEP", 1000)
+    out = []
+    for room in (1 << 24, 500):
+        shard = suffix.Shard(room)
+        n = np.array([len(x) - 239 for x in regions])
+        shard.add(np.arange(12), np.arange(12), np.zeros(12, int), n, pa.array(regions, pa.binary()))
+        shard.add(np.arange(2), np.arange(2), np.zeros(2, int), n[:2], pa.array(regions[:2], pa.binary()))  # rows that repeat
+        out.append([b.to_pylist() for b in shard.repeated()])
+    assert out[0] == out[1]
+    for found, length, cols in zip(out[0], (240, 400), (("lo", "hi"), ("long_lo", "long_hi"))):
+        gone = [np.zeros(len(x), bool) for x in regions]
+        for row in found:
+            gone[row["a"]][row[cols[0]] : row[cols[1]]] = True
+        assert [g.sum() for g in gone] == [w[0] for w in plain_removal(regions, length)]
+
+
 @pytest.mark.parametrize("group", [256, 2])
 def test_removal_equals_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffix, "SHARD_GROUP", group)
@@ -507,8 +548,9 @@ def test_removal_equals_brute_force(spark, monkeypatch, group):
     more = [(100 + i, sentence(r, int(r.integers(0, 60))) + (" é " if i % 2 else " ") + passage[i : 520 + 3 * i] + sentence(r, int(r.integers(0, 60)))) for i in range(12)]
     docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(*m, "en") for m in more], "doc_id long, text string, lang string"))
     listed = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-    want = sorted(((d, len(t), *w) for (d, t), w in zip(listed, plain_removal([t for _, t in listed]))), key=repr)
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix.remove_repeats(docs).collect()), key=repr)
+    texts = [t for _, t in listed]
+    want = sorted(((d, len(t), *w, short[0]) for (d, t), w, short in zip(listed, plain_removal(texts), plain_removal(texts, 240))), key=repr)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"]), r["n_repeated"]) for r in suffix.remove_repeats(docs).collect()), key=repr)
     assert got == want
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
@@ -589,3 +631,24 @@ def test_pipeline_equals_its_parts(spark, reference):
             assert {r["doc_id"] for r in after} == set(before) and not any(plain_base(r["text"]) for r in after)
     want = sorted((r["doc_id"], hashlib.sha256(np.array(reference.encode_ordinary(r["text"]), "<u4").tobytes()).hexdigest()) for r in at.collect())
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_awkward_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = documents(spark).withColumns({"rate": F.lit(1.0), "score": F.lit(2), "__copy": F.lit(3), "n": F.lit("n")})
+    docs = docs.limit(0) if empty else docs
+    labels = [(i, None, i % 7 == 0) for i in range(30)] + [(3, 1, True), (None, 0, False), (40, 0, None)]
+    spark.createDataFrame([(a, b, None if c is None else int(c)) for a, b, c in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert (not rows) == empty, name
+        if name != "byte_bpe":
+            assert out.columns == docs.columns, name
+            assert name == "pii" or {(r["doc_id"], r["text"]) for r in rows} <= ids, name
+        if name in ("pii", "byte_bpe"):
+            assert len(rows) == docs.count(), name
+        docs = spark.createDataFrame(rows, out.schema)
