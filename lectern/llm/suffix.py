@@ -1,11 +1,12 @@
 """Repeated passages by suffix sorting: anchors bring equal strings to one shard, induced sorting finds them there.
 
-Bytes are removed where a string of LENGTH bytes repeats; those where one of SHORT bytes does are counted. Every string
-of SHORT bytes has an anchor, the leftmost smallest hash of GRAM bytes in it, which depends on the string alone. So
-equal strings have equal anchors at the same distance, and longer ones those of their first SHORT bytes. The starts of
-the strings of one anchor are neighbours; the LENGTH bytes from each of them are its region. Anchors that occur once
-need no text, and equal regions are sorted once. Regions that share an anchor and a core with another one are dealt to
-shards, each of which is sorted.
+Every string of LENGTH bytes has an anchor, the leftmost smallest hash of GRAM bytes in it, which depends on the
+string alone. So equal strings have equal anchors at the same distance. The starts of the strings of one anchor are
+neighbours; the bytes these strings cover are its region. Anchors that occur once need no text, and equal regions are
+sorted once. Regions that share an anchor and a core with another one are dealt to shards, each of which is sorted.
+
+Shorter passages are counted, not removed: every SHORT bytes hold a place, the leftmost smallest hash of SHORT_GRAM bytes
+in them, so a passage of SHORT bytes that occurs elsewhere has a place that does, and none does by less than SHORT_GRAM.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded, release, store
 
-LENGTH, SHORT, GRAM = 400, 240, 32
+LENGTH, GRAM = 400, 64
+SHORT, SHORT_GRAM = 240, 128
+#: Bytes of a shard, about.
+SHARD_BYTES = 3 << 20
 #: Regions of one anchor that a shard gets at most. An anchor with more is split by hashes of its strings.
 SHARD_GROUP = 4096
 #: Neighbouring starts of strings that such an anchor's regions are first compared by together.
@@ -29,7 +33,7 @@ BLOCK = 16
 #: Bytes that a shard holds in memory of each of its text, queues and results; what is beyond goes to disk.
 ROOM = 32 << 20
 #: Starts of strings before an anchor are told apart by so many bytes at first: strings of one stride share a core.
-STRIDE, CORES = 64, 4
+STRIDE, CORES = 64, 6
 #: Starts looked at together.
 STEP = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -68,40 +72,58 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, anchor, region, place, far, near, reach, cores) of the texts data[offsets[k]:offsets[k + 1]], some at a time.
+    """(text, anchor, region, place, far, near, cores) of the texts data[offsets[k]:offsets[k + 1]], some at a time.
 
-    An anchor is the hash of its GRAM bytes at place. Its strings start far to near bytes before it, and its region ends
-    reach bytes after it. A region is a hash of all its bytes. Strings that start STRIDE * j up to STRIDE * (j + 1) bytes
-    before the anchor share a core; cores [anchor, j] are 16 bits of its hash, or 0 where no string starts there.
+    An anchor is the hash of its GRAM bytes at place. Its strings start far to near bytes before it. A region is a hash
+    of all that these strings cover. Strings that start STRIDE * j up to STRIDE * (j + 1) bytes before the anchor share a
+    core; cores [anchor, j] are 16 bits of its hash, or 0 where no string starts there.
     """
-    for lo in range(0, max(0, len(data) - SHORT + 1), STEP):
+    for lo in range(0, max(0, len(data) - LENGTH + 1), STEP):
         part = data[lo : lo + STEP + LENGTH - 1]
+        if len(part) < LENGTH:
+            return
         h = gram_hashes(part, GRAM)
         packed = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        least = (sliding_minimum(packed, SHORT - GRAM + 1)[:STEP] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        least = (sliding_minimum(packed, LENGTH - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first_text, last_text = np.searchsorted(offsets, [lo, lo + len(least)], "right") - 1
         ends = offsets[first_text + 1 : last_text + 2] - lo  # of the texts here
         text = np.searchsorted(ends, np.arange(len(least)), "right")
-        inside = np.flatnonzero(np.arange(len(least)) + SHORT <= ends[np.minimum(text, len(ends) - 1)])
+        inside = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[np.minimum(text, len(ends) - 1)])
         if not len(inside):
             continue
         least, text = least[inside], text[inside]
         begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
         first, last, at, text = inside[begin], inside[np.r_[begin[1:], len(inside)] - 1], least[begin], text[begin]
-        end = np.minimum(last + LENGTH, ends[text])
-        far, near, reach = at - first, at - last, end - at
-        region = _mixed((far << 32 | near << 16 | reach).astype(np.uint64), MULTIPLIER)
-        for k in range(0, LENGTH + SHORT, GRAM):
-            use = np.flatnonzero(first + k < end)
-            region[use] = _mixed(region[use], h[np.minimum(first[use] + k, end[use] - GRAM)])
+        far, near = at - first, at - last
+        region = _mixed(far.astype(np.uint64), near.astype(np.uint64) << np.uint64(32))
+        for k in range(0, 2 * LENGTH, GRAM):
+            use = np.flatnonzero(first + k < last + LENGTH)
+            region[use] = _mixed(region[use], h[np.minimum(first[use] + k, last[use] + LENGTH - GRAM)])
         stride = np.arange(CORES)
         there = (stride >= (near // STRIDE)[:, None]) & (stride <= (far // STRIDE)[:, None])
         start = np.where(there, at[:, None] - STRIDE * stride, 0)
-        core, size = np.zeros(start.shape, np.uint64), SHORT - STRIDE + 1
+        core, size = np.zeros(start.shape, np.uint64), LENGTH - STRIDE + 1
         for d in [*range(0, size - GRAM, GRAM), size - GRAM]:
             core = _mixed(core, h[np.minimum(start + d, len(h) - 1)])
         core = np.where(there, np.maximum((core >> np.uint64(48)).astype(np.int64), 1), 0)
-        yield text + first_text, h[at], region, at + lo - offsets[text + first_text], far, near, reach, core
+        yield text + first_text, h[at], region, at + lo - offsets[text + first_text], far, near, core
+
+
+def places(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, hash) of the places of the texts data[offsets[k]:offsets[k + 1]], some at a time; a place that two parts see
+    comes once."""
+    done = -1
+    for lo in range(0, max(0, len(data) - SHORT + 1), STEP):
+        h = gram_hashes(data[lo : lo + STEP + SHORT - 1], SHORT_GRAM)
+        packed = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        least = (sliding_minimum(packed, SHORT - SHORT_GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        text = np.searchsorted(offsets, lo + np.arange(len(least)), "right") - 1
+        inside = lo + np.arange(len(least)) + SHORT <= offsets[np.minimum(text + 1, len(offsets) - 1)]
+        at, first = np.unique(least[inside], return_index=True)
+        new = at + lo > done
+        if new.any():
+            yield text[inside][first][new], h[at[new]]
+            done = int(at[-1]) + lo
 
 
 def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,17 +135,22 @@ def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-RAW = "doc long, mark long, a long, r long, at int, far short, near short, reach short, cores long"
+#: Rows of places have an anchor alone.
+RAW = "doc long, mark long, a long, r long, at int, far short, near short, c0 long, c1 long"
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of RAW for every anchor of every text."""
+    """A row of RAW for every anchor and every place of every text."""
+    names = [c.split()[0] for c in RAW.split(", ")]
     for b in batches:
         docs, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for text, a, r, at, far, near, reach, core in anchors(*_utf8(b.column(2))):
-            packed = core[:, 0] | core[:, 1] << 16 | core[:, 2] << 32 | core[:, 3] << 48
-            cols = [docs[text], marks[text], a.view(np.int64), r.view(np.int64), at.astype(np.int32), *(x.astype(np.int16) for x in (far, near, reach)), packed]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in RAW.split(", ")])
+        for text, a in places(*_utf8(b.column(2))):
+            none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[text]), pa.array(marks[text]), pa.array(a.view(np.int64)), *none], names)
+        for text, a, r, at, far, near, core in anchors(*_utf8(b.column(2))):
+            packed = [core[:, j] | core[:, j + 1] << 16 | core[:, j + 2] << 32 for j in (0, 3)]
+            cols = [docs[text], marks[text], a.view(np.int64), r.view(np.int64), at.astype(np.int32), far.astype(np.int16), near.astype(np.int16), *packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
 # --- induced sorting --------------------------------------------------------------------------------------------
@@ -337,15 +364,15 @@ def _ranked_seeds(text: np.ndarray, seeds: np.ndarray, most: int) -> tuple[np.nd
     told apart. The names of every size then tell how many strings two neighbours share; only the first strings that
     differ are compared by bytes.
     """
-    n = len(seeds)
+    n, kind = len(seeds), np.int32 if len(seeds) < 1 << 31 else np.int64
     if not n:
         return seeds, np.empty(0, np.int16)
-    names, step = [_names(text, seeds, np.append(seeds[1:], len(text) - 1))], 1
+    names, step = [_names(text, seeds, np.append(seeds[1:], len(text) - 1)).astype(kind)], 1
     covered = int(np.diff(seeds).min()) if n > 1 else most
     while names[-1].max() + 1 < n and covered < most:
         nxt = np.full(n, -1, np.int64)
         nxt[:-step] = names[-1][step:]
-        names.append(np.unique(names[-1] * (n + 1) + nxt + 1, return_inverse=True)[1])
+        names.append(np.unique(names[-1].astype(np.int64) * (n + 1) + nxt + 1, return_inverse=True)[1].astype(kind))
         step *= 2
         covered = int((seeds[step:] - seeds[:-step]).min()) if step < n else most
     order = np.argsort(names[-1], kind="stable")
@@ -398,35 +425,25 @@ def _names(text: np.ndarray, a: np.ndarray, ends: np.ndarray) -> np.ndarray:
 # --- a shard ----------------------------------------------------------------------------------------------------
 
 
-#: What strings of SHORT and of LENGTH bytes cover from the anchor's start on; either may be null.
-COVER = "a long, r long, lo int, hi int, long_lo int, long_hi int"
-
-
-def _cover(a: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray, long: bool) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.int32())
-    spans = [pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), *([none, none, *spans] if long else [*spans, none, none])], ["a", "r", "lo", "hi", "long_lo", "long_hi"])
-
-
 class Shard:
     """Regions of a shard as one text, whose strings that occur twice are found by sorting its suffixes."""
 
     def __init__(self, room: int = ROOM):
-        self.room, self.file = room, tempfile.SpooledTemporaryFile(room)
+        self.room, self.held, self.size, self.file = room, [], 0, tempfile.SpooledTemporaryFile(room)
         self.keys: list[np.ndarray] = []
         self.known: set[tuple[int, int]] = set()
 
-    def add(self, a: np.ndarray, r: np.ndarray, lead: np.ndarray, starts: np.ndarray, content: pa.Array) -> None:
-        """Regions, of which strings begin at the first starts bytes, lead bytes before the anchor; a region that came
-        before, from a row that repeats another, is left out."""
+    def add(self, a: np.ndarray, r: np.ndarray, lead: np.ndarray, content: pa.Array) -> None:
+        """Regions of the given anchors and hashes; a region that came before, from a row that repeats another, is left out."""
         new = []
         for k, key in enumerate(zip(a.tolist(), r.tolist(), strict=True)):
             if key not in self.known:
                 self.known.add(key)
                 new.append(k)
-        some = [c.as_buffer() for c in content.take(pa.array(new, pa.int64()))]
-        self.file.write(b"".join([x for c in some for x in (c, b"\xff")]))
-        self.keys.append(np.stack([a[new], r[new], lead[new], starts[new], [len(c) for c in some]], axis=1).astype(np.int64))
+        a, r, lead, content = a[new], r[new], lead[new], content.take(pa.array(new, pa.int64()))
+        size = np.array([len(c.as_buffer()) for c in content], np.int64)
+        self.file.write(b"".join([x for c in content for x in (c.as_buffer(), b"\xff")]))
+        self.keys.append(np.stack([a, r, lead, size], axis=1).astype(np.int64))
 
     def text(self) -> np.ndarray:
         """Bytes moved up by one below 0xFF, which UTF-8 never has and ends each region, so that 0 is free for the end."""
@@ -439,34 +456,32 @@ class Shard:
         self.file.close()
         return out
 
-    def repeated(self) -> Iterator[pa.RecordBatch]:
-        """Rows of COVER: first what strings of SHORT bytes cover, then those of LENGTH."""
-        a, r, lead, starts, size = np.concatenate(self.keys).T
+    def repeated(self) -> pa.RecordBatch:
+        """(a, r, lo, hi): what repeated strings cover, from the anchor's start."""
+        a, r, lead, size = np.concatenate(self.keys).T
         text = self.text()
         start = np.cumsum(size + 1) - size - 1
-        mark = disk_array(len(text), np.uint8, self.room)  # 1 and 2: a short and a long string begins; 4 and 8: it repeats
-        for s, n, long in zip(start.tolist(), starts.tolist(), np.minimum(starts, size - LENGTH + 1).tolist(), strict=True):
-            mark[s : s + n] = 1
-            mark[s : s + max(0, long)] = 3
+        hit = disk_array(len(text), np.int8, self.room)
+        for s, n in zip(start.tolist(), size.tolist(), strict=True):
+            hit[s : s + n - LENGTH + 1] = 1  # starts of strings of the region; all are in different places
         for order, common in sorted_suffixes(text, LENGTH, self.room):
-            known = mark[order]
-            for begins, length in ((1, SHORT), (2, LENGTH)):
-                use = np.flatnonzero(known & begins)  # all of them are in different places of the corpus
-                group = np.cumsum(common < length)[use]
-                mark[order[use[(np.bincount(group, minlength=1) > 1)[group]]]] |= 4 * begins
-        for repeats, length in ((4, SHORT), (8, LENGTH)):
-            edges = np.flatnonzero(np.diff(np.append(np.append(0, (mark & repeats) > 0), 0)))
-            lo, hi = edges[::2], edges[1::2] - 1 + length
-            of = np.searchsorted(start, lo, "right") - 1
-            yield _cover(a[of], r[of], lo - start[of] - lead[of], hi - start[of] - lead[of], length == LENGTH)
+            group = np.cumsum(common < LENGTH)
+            use = np.flatnonzero(hit[order])
+            several = np.bincount(group[use], minlength=1) > 1
+            hit[order[use[several[group[use]]]]] = 2
+        edges = np.flatnonzero(np.diff(np.append(np.append(0, hit == 2), 0)))
+        lo, hi = edges[::2], edges[1::2]
+        of = np.searchsorted(start, lo, "right") - 1
+        cols = a[of], r[of], (lo - start[of] - lead[of]).astype(np.int32), (hi - 1 + LENGTH - start[of] - lead[of]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "r", "lo", "hi"])
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = Shard()
     for b in batches:
-        shard.add(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)), b.column(4))
+        shard.add(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), b.column(3))
     if shard.keys:
-        yield from shard.repeated()
+        yield shard.repeated()
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -474,57 +489,49 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, wanted anchors) to a row of bytes for each region, narrowed to the strides that may repeat."""
-    names = ("a", "r", "lead", "starts", "many", "content")
+    names = ("a", "r", "lead", "many", "content")
     for b in batches:
         rows: dict[str, list] = {k: [] for k in names}
         for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             text = memoryview(text.as_buffer())
             for w in wanted:
                 far, near = min(w["far"], STRIDE * (w["most"] + 1) - 1), max(w["near"], STRIDE * w["least"])
-                for k, v in zip(names, (w["a"], w["r"], far, far - near + 1, w["many"], bytes(text[w["at"] - far : w["at"] + min(LENGTH - near, w["reach"])])), strict=True):
+                for k, v in zip(names, (w["a"], w["r"], far, w["many"], bytes(text[w["at"] - far : w["at"] - near + LENGTH])), strict=True):
                     rows[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(rows["a"], pa.int64()), pa.array(rows["r"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["starts"], pa.int32()), pa.array(rows["many"], pa.bool_()), pa.array(rows["content"], pa.binary())], list(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["a"], pa.int64()), pa.array(rows["r"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["many"], pa.bool_()), pa.array(rows["content"], pa.binary())], list(rows))
 
 
 def _hash(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True)
 
 
-def _blocks(length: int):
-    """Strings of length bytes of a region in blocks of BLOCK neighbouring starts: what all strings of a block share, and
-    what they cover together, as hashes; near and far are how far before the anchor the block's strings start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                out: dict[str, list] = {k: [] for k in ("a", "r", "block", "near", "far", "core", "outer")}
-                for anchor, kind, lead, starts, content in zip(*(whole.slice(s, 500).column(i).to_pylist() for i in range(5)), strict=True):
-                    least = max(lead - starts + 1, lead + length - len(content))
-                    for j in range(least // BLOCK, lead // BLOCK + 1) if least <= lead else ():
-                        near, far, at = max(least, j * BLOCK), min(lead, j * BLOCK + BLOCK - 1), lead - j * BLOCK
-                        for k, v in zip(out, (anchor, kind, j, near, far, _hash(content[at : at - BLOCK + 1 + length]), _hash(content[lead - far : lead - near + length])), strict=True):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("block", "near", "far") else pa.int64()) for k, v in out.items()], list(out))
-
-    return run
-
-
-def _strings(length: int):
-    """The hash of every string of length bytes that starts near to far before the anchor of a region."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                a, r, lo, h = [], [], [], []
-                for anchor, kind, near, far, lead, content in zip(*(whole.slice(s, 1000).column(i).to_pylist() for i in range(6)), strict=True):
-                    n = far - near + 1
-                    a += [anchor] * n
-                    r += [kind] * n
-                    lo += range(-far, -near + 1)
-                    h += [_hash(content[lead - d : lead - d + length]) for d in range(far, near - 1, -1)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(lo, pa.int32()), pa.array(h, pa.int64())], ["a", "r", "lo", "h"])
-
-    return run
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of a region in blocks of BLOCK neighbouring starts: what all strings of a block share, and what they
+    cover together, as hashes; near and far are how far before the anchor the block's strings start."""
+    for whole in batches:
+        for s in range(0, whole.num_rows, 500):
+            out: dict[str, list] = {k: [] for k in ("a", "r", "block", "near", "far", "core", "outer")}
+            for anchor, kind, lead, content in zip(*(whole.slice(s, 500).column(i).to_pylist() for i in range(4)), strict=True):
+                least, most = lead + LENGTH - len(content), lead
+                for j in range(least // BLOCK, most // BLOCK + 1):
+                    near, far, at = max(least, j * BLOCK), min(most, j * BLOCK + BLOCK - 1), lead - j * BLOCK
+                    for k, v in zip(out, (anchor, kind, j, near, far, _hash(content[at : at - BLOCK + 1 + LENGTH]), _hash(content[lead - far : lead - near + LENGTH])), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("block", "near", "far") else pa.int64()) for k, v in out.items()], list(out))
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every string of LENGTH bytes that starts near to far before the anchor of a region."""
+    for whole in batches:
+        for s in range(0, whole.num_rows, 1000):
+            a, r, lo, h = [], [], [], []
+            for anchor, kind, near, far, lead, content in zip(*(whole.slice(s, 1000).column(i).to_pylist() for i in range(6)), strict=True):
+                n = far - near + 1
+                a += [anchor] * n
+                r += [kind] * n
+                lo += range(-far, -near + 1)
+                h += [_hash(content[lead - d : lead - d + LENGTH]) for d in range(far, near - 1, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(lo, pa.int32()), pa.array(h, pa.int64())], ["a", "r", "lo", "h"])
 
 
 def _several(df: DataFrame, *key: str) -> DataFrame:
@@ -537,60 +544,51 @@ def _having(df: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") ->
     return df.hint("merge").join(keys.hint("merge"), [*on], how)
 
 
-def _crowded(regions: DataFrame, tasks: int, length: int) -> DataFrame:
-    """Rows of COVER for regions of anchors that have too many for one shard, by counting hashes: of blocks of strings
+def _crowded(regions: DataFrame, tasks: int) -> DataFrame:
+    """(a, r, lo, hi) for regions of anchors that have too many for one shard, by counting hashes: of blocks of strings
     first, and of single strings only where a block's strings may repeat but not all of them do so together."""
-    blocks = regions.select("a", "r", "lead", "starts", "content").repartition(tasks, F.xxhash64("r"))
-    blocks = store(blocks.mapInArrow(_blocks(length), "a long, r long, block int, near int, far int, core long, outer long"))
+    blocks = regions.select("a", "r", "lead", "content").repartition(tasks, F.xxhash64("r")).mapInArrow(_blocks, "a long, r long, block int, near int, far int, core long, outer long")
+    blocks = store(blocks)
     all_of, some_of = ("a", "near", "far", "outer"), ("a", "block", "core")
     whole = _several(blocks, *all_of)
-    done = _having(blocks, whole.drop("x"), *all_of).select("a", "r", (-F.col("far")).alias("lo"), (F.lit(length) - F.col("near")).alias("hi"))
+    done = _having(blocks, whole.drop("x"), *all_of).select("a", "r", (-F.col("far")).alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi"))
     # one block stands for all that are equal as a whole
     rest = store(_having(blocks, whole, *all_of, how="left").where("x is null or r = x").drop("x"))
     rest = store(_having(rest, _several(rest, *some_of), *some_of).select("a", "r", "near", "far"))
     texts = _having(rest, regions.select("a", "r", "lead", "content"), "a", "r", how="inner").select("a", "r", "near", "far", "lead", "content")
-    strings = store(texts.repartition(tasks, F.xxhash64("r", "near")).mapInArrow(_strings(length), "a long, r long, lo int, h long"))
+    strings = store(texts.repartition(tasks, F.xxhash64("r", "near")).mapInArrow(_strings, "a long, r long, lo int, h long"))
     again = _having(strings, _several(strings, "a", "lo", "h"), "a", "lo", "h")
-    found = done.union(again.select("a", "r", "lo", (F.col("lo") + length).alias("hi")))
-    none = F.lit(None).cast("int")
-    return found.select("a", "r", none, none, "lo", "hi") if length == LENGTH else found.select("a", "r", "lo", "hi", none, none)
-
-
-def _joined(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return out
+    return done.union(again.select("a", "r", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc, text, spans as [lo, hi] and [long_lo, long_hi]) to what is left of each text."""
+    """From (doc, text, spans as [lo, hi]) to what is left of each text."""
     for b in batches:
         out: list[tuple] = []
-        for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            text, marks = text.as_buffer().to_pybytes(), marks or []
-            spans = _joined((s["long_lo"], s["long_hi"]) for s in marks if s["long_lo"] is not None)
-            short = sum(hi - lo for lo, hi in _joined((s["lo"], s["hi"]) for s in marks if s["lo"] is not None))
-            parts, done = [], 0
+        for doc, text, marks, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            text = text.as_buffer().to_pybytes()
+            parts, done, spans = [], 0, []
+            for lo, hi in sorted((s["lo"], s["hi"]) for s in marks or []):
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], hi)
+                else:
+                    spans.append([lo, hi])
             for lo, hi in spans:
                 parts.append(text[done:lo])
                 done = hi
             left = b"".join([*parts, text[done:]])
-            out.append((doc, len(text), len(text) - len(left), spans, left, short))
+            out.append((doc, len(text), len(text) - len(left), spans, left, shared or 0))
         yield pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()),
              pa.array([[{"lo": lo, "hi": hi} for lo, hi in o[3]] for o in out], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([o[4] for o in out], pa.binary()), pa.array([o[5] for o in out], pa.int64())],
-            ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_repeated"],
+            ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared"],
         )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans array<struct<lo, hi>>, kept binary, n_repeated) for every row: the bytes covered
-    by a string of LENGTH bytes that also starts elsewhere, in this or another document, what is left without them, and
-    how many bytes are covered by such strings of SHORT bytes.
+    """(doc_id, n_bytes, n_removed, spans array<struct<lo, hi>>, kept binary, n_shared) for every row: the bytes covered by
+    a string of LENGTH bytes that also starts elsewhere, in this or another document, what is left without them, and how
+    many places of the text occur elsewhere, of which every repeated passage of SHORT bytes has one.
 
     Anchors of all texts are counted after equal ones are added up per task. Those that occur once are dropped. Equal
     regions are one entry with a count; those of a count above one repeat as a whole. Entries that share a core with
@@ -604,38 +602,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = int(bounded(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    raw = store(rows.where(F.octet_length("text") >= SHORT).select("doc", "mark", "text").mapInArrow(_raw, RAW))
+    both = store(rows.where(F.octet_length("text") >= SHORT).select("doc", "mark", "text").mapInArrow(_raw, RAW))
+    raw, place = both.where("r is not null"), both.where("r is null").select("doc", "mark", "a")
+    again = store(place.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    again = store(_having(place, again, "a").groupBy("doc", "mark").agg(F.count("*").alias("n")))
     shared = store(raw.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     seen = store(_having(raw, shared, "a"))
-    release(raw, shared)
-    one = F.min(F.struct("doc", "mark", "at", "far", "near", "reach", "cores")).alias("one")
+    release(both, shared)
+    one = F.min(F.struct("doc", "mark", "at", "far", "near", "c0", "c1")).alias("one")
     kinds = store(seen.groupBy("a", "r").agg(F.count("*").alias("n"), one).select("a", "r", "n", "one.*"))
     # strings that repeat share a core: regions none of whose cores another one has are done, others are narrowed
-    core = F.array(*[F.shiftright("cores", 16 * j).bitwiseAND(F.lit(0xFFFF)) for j in range(CORES)])
-    place = F.struct("doc", "mark", "at", "far", "near", "reach").alias("place")
-    cores = kinds.select("a", "r", place, F.posexplode(core).alias("j", "core")).where("core <> 0")
+    core = lambda j: F.shiftright(F.col(f"c{j // 3}"), 16 * (j % 3)).bitwiseAND(F.lit(0xFFFF))
+    place = F.struct("doc", "mark", "at", "far", "near").alias("place")
+    cores = kinds.select("a", "r", place, F.posexplode(F.array(*[core(j) for j in range(CORES)])).alias("j", "core")).where("core <> 0")
     several = _several(cores, "a", "j", "core")
     live = store(_having(cores, several.drop("x"), "a", "j", "core").groupBy("a", "r").agg(F.min("j").alias("least"), F.max("j").alias("most"), F.first("place").alias("place")))
+    live_rows = live.count()
     many = store(live.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_GROUP).select("a", F.lit(True).alias("many")))
     some = _having(live, many, "a", how="left").withColumn("many", F.coalesce("many", F.lit(False)))
-    each = F.struct("a", "r", "place.at", "place.far", "place.near", "place.reach", "least", "most", "many")
-    wanted = store(some.groupBy("place.doc", "place.mark").agg(F.collect_list(each).alias("wanted")))
+    wanted = store(some.groupBy("place.doc", "place.mark").agg(F.collect_list(F.struct("a", "r", "place.at", "place.far", "place.near", "least", "most", "many")).alias("wanted")))
     texts = rows.join(wanted, ["doc", "mark"])
-    regions = store(texts.select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_regions, "a long, r long, lead int, starts int, many boolean, content binary"))
+    regions = store(texts.select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_regions, "a long, r long, lead int, many boolean, content binary"))
     release(several, live, wanted)
-    few = regions.where("not many").select("a", "r", "lead", "starts", "content")
-    cover = few.repartition(tasks, "a").mapInArrow(_sorted, COVER)
-    far, near, reach = (F.col(c).cast("int") for c in ("far", "near", "reach"))
-    long = lambda c: F.when(far + reach >= LENGTH, c)
-    cover = cover.union(kinds.where("n > 1").select("a", "r", -far, F.lit(SHORT) - near, long(-far), long(reach)))
+    few = regions.where("not many").select("a", "r", "lead", "content")
+    shards = max(tasks, 1 + live_rows * (LENGTH + GRAM) // SHARD_BYTES)
+    cover = few.repartition(shards, "a").mapInArrow(_sorted, "a long, r long, lo int, hi int")
+    cover = cover.union(kinds.where("n > 1").select("a", "r", (-F.col("far")).cast("int").alias("lo"), (F.lit(LENGTH) - F.col("near")).alias("hi")))
     if not many.isEmpty():
-        for length in (SHORT, LENGTH):
-            cover = cover.union(_crowded(regions.where("many"), tasks, length))
+        cover = cover.union(_crowded(regions.where("many"), tasks))
     cover = store(cover)
     release(regions, kinds, many)
-    span = F.struct(*[(F.col("at") + F.col(c)).alias(c) for c in ("lo", "hi", "long_lo", "long_hi")])
-    marks = store(_having(seen.select("doc", "mark", "a", "r", "at"), cover, "a", "r", how="inner").groupBy("doc", "mark").agg(F.collect_set(span).alias("spans")))
-    release(seen, cover)
-    cut = rows.join(marks, ["doc", "mark"], "left").select("doc", F.col("text").cast("binary").alias("text"), "spans")
-    out = cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary, n_repeated long")
+    span = F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    found = _having(seen.select("doc", "mark", "a", "r", "at"), cover, "a", "r", how="inner").select("doc", "mark", span.alias("span"), F.lit(0).alias("n"))
+    found = found.union(again.select("doc", "mark", F.lit(None).cast(found.schema["span"].dataType), "n"))
+    marks = store(found.groupBy("doc", "mark").agg(F.collect_set("span").alias("spans"), F.sum("n").alias("n_shared")))
+    release(seen, cover, again)
+    cut = rows.join(marks, ["doc", "mark"], "left").select("doc", F.col("text").cast("binary").alias("text"), "spans", "n_shared")
+    out = cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary, n_shared long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))

@@ -506,19 +506,44 @@ def test_anchors_of_every_string(monkeypatch):
     for step in (1 << 20, 333):
         monkeypatch.setattr(suffix, "STEP", step)
         at, of = defaultdict(set), defaultdict(list)
-        for text, a, region, place, far, near, reach, cores in suffix.anchors(np.frombuffer(b"".join(texts), np.uint8), offsets):
-            for t, h, kind, p, f, n, e, c in zip(text.tolist(), a, region, place.tolist(), far.tolist(), near.tolist(), reach.tolist(), cores.tolist()):
-                assert e == min(400 - n, len(texts[t]) - p)
-                of[h, kind].append(texts[t][p - f : p + e])
+        for text, a, region, place, far, near, cores in suffix.anchors(np.frombuffer(b"".join(texts), np.uint8), offsets):
+            for t, h, kind, p, f, n, c in zip(text.tolist(), a, region, place.tolist(), far.tolist(), near.tolist(), cores.tolist()):
+                of[h, kind].append(texts[t][p - f : p - n + 400])
                 for d in range(n, f + 1):
-                    at[texts[t][p - d : p - d + 240]].add((int(h), d, c[d // 64]))
+                    at[texts[t][p - d : p - d + 400]].add((int(h), d, c[d // 64]))
                     of[t].append(p - d)
-                assert all((c[j] > 0) == (n // 64 <= j <= f // 64) for j in range(4))
+                assert all((c[j] > 0) == (n // 64 <= j <= f // 64) for j in range(6))
         assert all(len(v) == 1 for v in at.values())  # equal strings: one anchor, distance and core
-        assert all(sorted(of[t]) == list(range(max(0, len(x) - 239))) for t, x in enumerate(texts))
+        assert all(sorted(of[t]) == list(range(max(0, len(x) - 399))) for t, x in enumerate(texts))
         assert all(len(set(v)) == 1 for k, v in of.items() if isinstance(k, tuple))
 
 
+def plain_places(texts):
+    """Hashes of places by their definition, from hashes of all grams."""
+    out = []
+    for t in texts:
+        x = np.frombuffer(t, np.uint8)
+        h = suffix.gram_hashes(x, 128) if len(x) >= 240 else np.empty(0, np.uint64)
+        out.append([int(h[p]) for p in sorted({k + int(np.argmin(h[k : k + 113] >> np.uint64(32))) for k in range(len(x) - 239)})])
+    return out
+
+
+def test_places_of_every_passage(monkeypatch):
+    r = np.random.default_rng(16)
+    passage = sentence(r, 60).encode()[:240]
+    texts = [sentence(r, 300).encode() + passage + sentence(r, 9).encode(), b"", b"z" * 300, sentence(r, 5).encode() + passage, passage, passage[:239]]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    want = plain_places(texts)
+    for step in (1 << 20, 300):
+        monkeypatch.setattr(suffix, "STEP", step)
+        got = [[] for _ in texts]
+        for text, h in suffix.places(np.frombuffer(b"".join(texts), np.uint8), offsets):
+            for t, x in zip(text.tolist(), h.tolist()):
+                got[t].append(x)
+        assert got == want
+    assert set(want[4]) <= set(want[0]) and set(want[4]) <= set(want[3]) and want[4] and not want[5]
+
+
 def test_a_shard_on_disk(monkeypatch):
     r = np.random.default_rng(15)
     passage = sentence(r, 150).encode()
@@ -527,16 +552,14 @@ def test_a_shard_on_disk(monkeypatch):
     out = []
     for room in (1 << 24, 500):
         shard = suffix.Shard(room)
-        n = np.array([len(x) - 239 for x in regions])
-        shard.add(np.arange(12), np.arange(12), np.zeros(12, int), n, pa.array(regions, pa.binary()))
-        shard.add(np.arange(2), np.arange(2), np.zeros(2, int), n[:2], pa.array(regions[:2], pa.binary()))  # rows that repeat
-        out.append([b.to_pylist() for b in shard.repeated()])
+        shard.add(np.arange(12), np.arange(12), np.zeros(12, int), pa.array(regions, pa.binary()))
+        shard.add(np.arange(2), np.arange(2), np.zeros(2, int), pa.array(regions[:2], pa.binary()))  # rows that repeat
+        out.append(shard.repeated().to_pylist())
     assert out[0] == out[1]
-    for found, length, cols in zip(out[0], (240, 400), (("lo", "hi"), ("long_lo", "long_hi"))):
-        gone = [np.zeros(len(x), bool) for x in regions]
-        for row in found:
-            gone[row["a"]][row[cols[0]] : row[cols[1]]] = True
-        assert [g.sum() for g in gone] == [w[0] for w in plain_removal(regions, length)]
+    gone = [np.zeros(len(x), bool) for x in regions]
+    for row in out[0]:
+        gone[row["a"]][row["lo"] : row["hi"]] = True
+    assert [g.sum() for g in gone] == [w[0] for w in plain_removal(regions)]
 
 
 @pytest.mark.parametrize("group", [256, 2])
@@ -549,8 +572,12 @@ def test_removal_equals_brute_force(spark, monkeypatch, group):
     docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(*m, "en") for m in more], "doc_id long, text string, lang string"))
     listed = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     texts = [t for _, t in listed]
-    want = sorted(((d, len(t), *w, short[0]) for (d, t), w, short in zip(listed, plain_removal(texts), plain_removal(texts, 240))), key=repr)
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"]), r["n_repeated"]) for r in suffix.remove_repeats(docs).collect()), key=repr)
+    at = plain_places(texts)
+    seen = defaultdict(int)
+    for h in itertools.chain(*at):
+        seen[h] += 1
+    want = sorted(((d, len(t), *w, sum(seen[h] > 1 for h in hs)) for (d, t), w, hs in zip(listed, plain_removal(texts), at)), key=repr)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"]), r["n_shared"]) for r in suffix.remove_repeats(docs).collect()), key=repr)
     assert got == want
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
