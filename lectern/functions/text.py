@@ -122,10 +122,10 @@ def byte_characters() -> dict[str, int]:
 
 
 def from_byte_level(c: Column) -> Column:
-    """Text of a byte-level token: each character is a byte."""
-    table = byte_characters()
-    back = F.translate(c, "".join(table), "".join(map(chr, table.values())).replace("\0", "\1"))
-    return F.decode(F.encode(back, "ISO-8859-1"), "UTF-8")
+    """Text of a byte-level token: each character is a byte; characters that stand for none are left out."""
+    table = F.create_map(*[F.lit(x) for ch, b in byte_characters().items() for x in (ch, f"{b:02X}")])
+    digits = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.element_at(table, x), F.lit("")))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-8")
 
 
 def clip_runs(lengths: Column, total: Column) -> Column:

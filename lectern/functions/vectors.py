@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,39 @@ def affine(v: Column, mean: list[float], rows: list[list[float]]) -> Column:
     return F.array(*[dot(centred, F.array(*map(F.lit, r))) for r in rows])
 
 
+def _mapped(v: Column, run: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """run over the vectors of a batch as rows of a matrix; null where a vector is."""
+
+    @F.pandas_udf("array<double>")
+    def apply(column: pd.Series) -> pd.Series:
+        there = np.flatnonzero(column.notna().to_numpy())
+        made = run(np.stack(column.to_numpy()[there]).astype(float)) if len(there) else []
+        out = pd.Series([None] * len(column), dtype=object)
+        for k, x in zip(there, made, strict=True):
+            out[k] = x
+        return out
+
+    return apply(v)
+
+
+def _lengthened(x: np.ndarray) -> np.ndarray:
+    """Rows of the length of the root of the dimension."""
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n > 0, n, 1) * np.sqrt(x.shape[1])
+
+
+def whitened(v: Column, mean: list[float], rows: list[list[float]], mean_after: list[float]) -> Column:
+    """Centred and of the length of the root of the dimension; mapped by rows; then the same again with the second mean."""
+    m, r, a = np.array(mean), np.array(rows), np.array(mean_after)
+    return _mapped(v, lambda x: _lengthened(_lengthened(x - m) @ r.T - a))
+
+
+def projected(v: Column, mean: list[float], rows: list[list[float]]) -> Column:
+    """rows times (v - mean), as a product of matrices."""
+    m, r = np.array(mean), np.array(rows)
+    return _mapped(v, lambda x: (x - m) @ r.T)
+
+
 def log_softmax(x: Column, by: list[str]) -> Column:
     w = Window.partitionBy(*by)
     top = F.max(x).over(w)
@@ -79,6 +116,6 @@ def even_timestamps(n: Column, last: int, truncate: bool = False) -> Column:
     return F.when(n > 0, spread).otherwise(F.array().cast("array<bigint>"))
 
 
-def mask_frames(mask_len: int, frames: int) -> Column:
+def mask_frames(mask_len: Column, frames: Column) -> Column:
     """The mask frame that each of so many feature frames reads."""
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.floor(i * mask_len / frames))
+    return F.when(frames > 0, F.transform(F.sequence(F.lit(0).cast("long"), frames - 1), lambda i: F.floor(i * mask_len / frames))).otherwise(F.array().cast("array<bigint>"))

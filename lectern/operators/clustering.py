@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,20 +12,34 @@ from lectern.functions.vectors import cosine
 
 def linkage(x: np.ndarray) -> np.ndarray:
     """Centroid linkage: rows (left, right, distance, size), the pair of nearest centroids each time, the smaller indices
-    on ties; clusters are numbered from n on."""
+    on ties; clusters are numbered from n on. Distances are kept, and a merge computes those of its centroid alone."""
     n = len(x)
-    centre = {i: x[i].astype(float) for i in range(n)}
-    size, out = dict.fromkeys(range(n), 1), []
-    for step in range(n - 1):
-        ids = sorted(centre)
-        c = np.stack([centre[i] for i in ids])
-        d = ((c[:, None] - c[None]) ** 2).sum(-1)
-        d[np.tril_indices(len(ids))] = np.inf
-        a, b = np.unravel_index(d.argmin(), d.shape)
-        i, j, k = ids[a], ids[b], size[ids[a]] + size[ids[b]]
-        centre[n + step] = (centre.pop(i) * size[i] + centre.pop(j) * size[j]) / k
-        size[n + step] = k
-        out.append((i, j, float(np.sqrt(d[a, b])), k))
+    m = max(0, 2 * n - 1)
+    centre, size = np.zeros((m, x.shape[1] if n else 0)), np.ones(m, np.int64)
+    centre[:n] = x
+    d = np.full((m, m), np.inf)
+    for i in range(n - 1):
+        d[i, i + 1 : n] = ((centre[i + 1 : n] - centre[i]) ** 2).sum(1)
+    nearest = d.argmin(1) if m else np.empty(0, int)  # of the clusters after each one
+    least, out = d[np.arange(m), nearest], []
+    there = np.arange(m) < n
+    for k in range(n, m):
+        i = int(least.argmin())
+        j = int(nearest[i])
+        out.append((i, j, float(np.sqrt(least[i])), int(size[i] + size[j])))
+        size[k] = size[i] + size[j]
+        centre[k] = (centre[i] * size[i] + centre[j] * size[j]) / size[k]
+        for gone in (i, j):
+            d[gone], d[:, gone], least[gone] = np.inf, np.inf, np.inf
+        there[[i, j]] = False
+        alive = np.flatnonzero(there[:k])
+        there[k] = True
+        d[alive, k] = ((centre[alive] - centre[k]) ** 2).sum(1)
+        lost = alive[np.isin(nearest[alive], (i, j))]
+        nearest[lost] = d[lost].argmin(1)
+        least[lost] = d[lost, nearest[lost]]
+        closer = alive[d[alive, k] < least[alive]]
+        nearest[closer], least[closer] = k, d[closer, k]
     return np.array(out).reshape(-1, 4)
 
 
@@ -62,9 +74,10 @@ def cluster(df: DataFrame, by: str, item: str, vector: str, distance: float | No
 
 def vbx(x: np.ndarray, phi: np.ndarray, start: np.ndarray, fa: float = 0.07, fb: float = 0.8, rounds: int = 20, tolerance: float = 1e-4) -> np.ndarray:
     """Variational refinement of speaker responsibilities [item, speaker] from start, for whitened vectors x with
-    between-speaker variances phi: the published update equations of the Bayesian mixture without transitions."""
+    between-speaker variances phi: the published update equations of the Bayesian mixture without transitions. Priors
+    start even; the bound is compared from the second round on."""
     gamma = start / start.sum(1, keepdims=True)
-    pi = gamma.sum(0) / gamma.sum()
+    pi = np.full(gamma.shape[1], 1 / gamma.shape[1])
     const = -0.5 * ((x * x).sum(1) + x.shape[1] * np.log(2 * np.pi))
     rho, before = x * np.sqrt(phi), -np.inf
     for _ in range(rounds):
@@ -83,21 +96,30 @@ def vbx(x: np.ndarray, phi: np.ndarray, start: np.ndarray, fa: float = 0.07, fb:
     return gamma
 
 
-def refine(df: DataFrame, by: str, item: str, vector: str, label: str, sharp: float = 5.0) -> DataFrame:
-    """(by, item, cluster) after vbx from the labels given, softened; labels by first appearance."""
+def refine(df: DataFrame, by: str, item: str, vector: str, label: str, phi: list[float] | None = None, sharp: float = 7.0) -> DataFrame:
+    """(by, item, cluster) after vbx from the labels given, softened; clusters that keep items are numbered in the order
+    of their labels. phi are the between-speaker variances of the whitened dimensions, all one where not given. A
+    recording with one label stays as it is."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
         x = np.stack(pdf[vector].to_numpy()).astype(float)
         kinds, at = np.unique(pdf[label], return_inverse=True)
         start = np.exp(sharp * (np.arange(len(kinds)) == at[:, None]))
-        best = vbx(x * np.sqrt(x.shape[1]), np.ones(x.shape[1]), start).argmax(1)
-        first: dict[int, int] = {}
-        return pd.DataFrame({by: pdf[by], item: pdf[item], "cluster": [first.setdefault(int(b), len(first)) for b in best]})
+        best = vbx(x, np.ones(x.shape[1]) if phi is None else np.asarray(phi), start).argmax(1) if len(kinds) > 1 else at
+        return pd.DataFrame({by: pdf[by], item: pdf[item], "cluster": np.unique(best, return_inverse=True)[1]})
 
     return df.select(by, item, vector, label).groupBy(by).applyInPandas(run, f"{by} long, {item} long, cluster long")
 
 
+def train_subset(df: DataFrame, by: list[str], clean: str, total: str, ratio: float = 0.1) -> DataFrame:
+    """The items to cluster first: those with enough clean frames, a share of all of theirs, rounded half to even, and one
+    at least. All items of a recording where fewer than two have so many."""
+    enough = F.col(clean) >= F.greatest(F.lit(1), F.bround(F.col(total) * F.lit(ratio)).cast("long"))
+    count = df.groupBy(*by).agg(F.count_if(enough).alias("__enough"))
+    return df.join(count, by).where((F.col("__enough") < 2) | enough).drop("__enough")
+
+
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(cluster, centroid): means by dimension, pre-aggregated per dimension."""
     e = df.select(cluster, F.posexplode(vector).alias("i", "v")).groupBy(cluster, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
@@ -111,10 +133,14 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, vector: str, cluster: str,
     return df.join(F.broadcast(all_c), F.lit(True)).select(*keep, (-F.array_max(score)["k"]).alias(cluster))
 
 
-def merge_small(df: DataFrame, vector: str, cluster: str, keep: list[str], least: int) -> DataFrame:
-    """(keep, cluster): items of clusters below least go to the nearest large one; nothing changes if none is large."""
+def merge_small(df: DataFrame, vector: str, cluster: str, keep: list[str], least: float) -> DataFrame:
+    """(keep, cluster): items of clusters below least go to the nearest large one; nothing changes if none is large. least
+    is a number, or a fraction below one: that quantile of the clusters' sizes."""
     size = df.groupBy(cluster).agg(F.count("*").alias("__n"))
-    j = df.join(F.broadcast(size), cluster)
+    if least < 1:  # one row, the size of nothing
+        size = size.join(F.broadcast(size.agg(F.expr(f"percentile_disc({least}) WITHIN GROUP (ORDER BY __n)").alias("__least"))))
+        least = F.col("__least")
+    j = df.join(size, cluster)
     large = j.where(F.col("__n") >= least)
     moved = nearest_centroid(j.where(F.col("__n") < least), centroids(large, cluster, vector), vector, cluster, keep)
     return large.select(*keep, cluster).union(moved.select(*keep, F.coalesce(cluster, F.lit(None).cast("long"))))
@@ -126,18 +152,29 @@ def compact(df: DataFrame, by: list[str], cluster: str, order: str, out: str) ->
 
     first = df.groupBy(*by, cluster).agg(F.min(order).alias("__first"))
     w = Window.partitionBy(*by).orderBy("__first") if by else Window.orderBy("__first")
-    return df.join(F.broadcast(first.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__first")), [*by, cluster])
+    return df.join(first.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__first"), [*by, cluster])
 
 
 def best_unique(score: np.ndarray) -> list[int]:
-    """Column of each row, all different, with the largest total; -1 for rows beyond the columns. Few rows, so all orders are tried."""
+    """Column of each row, all different, with the largest total; -1 for rows beyond the columns. Rows are few and columns
+    may be many: the best choice gives every row one of as many of its best columns as there are rows, so only these
+    are tried. The first found wins ties, rows in order, better columns first."""
     rows, cols = score.shape
+    choices = [list(np.argsort(-s, kind="stable")[:rows]) + [-1] * (rows > cols) for s in score]
     best, pick = -np.inf, [-1] * rows
-    pool = [*range(cols), *[-1] * max(0, rows - cols)]
-    for p in sorted(set(permutations(pool, rows))):
-        total = sum(score[i, c] for i, c in enumerate(p) if c >= 0)
-        if total > best + 1e-12:
-            best, pick = total, list(p)
+    missing = max(0, rows - cols)
+
+    def go(i: int, used: tuple[int, ...], total: float) -> None:
+        nonlocal best, pick
+        if i == rows:
+            if sum(c < 0 for c in used) == missing and total > best + 1e-12:
+                best, pick = total, [int(c) for c in used]
+            return
+        for c in choices[i]:
+            if c < 0 or c not in used:
+                go(i + 1, (*used, c), total + (score[i, c] if c >= 0 else 0.0))
+
+    go(0, (), 0.0)
     return pick
 
 

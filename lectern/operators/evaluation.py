@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.vectors import cosine
+
 
 def prf(gold: Column, found: Column) -> Column:
     """Precision, recall and F1 of two sets; 1 where both are empty, 0 where one is."""
@@ -74,3 +76,20 @@ def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 def char_error_rate(ref: Column, hyp: Column) -> Column:
     """Character edits by the length of the reference, in the JVM."""
     return F.levenshtein(ref, hyp) / F.greatest(F.length(ref), F.lit(1))
+
+
+def entity_sets(words: DataFrame, terms: DataFrame, by: list[str], word: str, cls: str, gold: str) -> DataFrame:
+    """(by, cls, gold_set, found_set): the terms of each class among the words of the reference (gold) and of the other text."""
+    hit = words.join(terms, word)
+    of = lambda c: F.array_sort(F.collect_set(F.when(c, F.col(word))))
+    return hit.groupBy(*by, cls).agg(of(F.col(gold)).alias("gold_set"), of(~F.col(gold)).alias("found_set"))
+
+
+def parity(a: Column, b: Column, x: Column, y: Column, apart: float = 1e-3, along: float = 0.9999) -> Column:
+    """Whether two scorers agree: scores a and b have the same best entry, their softmax differs by no more than apart
+    anywhere, and vectors x and y have a cosine of at least along."""
+    e = lambda v: F.transform(v, lambda s: F.exp(s - F.array_max(v)))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, t: s + t)
+    ea, eb = e(a), e(b)
+    far = F.array_max(F.zip_with(ea, eb, lambda s, t: F.abs(s / total(ea) - t / total(eb))))
+    return (F.array_position(a, F.array_max(a)) == F.array_position(b, F.array_max(b))) & (far <= apart) & (cosine(x, y) >= along)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +53,20 @@ def batch_cap(seconds: Column, free: Column, reference: float) -> Column:
 def capacity(free: Column, safety: float, constant: Column, per_second: Column) -> Column:
     """Seconds that fit: null for a slope that isn't positive, never negative."""
     return F.when(per_second > 0, F.greatest(F.lit(0.0), (free - safety - constant) / per_second))
+
+
+def continuous_batch(df: DataFrame, by: str, order: str, steps: str, slots: int) -> DataFrame:
+    """(by, order, slot, enters, leaves): a batch of so many slots that rows enter in order and leave after their steps; the
+    next row enters at the step at which a slot is free, the smallest of them. By groups, each one job's rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        free = [(0, s) for s in range(slots)]
+        out = []
+        for n in pdf[steps]:
+            at, slot = heapq.heappop(free)
+            heapq.heappush(free, (at + int(n), slot))
+            out.append((slot, at, at + int(n)))
+        return pdf[[by, order]].assign(**dict(zip(("slot", "enters", "leaves"), zip(*out, strict=True), strict=True)))
+
+    return df.select(by, order, steps).groupBy(by).applyInPandas(run, f"{by} long, {order} long, slot long, enters long, leaves long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 FRAME = 0.08
 
 
@@ -100,3 +102,36 @@ def banner(forced: Column, mismatch: Column, drift: Column) -> Column:
     """One banner at a time: a language the user forced, then a mismatch, then a changed backend."""
     yes = lambda c: F.coalesce(c, F.lit(False))
     return F.when(yes(forced), "forced").when(yes(mismatch), "mismatch").when(yes(drift), "drift").otherwise("none")
+
+
+def insert(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows and new ones, which get the ids after the largest, in the given order. Ids come from two levels of counts:
+    ranges of the order's first column, then places in a range, so no task sees all new rows."""
+    top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
+    return rows.unionByName(ranges.numbered(new, order, "__n").join(F.broadcast(top)).withColumn(key, F.col("__top") + F.col("__n")).drop("__top", "__n"))
+
+
+def commit(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """The next version of a table: written beside the others, and there for readers once its folder has its name."""
+    versions = _versions(spark, path)
+    n = max(versions, default=-1) + 1
+    df.write.parquet(f"{path}/.next-{n}")
+    files, at = _files(spark, path)
+    if not files.rename(at(f"{path}/.next-{n}"), at(f"{path}/v{n}")):
+        raise OSError(f"version {n} of {path} is there already")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as its last commit left it."""
+    return spark.read.parquet(f"{path}/v{max(_versions(spark, path))}")
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    files, at = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at(path))] if files.exists(at(path)) else []
+    return [int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()]

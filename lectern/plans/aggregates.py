@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import joins, ranking, store
+from lectern.operators import joins, ranges, ranking, store
 from lectern.session import table
 
 from .base import base_query, card_sources, cards, frames, results
@@ -83,10 +83,12 @@ def _(spark, d):
     return ranking.top_k(_chunks(spark, d), ["audio_id", "gf"], [F.desc("p"), F.col("spk")], 1 + F.col("audio_id") % 2).where("p > 0").select("audio_id", "gf", "spk")
 
 
-@base_query("agg_group_by_language", "SELECT lower(language) AS lang, min(result_id) AS first_seen, count(*) AS n, string_agg(result_id::VARCHAR, ',' ORDER BY result_id) AS ids FROM results GROUP BY lower(language)")
+@base_query("agg_group_by_language", "SELECT lower(language) AS lang, min(result_id) OVER (PARTITION BY lower(language)) AS first_seen, count(*) OVER (PARTITION BY lower(language)) AS n, result_id FROM results")
 def _(spark, d):
-    g = results(spark, d).groupBy(F.lower("language").alias("lang")).agg(F.min("result_id").alias("first_seen"), F.count("*").alias("n"), F.array_sort(F.collect_list("result_id")).alias("ids"))
-    return g.select("lang", "first_seen", "n", _J("ids").alias("ids")).orderBy("first_seen")
+    """A row a member, so that no language has to fit into one."""
+    r = results(spark, d).select(F.lower("language").alias("lang"), "result_id")
+    g = r.groupBy(F.col("lang").alias("l")).agg(F.min("result_id").alias("first_seen"), F.count("*").alias("n"))
+    return r.join(g, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "first_seen", "n", "result_id")
 
 
 @query("agg_prf_micro", "WITH t AS (SELECT lang, len(list_intersect(list_distinct(string_split(text, ' ')), ['the', 'of', 'de', 'und', 'que'])) AS tp, len(list_distinct(string_split(text, ' '))) AS pred FROM documents) SELECT lang, sum(tp)::BIGINT AS tp, round(sum(tp) / greatest(sum(pred), 1)::DOUBLE, 9) AS prec, round(sum(tp) / greatest(count(*) * 5, 1)::DOUBLE, 9) AS rec FROM t GROUP BY lang")
@@ -226,18 +228,17 @@ def _(spark, d):
     return m.orderBy(F.desc("n"), "source")
 
 
-@query("agg_group_by_anchor", "WITH k AS (SELECT d.source, d.doc_id, d.lang, l.doc_id AS present FROM documents d LEFT JOIN labels l USING (doc_id)), a AS (SELECT *, last_value(present IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM k) SELECT source, anchor, string_agg(doc_id || '=' || lang, ',' ORDER BY doc_id) AS keys FROM a WHERE present IS NULL GROUP BY source, anchor")
+@query("agg_group_by_anchor", "WITH k AS (SELECT d.source, d.doc_id, d.lang, l.doc_id AS present FROM documents d LEFT JOIN labels l USING (doc_id)), a AS (SELECT *, last_value(present IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM k) SELECT source, anchor, doc_id, lang FROM a WHERE present IS NULL")
 def _(spark, d):
+    """The keys that are missing, each with the last one before it that is there; a row a key."""
     k = table(spark, d, "documents").select("source", "doc_id", "lang").join(table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("present")), "doc_id", "left")
-    a = joins.preceding(k, ["source"], ["doc_id"], F.col("present"), "anchor").where("present is null")
-    keys = F.array_sort(F.collect_list(F.struct("doc_id", "lang")))
-    return a.groupBy("source", "anchor").agg(F.array_join(F.transform(keys, lambda x: F.concat_ws("=", x["doc_id"].cast("string"), x["lang"])), ",").alias("keys"))
+    return ranges.preceding(k, ["source"], "doc_id", F.col("present"), "anchor").where("present is null").select("source", "anchor", "doc_id", "lang")
 
 
 @query("agg_cluster_sizes", "SELECT vec_id, count(*) OVER (PARTITION BY label) AS size FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    return e.join(F.broadcast(e.groupBy("label").agg(F.count("*").alias("size"))), "label").select("vec_id", "size")
+    return e.join(e.groupBy("label").agg(F.count("*").alias("size")), "label").select("vec_id", "size")
 
 
 @query("agg_word_count", "SELECT source, sum(length(text) - length(replace(text, ' ', '')) + 1)::BIGINT AS words FROM documents GROUP BY source")
@@ -310,21 +311,26 @@ def _(spark, d):
     return results(spark, d).groupBy("audio_id").agg(F.max_by("result_id", F.struct(F.col("end_time") - F.col("start_time"), -F.col("turn"))).alias("longest"))
 
 
-_GREEDY = """WITH RECURSIVE s AS (SELECT source AS k, n_chars::DOUBLE AS len, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
-f AS (SELECT k, i, len, 0 AS batch, 1 AS items FROM s WHERE i = 1
-  UNION ALL SELECT s.k, s.i, s.len, f.batch + CASE WHEN f.items < {rows} AND (f.items + 1) * s.len <= {total}::DOUBLE THEN 0 ELSE 1 END, CASE WHEN f.items < {rows} AND (f.items + 1) * s.len <= {total}::DOUBLE THEN f.items + 1 ELSE 1 END
-  FROM f JOIN s ON s.k = f.k AND s.i = f.i + 1)
-SELECT k AS source, batch::BIGINT AS batch, count(*) AS items, max(len) AS longest FROM f GROUP BY k, batch"""
+#: A job is a stretch of documents of one source.
+_GREEDY = """WITH RECURSIVE s AS (SELECT source, doc_id // 500 AS job, n_chars::DOUBLE AS len, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY n_chars, doc_id) AS i FROM documents),
+f AS (SELECT source, job, i, len, 0 AS batch, 1 AS items FROM s WHERE i = 1
+  UNION ALL SELECT s.source, s.job, s.i, s.len, f.batch + CASE WHEN f.items < {rows} AND (f.items + 1) * s.len <= {total}::DOUBLE THEN 0 ELSE 1 END, CASE WHEN f.items < {rows} AND (f.items + 1) * s.len <= {total}::DOUBLE THEN f.items + 1 ELSE 1 END
+  FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source AND s.job = f.job AND s.i = f.i + 1)
+SELECT source, job, batch::BIGINT AS batch, count(*) AS items, max(len) AS longest FROM f GROUP BY source, job, batch"""
+
+
+def _jobs(spark, d):
+    return table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 500).alias("job"), "n_chars", "doc_id")
 
 
 @query("bat_plan_cost", _GREEDY.format(rows=8, total=20000))
 def _(spark, d):
-    return ranking.plan_batches(table(spark, d, "documents").select("source", "n_chars", "doc_id"), ["source"], "n_chars", "doc_id", 8, 20000.0)
+    return ranking.plan_batches(_jobs(spark, d), ["source", "job"], "n_chars", "doc_id", 8, 20000.0)
 
 
 @query("bat_frames_cap", _GREEDY.format(rows=32, total=60000))
 def _(spark, d):
-    return ranking.plan_batches(table(spark, d, "documents").select("source", "n_chars", "doc_id"), ["source"], "n_chars", "doc_id", 32, 60000.0)
+    return ranking.plan_batches(_jobs(spark, d), ["source", "job"], "n_chars", "doc_id", 32, 60000.0)
 
 
 @query("bat_qwen_cap", "SELECT event_id, CASE WHEN value > 100 THEN 1 ELSE greatest(1, floor((CASE WHEN value <= 16 THEN 14 WHEN value <= 24 THEN 10 WHEN value <= 32 THEN 8 ELSE 6 END) * (event_id % 24)::DOUBLE / 24.0::DOUBLE)) END::BIGINT AS cap FROM events")

@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lectern import scratch
 from lectern.functions import audio
-from lectern.operators import decoding, scorers, sequence
+from lectern.operators import decoding, kneser_ney, ranking, scorers
 from lectern.session import table
 from lectern.sources import exports, readers
 from lectern.streaming import stateful
@@ -65,18 +66,30 @@ def _(spark, d):
 
 
 def _scores(spark, d):
+    """Recorded scores: an embedding is a frame, whose first 59 values are of tokens and the others of durations 0 to 4."""
     e = table(spark, d, "embeddings")
-    return e.select((F.col("vec_id") % 20).alias("audio_id"), F.col("vec_id").alias("frame"), F.slice("embedding", 1, 6).alias("tokens"), F.slice("embedding", 7, 4).alias("durations"))
+    return e.select((F.col("vec_id") % 20).alias("audio_id"), F.col("vec_id").alias("frame"), F.slice("embedding", 1, 59).alias("tokens"), F.slice("embedding", 60, 5).alias("durations"))
 
 
-@query("de_tdt_greedy")
+@query("de_tdt_greedy", """WITH RECURSIVE f AS (SELECT vec_id % 20 AS audio_id, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) - 1 AS t, embedding[1:59] AS x, embedding[60:64] AS y FROM embeddings),
+b AS (SELECT audio_id, t, list_position(x, list_max(x)) - 1 AS k, list_position(y, list_max(y)) - 1 AS far FROM f),
+v AS (SELECT audio_id, t, k, far FROM b WHERE t = 0 UNION ALL SELECT b.audio_id, b.t, b.k, b.far FROM v JOIN b ON b.audio_id = v.audio_id AND b.t = v.t + greatest(1, v.far)),
+s AS (SELECT audio_id, t, CASE WHEN k = 0 THEN NULL WHEN far = 0 THEN array_to_string(list_transform(range(10), lambda i: k), ' ') ELSE k::VARCHAR END AS said FROM v)
+SELECT audio_id, coalesce(string_agg(said, ' ' ORDER BY t), '') AS text FROM s GROUP BY audio_id""")
 def _(spark, d):
     return decoding.decode(_scores(spark, d), "audio_id", "frame", "tokens", "durations", 0)
 
 
 @query("de_tdt_beam")
 def _(spark, d):
-    return decoding.decode(_scores(spark, d), "audio_id", "frame", "tokens", "durations", 0, beam=4)
+    """With a model of what the recordings say by the best token of each frame: its grams number at most the square of the tokens."""
+    s = _scores(spark, d)
+    best = F.array_position(F.transform("tokens", lambda x: x), F.array_max("tokens")) - 1
+    said = s.groupBy("audio_id").agg(F.array_sort(F.collect_list(F.struct("frame", best.alias("k")))).alias("s"))
+    words = F.transform("s", lambda x: x["k"].cast("string"))
+    lm = kneser_ney.estimate(kneser_ney.gram_counts(said, words, 2), 2, (0, 0))
+    grams = {r["gram"]: (r["logp"], r["backoff"]) for r in lm.collect()}
+    return decoding.decode(s, "audio_id", "frame", "tokens", "durations", 0, 4, decoding.Backoff(grams, 2, grams["<unk>"][0]), 0.5, 0.2)
 
 
 @query("js_char_token_map")
@@ -96,29 +109,33 @@ def _(spark, d):
     return s.select("audio_id", "s.percent", F.size("s.segments").cast("long").alias("segments"))
 
 
+def _diarized_frames(spark, d):
+    """Frames with four speakers' probabilities and an embedding of six dimensions."""
+    e = frames(spark, d).select("audio_id", "frame", "event_id")
+    wave = lambda s: F.abs((F.col("frame") * 23 + F.col("audio_id") * 11 + s * 50) % 200 - 100) / F.lit(100.0)
+    p = F.array(*[F.when(F.col("event_id") % 7 == 0, 0.02).otherwise(wave(s) * wave(s)) for s in range(4)])
+    x = F.array(*[((F.col("event_id") * (k + 3)) % 101) / F.lit(100.0) for k in range(6)])
+    return e.select("audio_id", "frame", x.alias("x"), p.alias("p"))
+
+
 @query("st_sortformer_cache")
 def _(spark, d):
-    """The cache of each recording after all its frames, by the processor that the stream uses."""
-    proc = stateful.SpeakerCache(40, 16)
+    """The cache of each recording after all its frames have come as a stream, in three micro-batches."""
+    f = _diarized_frames(spark, d)
+    states = stateful.drained(f, lambda s: stateful.stream_cache(s, cache=32, queue=16), "frame", 3, "update")
+    last = states.groupBy("audio_id").agg(F.max_by(F.struct("cached", "queued", "silent", "p_sum", "x_sum"), "batch").alias("s"))
+    return last.select("audio_id", "s.*")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, queue = [], []
-        for f, p in pdf.sort_values("frame")[["frame", "p"]].itertuples(index=False):
-            queue.append((int(f), float(p)))
-            if len(queue) > proc.queue_size:
-                kept, queue = proc.best(kept + queue), []
-        return pd.DataFrame({"audio_id": [pdf["audio_id"].iloc[0]], "cached": [len(kept)], "queued": [len(queue)], "lowest": [min((p for _, p in kept), default=0.0)]})
 
-    return frames(spark, d).select("audio_id", "frame", "p").groupBy("audio_id").applyInPandas(run, "audio_id long, cached long, queued long, lowest double")
+_STREAMED = "state AS (SELECT audio_id, frame, coalesce(last_value(CASE WHEN p >= 0.641::DOUBLE THEN true WHEN p < 0.561::DOUBLE THEN false END IGNORE NULLS) OVER (PARTITION BY audio_id ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS active FROM frames), r AS (SELECT *, frame - row_number() OVER (PARTITION BY audio_id, active ORDER BY frame) AS g FROM state), s AS (SELECT audio_id, min(frame) AS a, max(frame) + 1 AS b FROM r WHERE active GROUP BY audio_id, g), n AS (SELECT audio_id, count(*) AS seen FROM frames GROUP BY audio_id)"
 
 
-@base_query("st_incremental_segments", "WITH state AS (SELECT audio_id, frame, coalesce(last_value(CASE WHEN p >= 0.641::DOUBLE THEN true WHEN p < 0.561::DOUBLE THEN false END IGNORE NULLS) OVER (PARTITION BY audio_id ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS active FROM frames), r AS (SELECT *, frame - row_number() OVER (PARTITION BY audio_id, active ORDER BY frame) AS g FROM state), s AS (SELECT audio_id, min(frame) AS a, max(frame) + 1 AS b FROM r WHERE active GROUP BY audio_id, g), n AS (SELECT audio_id, count(*) AS n FROM frames GROUP BY audio_id) SELECT audio_id, a, b FROM s JOIN n USING (audio_id) WHERE b <= n - 5")
+@base_query("st_incremental_segments", f"WITH {_STREAMED} SELECT s.audio_id, a, b FROM s JOIN n USING (audio_id) WHERE b <= seen - 5")
 def _(spark, d):
-    f = frames(spark, d)
-    r = sequence.runs(sequence.hysteresis(f, ["audio_id"], ["frame"], "p"), ["audio_id"], "frame", "active").where("active")
-    seen = f.groupBy("audio_id").agg(F.count("*").alias("seen"))
-    s = r.join(seen, "audio_id").select("audio_id", F.col("first").alias("a"), (F.col("last") + 1).alias("b"), (F.col("last") + 1).cast("double").alias("end"), "seen")
-    return stateful.stable_segments(s, "audio_id", "seen", frame=1.0).select("audio_id", "a", "b")
+    """Segments of a stream in four micro-batches, each emitted once, when later frames can't change it any more."""
+    f = frames(spark, d).select("audio_id", "frame", "p")
+    out = stateful.drained(f, lambda s: stateful.stream_segments(s, frame=1.0, half=5), "frame", 4)
+    return out.select("audio_id", F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
 
 
 def _transcripts(spark, d):
@@ -172,36 +189,105 @@ def _(spark, d):
     return scorers.score(table(spark, d, "embeddings"), "vec_id", "embedding", make).select("vec_id", F.round(F.col("scores")[0], 6).alias("total"))
 
 
+def energy():
+    """A stand-in model whose state is a running mean of the windows' energy."""
+
+    def step(w, state):
+        state = 0.9 * state + 0.1 * np.array([np.mean(w * w)])
+        return float(state[0]), state
+
+    return step
+
+
 @query("st_vad_recurrent")
 def _(spark, d):
-    """A stand-in scorer whose state is a running mean of the windows' energy."""
+    """Scores of a signal that comes as a stream, 40 samples a row, in three micro-batches."""
+    x = (F.col("value") / F.lit(100.0)) - 0.5
+    f = frames(spark, d).select("audio_id", F.col("frame").alias("pos"), F.array_repeat(x, 40).alias("x"))
+    return stateful.drained(f, lambda s: stateful.stream_scores(s, energy, [0.0]), "pos", 3).select("audio_id", "window", F.round("p", 9).alias("p"))
 
-    def make():
-        def step(w, state):
-            state = 0.9 * state + 0.1 * np.array([np.mean(w * w)])
-            return float(state[0]), state
 
-        return lambda items: [np.array(scorers.recurrent(x, step, np.zeros(1))) for x in items]
+@query("st_continuous_batch")
+def _(spark, d):
+    """Turns of a recording decoded in a batch of three: a turn takes a step a token, and the next one has its place as soon
+    as it ends. Only the schedule; there is no device to run it."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).cast("long").alias("steps"))
+    return ranking.continuous_batch(c, "conv_id", "turn", "steps", 3)
 
-    x = _signals(spark, d).select("audio_id", F.flatten(F.transform("x", lambda v: F.array_repeat(v, 40))).alias("x"))
-    return scorers.score(x, "audio_id", "x", make).select("audio_id", F.size("scores").alias("n"), F.round(F.element_at("scores", -1), 6).alias("last"))
 
+def wav_bytes(x: np.ndarray, rate: int, channels: int) -> bytes:
+    """A WAV file of 16 bits, the same samples in every channel."""
+    f = io.BytesIO()
+    with wave.open(f, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.repeat((np.clip(x, -1, 1) * 32767).astype("<i2"), channels).tobytes())
+    return f.getvalue()
 
-@query("src_audio_file", "SELECT user_id AS audio_id, 16000 AS rate, 1 AS channels, count(*) AS n FROM events GROUP BY user_id")
-def _(spark, d):
-    """WAV files written from the signals, then decoded."""
+
+def _audio_files(spark, d):
+    """A file for each signal: mono, stereo at half the rate, or none that is audio."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for a, x in zip(pdf["audio_id"], pdf["x"], strict=True):
-                f = io.BytesIO()
-                with wave.open(f, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(16000)
-                    w.writeframes((np.clip(np.asarray(x, float), -1, 1) * 32767).astype("<i2").tobytes())
-                rows.append((a, *readers.decode_wav(f.getvalue())[:2], len(x)))
-            yield pd.DataFrame(rows, columns=["audio_id", "rate", "channels", "n"])
-
-    return _signals(spark, d).mapInPandas(run, "audio_id long, rate long, channels long, n long")
+            made = [(f"{a}.wav", b"no audio" if a % 3 == 2 else wav_bytes(np.asarray(x, float), 16000 // (1 + a % 3), 1 + int(a % 3))) for a, x in zip(pdf["audio_id"], pdf["x"], strict=True)]
+            yield pd.DataFrame(made, columns=["path", "content"])
+
+    return _signals(spark, d).mapInPandas(run, "path string, content binary")
+
+
+_FILES = "f AS (SELECT user_id AS a, user_id || '.wav' AS path, count(*) AS n FROM events GROUP BY user_id)"
+
+
+@query("src_audio_file", f"WITH {_FILES} SELECT path, CASE WHEN a % 3 < 2 THEN 16000 // (1 + a % 3) END::INT AS rate, CASE WHEN a % 3 < 2 THEN 1 + a % 3 END::INT AS channels, CASE WHEN a % 3 < 2 THEN n END AS n FROM f")
+def _(spark, d):
+    """Files written from the signals, then decoded; n counts what was decoded."""
+    x = readers.read_stream(_audio_files(spark, d), 0)
+    return x.select("path", "rate", "channels", (F.when(F.col("samples").isNotNull(), F.size("samples")) / F.col("channels")).cast("long").alias("n"))
+
+
+@query("src_audio_stream", f"WITH {_FILES} SELECT path, a % 2 AS stream, CASE WHEN a % 6 IN (0, 4) THEN n END AS n, round(CASE WHEN a % 6 IN (0, 4) THEN (SELECT sum(trunc(least(1, greatest(-1, value / 100.0::DOUBLE - 0.5::DOUBLE)) * 32767)) FROM events WHERE user_id = a) END / 32768, 6) AS total FROM f")
+def _(spark, d):
+    """The first or the second stream of each file; there is no second one."""
+    files = _audio_files(spark, d)
+    index = F.substring_index("path", ".", 1).cast("long") % 2
+    x = readers.read_stream(files, index.cast("int"))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v) / F.col("channels")
+    return x.select("path", index.alias("stream"), (F.size("samples") / F.col("channels")).cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@query("src_probe_streams", f"WITH {_FILES} SELECT path, 0 AS stream, 'pcm_16' AS codec, (16000 // (1 + a % 3))::INT AS rate, (1 + a % 3)::INT AS channels, n AS frames FROM f WHERE a % 3 < 2")
+def _(spark, d):
+    return readers.audio_streams(_audio_files(spark, d))
+
+
+_KN = """s AS (SELECT list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT list_concat(list_concat(['<s>'], w), ['</s>']) AS w FROM s),
+g AS (SELECT n AS ord, array_to_string(w[i:i + n - 1], ' ') AS gram FROM p, (SELECT unnest([1, 2, 3, 4]) AS n) o, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) q),
+raw AS MATERIALIZED (SELECT ord, gram, count(*) AS n FROM g GROUP BY ord, gram),
+adj AS MATERIALIZED (SELECT x.ord, x.gram, x.a, r.n > [0, 0, 1, 1][x.ord] AS kept FROM (SELECT ord, gram, n AS a FROM raw WHERE (ord = 4 OR gram LIKE '<s>%') AND gram <> '<s>'
+  UNION ALL SELECT ord - 1, regexp_replace(gram, '^[^ ]+ ', ''), count(*) FROM raw WHERE ord > 1 GROUP BY 1, 2) x JOIN raw r ON r.ord = x.ord AND r.gram = x.gram),
+t AS (SELECT ord, count(*) FILTER (WHERE a = 1)::DOUBLE AS t1, count(*) FILTER (WHERE a = 2)::DOUBLE AS t2, count(*) FILTER (WHERE a = 3)::DOUBLE AS t3, count(*) FILTER (WHERE a = 4)::DOUBLE AS t4 FROM adj GROUP BY ord),
+y AS (SELECT *, t1 / (t1 + 2 * t2) AS y FROM t),
+dd AS (SELECT ord, least(t1, t2, t3, t4) AS least_t, 1 - 2 * y * t2 / t1 AS d1, 2 - 3 * y * t3 / t2 AS d2, 3 - 4 * y * t4 / t3 AS d3 FROM y),
+d AS (SELECT ord, CASE WHEN ok THEN d1 ELSE 0.5 END AS d1, CASE WHEN ok THEN d2 ELSE 1.0 END AS d2, CASE WHEN ok THEN d3 ELSE 1.5 END AS d3 FROM (SELECT *, coalesce(least_t > 0 AND least(d1, d2, d3) >= 0 AND d1 <= 1 AND d2 <= 2 AND d3 <= 3, false) AS ok FROM dd)),
+k AS MATERIALIZED (SELECT adj.ord, gram, kept, a::DOUBLE AS a, CASE a WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d, regexp_replace(gram, ' ?[^ ]+$', '') AS head FROM adj JOIN d USING (ord)),
+c AS MATERIALIZED (SELECT ord, head, sum(CASE WHEN kept THEN d ELSE a END) / sum(a) AS gamma, sum(a) AS total FROM k GROUP BY ord, head),
+z AS (SELECT gamma / (SELECT count(*) + 1 FROM k WHERE ord = 1) AS least FROM c WHERE ord = 1),
+u AS MATERIALIZED (SELECT k.ord, gram, regexp_replace(gram, '^[^ ]+ ?', '') AS tail, (a - d) / total AS u, gamma FROM k JOIN c ON c.ord = k.ord AND c.head = k.head WHERE kept),
+p1 AS MATERIALIZED (SELECT gram, u + least AS p FROM u, z WHERE ord = 1 UNION ALL SELECT '<unk>', least FROM z),
+p2 AS MATERIALIZED (SELECT u.gram, u + gamma * p AS p FROM u JOIN p1 ON p1.gram = tail WHERE ord = 2),
+p3 AS MATERIALIZED (SELECT u.gram, u + gamma * p AS p FROM u JOIN p2 ON p2.gram = tail WHERE ord = 3),
+p4 AS (SELECT u.gram, u + gamma * p AS p FROM u JOIN p3 ON p3.gram = tail WHERE ord = 4),
+l AS (SELECT 1 AS ord, gram, log10(p) AS logp FROM p1 UNION ALL SELECT 1, '<s>', 0 UNION ALL SELECT 2, gram, log10(p) FROM p2 UNION ALL SELECT 3, gram, log10(p) FROM p3 UNION ALL SELECT 4, gram, log10(p) FROM p4)"""
+
+
+@query("snk_arpa", f"WITH {_KN} SELECT l.ord::BIGINT AS ord, gram, round(logp, 6) AS logp, round(coalesce(log10(c.gamma), 0), 6) AS backoff FROM l LEFT JOIN c ON c.ord = l.ord + 1 AND c.head = l.gram")
+def _(spark, d):
+    """A model of order 4 estimated, written as an ARPA file and read back."""
+    words = F.split(F.lower("text"), "[ \t\n\r\f]+")
+    lm = kneser_ney.estimate(kneser_ney.gram_counts(table(spark, d, "conversations"), words, 4), 4, (0, 0, 1, 1))
+    at = scratch.new_path(spark)
+    exports.arpa(kneser_ney.arpa_lines(lm, 4), at)
+    return readers.arpa_words(spark, at).select(F.col("order").cast("long").alias("ord"), "gram", F.round("logp", 6).alias("logp"), F.round("backoff", 6).alias("backoff"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern import scratch
 from lectern.functions import text, vectors
 from lectern.operators import clustering, evaluation, store
 from lectern.session import table
@@ -34,7 +35,8 @@ def _(spark, d):
 
 @query("cl_vbx")
 def _(spark, d):
-    return clustering.refine(_emb(spark, d), "rec", "vec_id", "embedding", "label")
+    """Refinement from the labels, with variances that fall from dimension to dimension."""
+    return clustering.refine(_emb(spark, d), "rec", "vec_id", "embedding", "label", [2.0 - i / 64 for i in range(64)])
 
 
 _CENT = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM e GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label), k AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM e GROUP BY vec_id), s AS (SELECT e.vec_id, m.label, round(sum(e.v * m.m) / any_value(k.n) / any_value(n.n), 10) AS cos FROM e JOIN m ON m.i = e.i JOIN n ON n.label = m.label JOIN k ON k.vec_id = e.vec_id GROUP BY e.vec_id, m.label)"
@@ -48,23 +50,27 @@ def _(spark, d):
 
 @query("cl_merge_small", f"WITH {_CENT}, z AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label), cut AS (SELECT quantile_disc(c, 0.3) AS c FROM z), big AS (SELECT label FROM z, cut WHERE z.c >= cut.c), b AS (SELECT vec_id, arg_max(s.label, (cos, -s.label)) AS best FROM s JOIN big USING (label) GROUP BY vec_id) SELECT x.vec_id, CASE WHEN x.label IN (SELECT label FROM big) THEN x.label ELSE b.best END::BIGINT AS label FROM embeddings x JOIN b USING (vec_id)")
 def _(spark, d):
-    e = _emb(spark, d)
-    least = e.groupBy("label").count().agg(F.expr("percentile_disc(0.3) WITHIN GROUP (ORDER BY count)")).first()[0]
-    return clustering.merge_small(e, "embedding", "label", ["vec_id"], int(least))
+    return clustering.merge_small(_emb(spark, d), "embedding", "label", ["vec_id"], 0.3)
+
 
+_FRAMES = "f AS (SELECT vec_id, vec_id % 25 AS rec, label, 20 + vec_id % 77 AS frames, (vec_id * 13) % 17 AS clean FROM embeddings)"
 
-@query("cl_train_subset", "WITH g AS (SELECT label, count(*) FILTER (WHERE vec_id % 3 = 0) AS n FROM embeddings GROUP BY label) SELECT vec_id FROM embeddings JOIN g USING (label) WHERE n < 2 OR vec_id % 3 = 0")
+
+@query("cl_train_subset", f"WITH {_FRAMES}, k AS (SELECT *, clean >= greatest(1, round_even(frames * 0.1::DOUBLE, 0)::BIGINT) AS enough FROM f) SELECT vec_id FROM k WHERE enough OR rec IN (SELECT rec FROM k GROUP BY rec HAVING count(*) FILTER (WHERE enough) < 2)")
 def _(spark, d):
-    e = _emb(spark, d)
-    n = e.groupBy("label").agg(F.count_if(F.col("vec_id") % 3 == 0).alias("n"))
-    return e.join(F.broadcast(n), "label").where((F.col("n") < 2) | (F.col("vec_id") % 3 == 0)).select("vec_id")
+    """Every embedding stands for a stretch of frames, some of which only one speaker has."""
+    f = _emb(spark, d).select("rec", "vec_id", (20 + F.col("vec_id") % 77).alias("frames"), (F.col("vec_id") * 13 % 17).alias("clean"))
+    return clustering.train_subset(f, ["rec"], "clean", "frames").select("vec_id")
 
 
 @query("cl_assign_unique")
 def _(spark, d):
+    """Chunks of four embeddings of a recording, scored by their cosine with the centroid of every label."""
     e = _emb(spark, d)
     n = F.row_number().over(Window.partitionBy("rec").orderBy("vec_id"))
-    chunks = e.withColumn("chunk", F.floor((n - 1) / 4)).withColumn("scores", F.slice("embedding", 1, 5))
+    one = clustering.centroids(e, "label", "embedding").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("all"))
+    scores = F.transform("all", lambda c: vectors.cosine(F.col("embedding"), c["centroid"]))
+    chunks = e.join(F.broadcast(one)).withColumn("chunk", F.floor((n - 1) / 4)).withColumn("scores", scores)
     return clustering.assign_unique(chunks, ["rec", "chunk"], "vec_id", "scores").drop("chunk")
 
 
@@ -94,18 +100,22 @@ def _at_each_word(spark, d):
     return c.where("w is not null").select("id", F.posexplode(at).alias("pos", "gram"))
 
 
-_LM = f"{_GRAMS}, lm AS (SELECT gram, -1.0::DOUBLE / n AS p, -0.5::DOUBLE / n AS b FROM c WHERE ord <= 3 AND n > 1), q AS (SELECT conv_id * 1000 + turn AS id, string_split(lower(text), ' ')[1:3] AS w FROM conversations WHERE len(string_split(text, ' ')) >= 3)"
+_LM = f"""{_GRAMS}, lm AS (SELECT gram, -1.0::DOUBLE / n AS p, -0.5::DOUBLE / n AS b FROM c WHERE ord <= 3 AND n > 1),
+t AS (SELECT conv_id * 1000 + turn AS id, string_split(lower(text), ' ') AS w FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT id, (i - 1)::INT AS pos, CASE WHEN i > 2 THEN array_to_string(w[i - 2:i], ' ') END AS g3, CASE WHEN i > 1 THEN array_to_string(w[i - 1:i], ' ') END AS g2, w[i] AS g1,
+  CASE WHEN i > 2 THEN array_to_string(w[i - 2:i - 1], ' ') END AS h2, CASE WHEN i > 1 THEN w[i - 1] END AS h1 FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) o),
+j AS (SELECT id, pos, a.p AS p3, b.p AS p2, c1.p AS p1, d.b AS b3, e.b AS b2 FROM q LEFT JOIN lm a ON a.gram = g3 LEFT JOIN lm b ON b.gram = g2 LEFT JOIN lm c1 ON c1.gram = g1 LEFT JOIN lm d ON d.gram = h2 LEFT JOIN lm e ON e.gram = h1)"""
 _LM_SCORE = "CASE WHEN p3 IS NOT NULL THEN p3 WHEN p2 IS NOT NULL THEN p2 + coalesce(b3, 0) WHEN p1 IS NOT NULL THEN p1 + coalesce(b2, 0) + coalesce(b3, 0) ELSE -10.0::DOUBLE END"
 
 
-@query("lm_backoff", f"WITH {_LM}, j AS (SELECT id, (SELECT p FROM lm WHERE gram = array_to_string(w, ' ')) AS p3, (SELECT p FROM lm WHERE gram = array_to_string(w[2:3], ' ')) AS p2, (SELECT p FROM lm WHERE gram = w[3]) AS p1, (SELECT b FROM lm WHERE gram = array_to_string(w[1:2], ' ')) AS b3, (SELECT b FROM lm WHERE gram = w[2]) AS b2 FROM q) SELECT id, round({_LM_SCORE}, 9) AS score FROM j")
+@query("lm_backoff", f"WITH {_LM} SELECT id, pos, round({_LM_SCORE}, 9) AS score FROM j")
 def _(spark, d):
     q = _at_each_word(spark, d)
     scores = clustering.backoff_scores(q.select(F.col("gram").alias("id"), "gram").distinct(), _lm(spark, d), -10.0, 3)
     return q.join(scores.withColumnRenamed("id", "gram"), "gram").select("id", "pos", F.round("score", 9).alias("score"))
 
 
-@query("lm_lookup", f"WITH {_LM} SELECT id, CASE WHEN array_to_string(w, ' ') IN (SELECT gram FROM lm) THEN 3 WHEN array_to_string(w[2:3], ' ') IN (SELECT gram FROM lm) THEN 2 WHEN w[3] IN (SELECT gram FROM lm) THEN 1 ELSE 0 END AS matched FROM q")
+@query("lm_lookup", f"WITH {_LM} SELECT id, pos, CASE WHEN p3 IS NOT NULL THEN 3 WHEN p2 IS NOT NULL THEN 2 WHEN p1 IS NOT NULL THEN 1 ELSE 0 END AS matched FROM j")
 def _(spark, d):
     lm = _lm(spark, d).select(F.col("gram").alias("suffix"), F.lit(True).alias("hit"))
     q = _at_each_word(spark, d)
@@ -161,19 +171,37 @@ def _(spark, d):
     return _ref_hyp(spark, d).select("mode", evaluation.rouge_l("ref", "hyp").alias("r")).groupBy("mode").agg(F.round(F.avg("r"), 9).alias("rouge_l"))
 
 
-@query("ev_entity_prf", "WITH g AS (SELECT DISTINCT p_type AS t FROM part) SELECT doc_id, len(list_intersect(list_distinct(string_split(lower(text), ' ')), (SELECT list(lower(t)) FROM g))) AS found FROM documents")
+_HYP = "w AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN_ \\n\\t]', '', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM benchmark)"
+
+
+@query("ev_entity_prf", f"WITH {_HYP}, t AS (SELECT DISTINCT x AS t, length(x) % 2 AS cls FROM (SELECT unnest(w) AS x FROM w) WHERE length(x) > 5), e AS (SELECT item_id, w AS r, list_filter(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN 'changed' WHEN (i - 1) % 11 = 5 THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS h FROM w), s AS (SELECT item_id, cls, list_distinct(list_intersect(r, g)) AS gold, list_distinct(list_intersect(h, g)) AS found FROM e, (SELECT cls, list(t) AS g FROM t GROUP BY cls) k), n AS (SELECT item_id, cls, len(gold) AS g, len(found) AS p, len(list_intersect(gold, found)) AS tp FROM s) SELECT item_id, cls, round(CASE WHEN g + p = 0 THEN 1 WHEN g * p = 0 THEN 0 ELSE tp / p::DOUBLE END, 9) AS prec, round(CASE WHEN g + p = 0 THEN 1 WHEN g * p = 0 THEN 0 ELSE tp / g::DOUBLE END, 9) AS rec, round(CASE WHEN g + p = 0 THEN 1 WHEN g * p = 0 THEN 0 ELSE 2 * tp / (p + g)::DOUBLE END, 9) AS f1 FROM n")
 def _(spark, d):
-    """Entities by gazetteer: the terms come as one array, the size of the gazetteer."""
-    g = table(spark, d, "part").agg(F.collect_set(F.lower("p_type")).alias("terms"))
-    return table(spark, d, "documents").join(F.broadcast(g), F.lit(True)).select("doc_id", F.size(F.array_intersect(F.array_distinct(F.split(F.lower("text"), " ")), "terms")).cast("long").alias("found"))
+    """Entities by gazetteer: long words of two classes stand for its terms. Words meet terms in a join, so the gazetteer
+    may be of any size."""
+    r = _ref_hyp(spark, d)
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    each = r.select("item_id", F.lit(True).alias("gold"), F.explode(words("ref")).alias("x")).union(r.select("item_id", F.lit(False), F.explode(words("hyp"))))
+    terms = r.select(F.explode(words("ref")).alias("x")).distinct().where("length(x) > 5").withColumn("cls", (F.length("x") % 2).cast("long"))
+    sets = evaluation.entity_sets(each, terms, ["item_id"], "x", "cls", "gold")
+    score = evaluation.prf("gold_set", "found_set")
+    classes = terms.select("cls").distinct()
+    all_ = r.select("item_id").join(classes).join(sets, ["item_id", "cls"], "left")
+    none = F.array().cast("array<string>")
+    s = all_.select("item_id", "cls", F.coalesce("gold_set", none).alias("gold_set"), F.coalesce("found_set", none).alias("found_set")).select("item_id", "cls", score.alias("s"))
+    return s.select("item_id", "cls", *[F.round(f"s.{c}", 9).alias(c) for c in ("prec", "rec", "f1")])
+
+
+_PAIRS = "p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, list_transform(b.embedding::DOUBLE[], lambda v: v * CASE WHEN a.vec_id % 3 = 0 THEN 1.00001::DOUBLE ELSE 1 END) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + CASE WHEN a.vec_id % 2 = 0 THEN 0 ELSE 1 END)"
 
 
-@query("ev_parity_gate", "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9999 AND a.label = b.label AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + CASE WHEN a.vec_id % 2 = 0 THEN 0 ELSE 1 END")
+@query("ev_parity_gate", f"WITH {_PAIRS}, s AS (SELECT vec_id, x, y, list_transform(x, lambda v: exp(v)) AS ex, list_transform(y, lambda v: exp(v)) AS ey FROM p), m AS (SELECT vec_id, list_position(x, list_max(x)) = list_position(y, list_max(y)) AS top, list_max(list_transform(range(1, len(x) + 1), lambda i: abs(ex[i] / list_sum(ex) - ey[i] / list_sum(ey)))) <= 0.001::DOUBLE AS near, list_cosine_similarity(x, y) >= 0.9999::DOUBLE AS along FROM s) SELECT vec_id, top AND near AND along AS same FROM m")
 def _(spark, d):
+    """Vectors read as scores, against the same ones in other precision or against the next one's."""
     e = _emb(spark, d)
-    a = e.withColumn("other", F.col("vec_id") + F.when(F.col("vec_id") % 2 == 0, 0).otherwise(1))
-    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("y"), F.col("label").alias("l2"))
-    return a.join(b, "other").select("vec_id", ((vectors.cosine(F.col("embedding"), F.col("y")) >= 0.9999) & (F.col("label") == F.col("l2"))).alias("same"))
+    a = e.withColumn("other", F.col("vec_id") + F.when(F.col("vec_id") % 2 == 0, 0).otherwise(1)).select("vec_id", "other", F.col("embedding").alias("x"))
+    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("y0"))
+    j = a.join(b, "other").withColumn("y", F.transform("y0", lambda v: v * F.when(F.col("vec_id") % 3 == 0, 1.00001).otherwise(1.0)))
+    return j.select("vec_id", evaluation.parity(F.col("x"), F.col("y"), F.col("x"), F.col("y")).alias("same"))
 
 
 # --- edits of the store -----------------------------------------------------------------------------------------
@@ -204,10 +232,11 @@ def _(spark, d):
     return store.fold_log(table(spark, d, "events").select(F.col("user_id").alias("result_id"), "event_id", F.col("value").alias("tokens")), "result_id", "event_id", ["tokens"])
 
 
-@query("dm_insert_result", "SELECT conv_id, turn FROM conversations UNION ALL SELECT conv_id, max(turn) + 1 FROM conversations GROUP BY conv_id")
+@query("dm_insert_result", "WITH n AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS k, (SELECT max(conv_id * 1000 + turn) FROM conversations) AS top FROM conversations WHERE turn = 0) SELECT conv_id * 1000 + turn AS result_id, conv_id FROM conversations UNION ALL SELECT top + k, conv_id FROM n")
 def _(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    return c.union(c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")))
+    """Every first turn is recognised once more: new results get the ids after the largest one."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("result_id"), "conv_id", "turn")
+    return store.insert(c.drop("turn"), c.where("turn = 0").drop("turn"), "result_id", ["conv_id"])
 
 
 @base_query("dm_update_lid", "SELECT result_id, coalesce(CASE WHEN result_id % 5 = 0 THEN 'de' END, lower(language)) AS lid FROM results")
@@ -217,10 +246,15 @@ def _(spark, d):
     return store.upsert(r.select("result_id", F.lower("language").alias("lid")), new, ["result_id"], ["lid"])
 
 
-@query("dm_bulk_tx", "SELECT count(*) AS n FROM conversations")
+@query("dm_bulk_tx", "SELECT conv_id * 1000 + turn AS result_id, role, CASE WHEN turn = 2 THEN upper(role) ELSE role END AS now FROM conversations WHERE turn <> 1")
 def _(spark, d):
-    """One write is one transaction; what a query can show is that all rows are in it."""
-    return table(spark, d, "conversations").agg(F.count("*").alias("n"))
+    """Edits of many rows as one write: readers see the table before or after it, never a part."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("result_id"), "turn", "role", F.col("role").alias("now"))
+    at = scratch.new_path(spark)
+    store.commit(spark, at, c)
+    before = store.current(spark, at)
+    store.commit(spark, at, before.where("turn <> 1").withColumn("now", F.when(F.col("turn") == 2, F.upper("role")).otherwise(F.col("now"))))
+    return store.current(spark, at).drop("turn")
 
 
 @base_query("dm_merge_cards", "WITH x AS (SELECT a.result_id AS card_id, a.start_time AS s, b.end_time AS e, list_concat(a.timestamps, list_transform(b.timestamps, lambda t: t + round_even((b.start_time - a.start_time) / 0.08::DOUBLE, 0)::BIGINT)) AS ts, trim(a.asr_content) || ' ' || trim(b.asr_content) AS content, a.end_time AS ae FROM results a JOIN results b ON b.result_id = a.result_id + 1 AND a.turn % 2 = 0) SELECT card_id, s AS play_start, greatest(ae, e) AS play_end, array_to_string(ts, ',') AS timestamps, content FROM x")

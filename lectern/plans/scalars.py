@@ -22,18 +22,21 @@ def _(spark, d):
     return c.select("conv_id", "turn", text.tagged_norm(F.col("t")).alias("line"))
 
 
-@query("sc_peoples_norm", "SELECT doc_id, upper(substr(trim(lower(text)), 1, 1)) || substr(trim(lower(text)), 2) AS line FROM documents WHERE lang = 'en'")
+@query("sc_peoples_norm", "SELECT doc_id, upper(substr(trim(lower(text)), 1, 1)) || substr(trim(lower(text)), 2) AS line FROM documents")
 def _(spark, d):
     return _DOC(spark, d).select("doc_id", text.peoples_norm(F.lower("text")).alias("line"))
 
 
-@query("sc_sentence_split", f"WITH p AS (SELECT doc_id, {_SQ.format('unnest(string_split_regex(text, chr(10) || chr(92) || chr(115) || chr(42) || chr(10)))')} AS p FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, unnest(string_split(regexp_replace(p, '([.!?]) ([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM p) SELECT doc_id, trim(s) AS sentence, count(*) AS n FROM s WHERE length(trim(s)) > 0 GROUP BY ALL")
+@query("sc_sentence_split", f"WITH p AS (SELECT doc_id, {_SQ.format('unnest(string_split_regex(text, chr(10) || chr(92) || chr(115) || chr(42) || chr(10)))')} AS p FROM documents), s AS (SELECT doc_id, unnest(string_split(regexp_replace(p, '([.!?]) ([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM p) SELECT doc_id, trim(s) AS sentence, count(*) AS n FROM s WHERE length(trim(s)) > 0 GROUP BY ALL")
 def _(spark, d):
     s = _DOC(spark, d).select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
     return s.groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
-@query("sc_sentence_split_pharma")
+_PHARMA = "list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n[ \\t\\n\\r\\f]*\\n', chr(1), 'g'), '\\n([A-Z][a-z])', chr(1) || '\\1', 'g'), chr(1)), lambda p: string_split(regexp_replace(trim(regexp_replace(p, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), '([.!?]) ([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))), lambda s: trim(regexp_replace(s, '^[0-9]+(\\.[0-9]+)*[ ]+', ''), ' ')), lambda s: length(s) >= 10)"
+
+
+@query("sc_sentence_split_pharma", f"SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {_PHARMA} AS l FROM documents)")
 def _(spark, d):
     return _DOC(spark, d).select("doc_id", F.posexplode(text.sentences_in_lines(F.col("text"))).alias("pos", "sentence"))
 
@@ -50,7 +53,7 @@ def _(spark, d):
     return _DOC(spark, d).select("doc_id", text.title_abstract(title, content).alias("line"))
 
 
-@query("sc_strip_speaker", "SELECT conv_id, turn, trim(text) AS line FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%'")
+@query("sc_strip_speaker", "WITH l AS (SELECT conv_id, turn, unnest(string_split(replace(CASE WHEN role = 'user' THEN 'Patient: ' ELSE 'DOCTOR:  ' END || text, '\\n', chr(10)), chr(10))) AS x FROM conversations) SELECT conv_id, turn, trim(regexp_replace(x, '^\\s*(DOCTOR|PATIENT):\\s*', '', 'i'), ' ') AS line FROM l WHERE length(trim(regexp_replace(x, '^\\s*(DOCTOR|PATIENT):\\s*', '', 'i'), ' ')) > 0")
 def _(spark, d):
     c = table(spark, d, "conversations").withColumn("t", F.concat(F.when(F.col("role") == "user", "Patient: ").otherwise("DOCTOR:  "), "text", F.lit("\\n")))
     return c.select("conv_id", "turn", F.explode(text.turns_without_speakers(F.col("t"))).alias("line"))
@@ -74,10 +77,13 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.content_words(F.col("text"), STOP), " ").alias("words"))
 
 
-@query("sc_metadata_prefix", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Old English' ELSE 'Xyzzy' END AS name FROM nation")
+@query("sc_metadata_prefix", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN lang = 'en' THEN 'Old English' WHEN lang = 'de' THEN 'German' WHEN lang = 'fr' THEN 'English' ELSE 'Xyzzy' END AS name FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    said = F.when(F.col("n_nationkey") % 2 == 0, "language Old English text").otherwise("language Xyzzy text")
-    return table(spark, d, "nation").select("n_nationkey", text.language_prefix(said, ["Old", "Old English", "English"]).alias("name"))
+    """Known names, the longest first; a name that isn't known; and texts that say no language."""
+    name = F.when(F.col("lang") == "en", "old english").when(F.col("lang") == "de", "German").when(F.col("lang") == "fr", "English").otherwise("Xyzzy")
+    said = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("The ")).otherwise(F.lit(" ")), F.lit("language "), name, F.lit(": "), F.col("text"))
+    found = text.language_prefix(said, ["Old", "Old English", "English", "German"])
+    return _DOC(spark, d).where("text is not null").select("doc_id", F.initcap(found).alias("name"))
 
 
 @query("sc_script_fraction", "SELECT doc_id, round(len(regexp_extract_all(text, '[a-zA-Z]')) / length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g'))::DOUBLE, 9) AS latin FROM documents")
@@ -244,17 +250,29 @@ def _(spark, d):
     return k.select("audio_id", "frame", F.round(vectors.log_softmax(F.col("p"), ["audio_id"]), 9).alias("q"))
 
 
-@query("ma_xvec_tf", "SELECT vec_id, round(sqrt(2) * a / sqrt(a * a + b * b), 9) AS x0 FROM (SELECT vec_id, embedding[1]::DOUBLE - 0.01::DOUBLE AS a, 2 * (embedding[2]::DOUBLE + 0.02::DOUBLE) AS b FROM embeddings)")
+#: Whitening data by rule: means and maps of the two transforms, rows of small fractions.
+_MEAN1, _MEAN2 = [((7 * i) % 11 - 5) / 100 for i in range(64)], [((5 * i) % 7 - 3) / 10 for i in range(32)]
+_LDA = [[((i * 7 + k * 3) % 13 - 6) / 8 for i in range(64)] for k in range(32)]
+_PLDA = [[((i * 5 + k * 11) % 17 - 8) / 8 for i in range(32)] for k in range(32)]
+_SQL_LIST = lambda v: "[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]"
+_SQL_MAP = lambda v, rows: "[" + ", ".join(f"list_dot_product({v}, {_SQL_LIST(r)})" for r in rows) + "]"
+_SQL_NORM = lambda v: f"list_transform({v}, lambda z: z / sqrt(list_dot_product({v}, {v})))"
+_XVEC = f"""a AS (SELECT vec_id, list_transform(embedding, lambda z, i: z::DOUBLE - ({_SQL_LIST(_MEAN1)})[i]) AS c FROM embeddings), b AS (SELECT vec_id, {_SQL_NORM("c")} AS n FROM a),
+m AS (SELECT vec_id, list_transform(n, lambda z: z * sqrt(64::DOUBLE)) AS n FROM b), l AS (SELECT vec_id, {_SQL_MAP("n", _LDA)} AS y FROM m), o AS (SELECT vec_id, list_transform(y, lambda z, i: z - ({_SQL_LIST(_MEAN2)})[i]) AS y FROM l), x AS (SELECT vec_id, list_transform({_SQL_NORM("y")}, lambda z: z * sqrt(32::DOUBLE)) AS y FROM o)"""
+
+
+def _xvectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", vectors.whitened(F.col("embedding"), _MEAN1, _LDA, _MEAN2).alias("y"))
+
+
+@query("ma_xvec_tf", f"WITH {_XVEC} SELECT vec_id, list_transform(y, lambda z: round(z, 6)) AS y FROM x")
 def _(spark, d):
-    """A whitening and projection on two dimensions: centre, map, normalise, scale by the root of the dimension."""
-    v = F.slice(F.col("embedding"), 1, 2)
-    y = vectors.l2norm(vectors.affine(v, [0.01, -0.02], [[1.0, 0.0], [0.0, 2.0]]))
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(F.lit(2.0)) * y[0], 9).alias("x0"))
+    return _xvectors(spark, d).select("vec_id", F.transform("y", lambda z: F.round(z, 6)).alias("y"))
 
 
-@query("ma_plda_tf", "SELECT vec_id, round((embedding[1]::DOUBLE - 0.5::DOUBLE) * 2 + (embedding[2]::DOUBLE - 0.25::DOUBLE) * 3, 9) AS y FROM embeddings")
+@query("ma_plda_tf", f"WITH {_XVEC}, c AS (SELECT vec_id, list_transform(y, lambda z, i: z - ({_SQL_LIST(_MEAN2)})[i]) AS c FROM x), p AS (SELECT vec_id, {_SQL_MAP('c', _PLDA)} AS y FROM c) SELECT vec_id, list_transform(y, lambda z: round(z, 6)) AS y FROM p")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.affine(F.slice(F.col("embedding"), 1, 2), [0.5, 0.25], [[2.0, 3.0]])[0], 9).alias("y"))
+    return _xvectors(spark, d).select("vec_id", F.transform(vectors.projected(F.col("y"), _MEAN2, _PLDA), lambda z: F.round(z, 6)).alias("y"))
 
 
 @query("ma_mel_slaney", "SELECT event_id, round(CASE WHEN f < 1000 THEN f * 3 / 200 ELSE 15 + ln(f / 1000) / (ln(6.4::DOUBLE) / 27) END, 9) AS mel FROM (SELECT event_id, value * 20 AS f FROM events)")
@@ -321,10 +339,13 @@ def _(spark, d):
     return r.select("result_id", F.array_join(F.transform(vectors.pad_right(F.col("tokens"), F.lit(12), F.lit(0)), lambda x: x.cast("string")), ",").alias("padded"))
 
 
-@query("ma_frame_mask_resample", "SELECT n_nationkey, array_to_string(list_transform(range(10), lambda i: floor(i * (n_nationkey + 3) / 10.0::DOUBLE)::BIGINT), ',') AS at FROM nation")
+@base_query("ma_frame_mask_resample", "WITH m AS (SELECT audio_id, count(*) AS n FROM frames GROUP BY audio_id) SELECT m.audio_id, k.i AS feature, f.frame, f.p >= 0.5::DOUBLE AS masked FROM m, LATERAL (SELECT unnest(range(0, 2 * n + 3)) AS i) k JOIN frames f ON f.audio_id = m.audio_id AND f.frame = floor(k.i * m.n / (2 * m.n + 3)::DOUBLE)::BIGINT")
 def _(spark, d):
-    at = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor(i * (F.col("n_nationkey") + 3) / F.lit(10.0)).cast("string"))
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(at, ",").alias("at"))
+    """Each feature frame reads the mask frame below it; there are a little over twice as many as mask frames."""
+    f = frames(spark, d).select("audio_id", "frame", (F.col("p") >= 0.5).alias("masked"))
+    n = f.groupBy("audio_id").agg(F.count("*").alias("n")).withColumn("features", 2 * F.col("n") + 3)
+    at = n.select("audio_id", F.posexplode(vectors.mask_frames(F.col("n"), F.col("features"))).alias("feature", "frame"))
+    return at.join(f, ["audio_id", "frame"]).select("audio_id", F.col("feature").cast("long").alias("feature"), "frame", "masked")
 
 
 @base_query("ma_synthetic_ts", "SELECT result_id, array_to_string(list_transform(range(len(timestamps)), lambda i: trunc(i * 50 / len(timestamps)::DOUBLE)::BIGINT), ',') AS ts FROM results")

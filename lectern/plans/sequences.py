@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import ranges
 from lectern.operators import sequence as seq
 from lectern.session import table
 
@@ -78,12 +79,27 @@ def _(spark, d):
     return seq.merge_neighbours(s, BY, "speaker_id", "a", "b")
 
 
-@base_query("win_vad_hysteresis")
+def _vad_sql(silence: float) -> str:
+    """The fold as a recursion from frame to frame: where speech began, where silence after it began, what has ended."""
+    return f"""WITH RECURSIVE f AS (SELECT audio_id, frame AS i, p, count(*) OVER (PARTITION BY audio_id) AS n FROM frames),
+v(audio_id, i, st, pe, a, b) AS (
+  SELECT DISTINCT audio_id, -1::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM f
+  UNION ALL SELECT audio_id, i, CASE WHEN p >= 0.5::DOUBLE THEN coalesce(st, x) WHEN done THEN NULL ELSE st END, CASE WHEN p >= 0.5::DOUBLE OR done THEN NULL WHEN off THEN coalesce(pe, x) ELSE pe END,
+    CASE WHEN done AND coalesce(pe, x) - st >= 0.25::DOUBLE THEN st END, CASE WHEN done AND coalesce(pe, x) - st >= 0.25::DOUBLE THEN coalesce(pe, x) END
+  FROM (SELECT f.audio_id, f.i, f.p, v.st, v.pe, f.i * 0.032::DOUBLE AS x, f.p < 0.35::DOUBLE AND v.st IS NOT NULL AS off, f.p < 0.35::DOUBLE AND v.st IS NOT NULL AND f.i * 0.032::DOUBLE - coalesce(v.pe, f.i * 0.032::DOUBLE) >= {silence!r}::DOUBLE AS done FROM v JOIN f ON f.audio_id = v.audio_id AND f.i = v.i + 1)
+),
+e AS (SELECT audio_id, max(n) * 0.032::DOUBLE AS len, max(n) - 1 AS last FROM f GROUP BY audio_id),
+s AS (SELECT audio_id, greatest(0, a - 0.03::DOUBLE) AS a, least(len, b + 0.03::DOUBLE) AS b FROM v JOIN e USING (audio_id) WHERE a IS NOT NULL
+  UNION ALL SELECT audio_id, greatest(0, st - 0.03::DOUBLE), len FROM v JOIN e USING (audio_id) WHERE i = last AND st IS NOT NULL AND len - st >= 0.25::DOUBLE)
+SELECT audio_id, row_number() OVER (PARTITION BY audio_id ORDER BY a) - 1 AS n, round(a, 6) AS start, round(b, 6) AS end FROM s"""
+
+
+@base_query("win_vad_hysteresis", _vad_sql(0.1))
 def _(spark, d):
     return seq.vad_segments(frames(spark, d), "audio_id", "frame", "p")
 
 
-@base_query("win_vad_trailing")
+@base_query("win_vad_trailing", _vad_sql(1e9))
 def _(spark, d):
     return seq.vad_segments(frames(spark, d), "audio_id", "frame", "p", min_silence=1e9)
 
@@ -163,7 +179,7 @@ def _(spark, d):
     from lectern.functions.text import word_count
 
     w = table(spark, d, "documents").select("source", "doc_id", word_count(F.col("text")).alias("n"))
-    return seq.until_cap(w, ["source"], ["doc_id"], "n", 5000).select("source", "doc_id", F.col("before").cast("long").alias("before"))
+    return ranges.sum_before(w, ["source"], "doc_id", "n", "before").where("before < 5000").select("source", "doc_id", F.col("before").cast("long").alias("before"))
 
 
 @query("win_dedup_first", "SELECT min(conv_id * 1000 + turn) AS first_id, text FROM conversations GROUP BY text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import scratch
 from lectern.functions import text, times
 from lectern.operators import joins
 from lectern.session import table
@@ -22,9 +23,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return readers.shards(spark, f"{d}/documents.parquet", ["text"], "*.parquet")
 
 
-@query("src_list_shards", "SELECT count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM documents")
+@query("src_list_shards", "SELECT doc_id % 4 AS pos, 'train-0000' || (doc_id % 4) || '-of-00003.parquet' AS name, count(*) AS n FROM documents WHERE doc_id % 4 < 3 GROUP BY ALL")
 def _(spark, d):
-    return readers.shards(spark, f"{d}/documents.parquet", ["doc_id"], "*.parquet").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    """Four files, of which three are of the training split; rows of those that the listing names."""
+    at = scratch.new_path(spark)
+    for k in range(4):
+        part = table(spark, d, "documents").where(F.col("doc_id") % 4 == k).select("doc_id")
+        name = f"train-0000{k}-of-00003.parquet" if k < 3 else "validation-00000-of-00001.parquet"
+        exports.single_file(part, at, name)
+    rows = readers.shards(spark, at, ["doc_id", "_metadata.file_name"]).groupBy(F.col("file_name").alias("name")).agg(F.count("*").alias("n"))
+    return readers.file_names(spark, at).join(rows, "name").select(F.col("pos").cast("long").alias("pos"), "name", "n")
 
 
 @query("src_dataset_rows", "SELECT doc_id, lang FROM documents")
@@ -97,9 +105,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(pick.cast("long").alias("stream"))
 
 
-@query("src_sqlite_results", "SELECT conv_id, turn, role FROM conversations WHERE role <> 'system'")
+@query("src_sqlite_results", "SELECT conv_id || '.db' AS path, turn, role, text FROM conversations")
 def _(spark, d):
-    return table(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role")
+    """A store for each recording, written as a file and opened again."""
+    files = exports.sqlite_files(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "results", ["turn", "role", "text"])
+    return readers.sqlite_table(files, "results", "turn long, role string, text string")
 
 
 @query("src_audio_stream_rule", "SELECT page_id, regexp_extract(url, '\\.([a-z0-9]+)$', 1) AS ext, regexp_extract(url, '\\.([a-z0-9]+)$', 1) IN ('mp4','mkv','webm','mov','avi','mp3','m4a','flac','ogg') AS uses_decoder FROM pages")
@@ -200,10 +210,13 @@ def _(spark, d):
     return every.join(t, ["n_regionkey", "i"], "left_anti").groupBy("n_regionkey").agg(F.min("i").alias("free"))
 
 
-@query("snk_corpus", "SELECT doc_id, length(string_agg(line, chr(10) ORDER BY pos))::BIGINT AS n FROM (SELECT doc_id, trim(u.line) AS line, u.pos FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u) WHERE line <> '' GROUP BY doc_id")
+@query("snk_corpus", "SELECT line, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' GROUP BY line")
 def _(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, d, "documents").select("doc_id", F.length(F.array_join(lines, "\n")).cast("long").alias("n")).where("n > 0")
+    """Written packed, a line a row, and read back."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line")).where("line <> ''")
+    at = scratch.new_path(spark)
+    exports.corpus(lines, at)
+    return readers.text_lines(spark, at).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("snk_bench_csv", "SELECT event_type || ',' || count(*) || ',' || printf('%.2f', max(value)) AS line FROM events GROUP BY event_type")
@@ -218,9 +231,13 @@ def _(spark, d):
     return table(spark, d, "events").where("event_id % 10 <> 0").groupBy(F.col("event_type").alias("key")).agg(F.max_by("value", "event_id").alias("value"))
 
 
-@base_query("snk_db_copy", "SELECT count(*) AS n, sum(result_id)::BIGINT AS s FROM results")
+@base_query("snk_db_copy", "SELECT card_id, result_id, start_time FROM card_sources JOIN results USING (result_id)")
 def _(spark, d):
-    return results(spark, d).agg(F.count("*").alias("n"), F.sum("result_id").alias("s"))
+    """Two tables copied, over a copy that is there, and read from the copy."""
+    at = scratch.new_path(spark)
+    exports.copy_tables({"results": results(spark, d).limit(0), "card_sources": card_sources(spark, d).limit(0)}, at)
+    exports.copy_tables({"results": results(spark, d), "card_sources": card_sources(spark, d)}, at)
+    return table(spark, at, "card_sources").join(table(spark, at, "results"), "result_id").select("card_id", "result_id", "start_time")
 
 
 # --- filters and projections ------------------------------------------------------------------------------------
@@ -381,7 +398,7 @@ def _(spark, d):
     return joins.assign_speakers(_asr(spark, d), _diarized(spark, d), "audio_id", "result_id", "seg_id")
 
 
-@base_query("join_point_in_interval", "WITH pts AS (SELECT user_id AS audio_id, event_id, value / 8 AS t FROM events WHERE user_id < 100), segs AS (SELECT audio_id, result_id AS seg_id, start_time AS st, end_time AS en FROM results), a AS (SELECT p.audio_id, p.event_id, s.seg_id, CASE WHEN s.st <= p.t AND p.t < s.en THEN 0 WHEN s.st > p.t THEN 1 ELSE 2 END AS k, s.st FROM pts p JOIN segs s USING (audio_id)), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k, CASE WHEN k = 2 THEN -st ELSE st END, seg_id) AS rn FROM a) SELECT audio_id, event_id, seg_id, ['inside', 'next', 'last'][k + 1] AS how FROM r WHERE rn = 1")
+@base_query("join_point_in_interval", "WITH pts AS (SELECT user_id AS audio_id, event_id, value / 8 AS t FROM events), segs AS (SELECT audio_id, result_id AS seg_id, start_time AS st, end_time AS en FROM results), a AS (SELECT p.audio_id, p.event_id, s.seg_id, CASE WHEN s.st <= p.t AND p.t < s.en THEN 0 WHEN s.st > p.t THEN 1 ELSE 2 END AS k, s.st FROM pts p JOIN segs s USING (audio_id)), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k, CASE WHEN k = 2 THEN -st ELSE st END, seg_id) AS rn FROM a) SELECT audio_id, event_id, seg_id, ['inside', 'next', 'last'][k + 1] AS how FROM r WHERE rn = 1")
 def _(spark, d):
     pts = table(spark, d, "events").select(F.col("user_id").alias("audio_id"), "event_id", (F.col("value") / 8).alias("t"))
     segs = _asr(spark, d).withColumnRenamed("result_id", "seg_id")

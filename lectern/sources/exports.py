@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +114,42 @@ def office_files(t: DataFrame, within: str) -> DataFrame:
 
     shaped = t.select(within, "id", "speaker", F.col("start").alias("order"), times.hms(F.col("start")).alias("start"), times.hms(F.col("end")).alias("end"), "text")
     return shaped.groupBy(within).applyInPandas(make, f"{within} long, xlsx binary, docx binary")
+
+
+def corpus(lines: DataFrame, path: str, column: str = "line", gzip: bool = True) -> None:
+    """One line of text a row, packed or not."""
+    lines.select(F.col(column).alias("value")).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+
+
+def copy_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A copy of a store's tables, in place of what is there."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
+def sqlite_files(df: DataFrame, key: str, name: str, columns: list[str]) -> DataFrame:
+    """(path, content): an SQLite file for each key with its rows as a table; a key's rows are one recording's."""
+    import sqlite3
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        db = sqlite3.connect(":memory:")
+        pdf[columns].to_sql(name, db, index=False)
+        return pd.DataFrame({"path": [f"{pdf[key].iloc[0]}.db"], "content": [db.serialize()]})
+
+    return df.groupBy(key).applyInPandas(run, "path string, content binary")
+
+
+def arpa(lines: DataFrame, path: str) -> None:
+    """The lines of an ARPA file, in order, as one file."""
+    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def single_file(df: DataFrame, folder: str, name: str) -> None:
+    """df as one Parquet file of the given name."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/.{name}")
+    part = next(s.getPath() for s in files.listStatus(at(f"{folder}/.{name}")) if s.getPath().getName().startswith("part-"))
+    files.rename(part, at(f"{folder}/{name}"))
+    files.delete(at(f"{folder}/.{name}"), True)

@@ -235,7 +235,8 @@ def test_decoders():
     a[[0, 1, 2, 3], [1, 0, 2, 0]] = 0
     d = np.full((4, 3), -9.0)
     d[:, 1] = 0
-    assert decoding.tdt_greedy(a, d, 0) == [(0, 1), (2, 2)] and decoding.tdt_beam(a, d, 0) == [1, 2]
+    step = decoding.recorded(a, d)
+    assert [x[:2] for x in decoding.tdt_greedy(step, 4, 0)] == [(0, 1), (2, 2)] and decoding.tdt_beam(step, 4, 0) == [1, 2]
 
 
 def test_features():

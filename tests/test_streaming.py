@@ -1,6 +1,6 @@
 """Streams give what the batch operators give."""
 
-import pandas as pd
+import numpy as np
 
 from lectern.operators import sequence
 from lectern.streaming import stateful
@@ -31,7 +31,19 @@ def test_streamed_segments_equal_batch(spark, tmp_path):
     assert got == sorted(tuple(round(v, 6) for v in r) for r in batch.select("audio_id", "start", "end").collect())
 
 
-def test_cache_keeps_the_best():
-    proc = stateful.SpeakerCache(3, 2)
-    assert proc.best([(0, 0.5), (1, 0.9), (2, 0.5), (3, 0.7)]) == [(0, 0.5), (1, 0.9), (3, 0.7)]
-    assert pd.DataFrame(proc.best([])).empty
+def test_cache_keeps_telling_frames():
+    p = np.array([[0.9, 0.1, 0.1, 0.1]] * 3 + [[0.1, 0.8, 0.1, 0.1]] * 3 + [[0.4] * 4] * 2)
+    x = np.arange(8.0)[:, None]
+    kept, probs = stateful.compress(x, p, np.array([-1.0]), 16)
+    assert kept[:, 0].tolist()[:3] == [0, 1, 2] and (kept == -1).sum() == (probs.sum(1) == 0).sum()
+    assert stateful.quality(p, 1)[6:].max() == -np.inf
+
+
+def test_segments_wait_until_they_are_stable(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, i, 1.0 if i % 10 < 4 else 0.0) for i in range(36)], "audio_id long, frame long, p double")
+    out = stateful.drained(df, lambda s: stateful.stream_segments(s, frame=1.0, half=5), "frame", 6)
+    got = sorted(tuple(r) for r in out.select("start", "end", "batch").collect())
+    assert [g[:2] for g in got] == [(0.0, 4.0), (10.0, 14.0), (20.0, 24.0)] and [g[2] for g in got] == sorted(g[2] for g in got)
+    assert out.agg(F.countDistinct("batch")).first()[0] > 1
