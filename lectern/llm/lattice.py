@@ -9,16 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, forest, settle
+from .common import bounded, components, forest, release, settle, store
 
 #: Cosine from which vectors link.
 COSINE = 0.95
-#: Tables, 8-dimensional blocks of a table's key, cells of each block that a vector looks into, and cells per unit length.
-TABLES, BLOCKS, PROBES, SCALE, SEED = 10, 2, 3, 3.0, 11
+#: Cells per unit length, cells of each block that are considered, seed of the projections.
+SCALE, NEAR, SEED = 3.0, 4, 11
+#: Vectors up to which a form serves: (vectors, tables, 8-dimensional blocks of a key, cells that a vector looks into). Two
+#: random vectors share a cell of b blocks with a chance of about 0.017 ** b, so cells stay small as the table grows;
+#: tables and probes make up for it. Of pairs at a cosine of 0.95, the least that link, simulation finds all but one in
+#: 10,000 with either form.
+FORMS = ((4 << 20, 10, 3, 9), (1 << 62, 14, 4, 16))
 #: Rows of one cell that one task holds; larger cells are split and every probe visits each part.
-CELL_ROWS = 2048
-#: Pairs compared at once.
-PAIRS = 32_768
+CELL_ROWS = 8192
+#: Pairs compared at once, and pairs whose earlier meetings are looked up at once.
+PAIRS, LOOKED = 1 << 18, 100_000
 
 
 def nearest_even(x: np.ndarray) -> np.ndarray:
@@ -69,9 +74,9 @@ def _mix(parts: np.ndarray, salt: int) -> np.ndarray:
 class Lattice:
     """Tables of random projections for vectors of one dimension."""
 
-    def __init__(self, dim: int, tables: int = TABLES, blocks: int = BLOCKS, seed: int = SEED):
+    def __init__(self, dim: int, tables: int = FORMS[0][1], blocks: int = FORMS[0][2], probes: int = FORMS[0][3], seed: int = SEED):
         r = np.random.default_rng(seed)
-        self.tables, self.blocks = tables, blocks
+        self.tables, self.blocks, self.probes = tables, blocks, probes
         wide = 8 * blocks
         # orthonormal rows where the dimension allows; a projected block keeps 8 / dim of the squared length
         self.maps = []
@@ -79,26 +84,38 @@ class Lattice:
             m = r.normal(size=(max(dim, wide), wide))
             self.maps.append(np.linalg.qr(m)[0][:dim] * SCALE * np.sqrt(max(dim, wide) / 64))
         self.shifts = r.random((tables, wide))
+        self.choices = np.stack(np.meshgrid(*[np.arange(NEAR)] * blocks, indexing="ij"), axis=-1).reshape(-1, blocks)
 
-    def keys(self, unit: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
-        """Keys [row, probes ** blocks] of a table's cells: the own one first, then combinations of the nearest
-        neighbouring cells of each block."""
+    def keys(self, unit: np.ndarray, table: int, probing: bool = False) -> np.ndarray:
+        """Keys [row, 1 or probes] of a table's cells: the own one first, then combinations of the own and neighbouring cells
+        of each block, the nearest first."""
         x = unit @ self.maps[table] + self.shifts[table]
-        hashes = []
+        hashes, costs = [], []
         for b in range(self.blocks):
             part = x[:, 8 * b : 8 * b + 8]
             own = decode(part)
-            cells = [own]
-            if probes > 1:
+            cells, cost = [own], [np.zeros(len(x))]
+            if probing:
                 # distance to a neighbouring centre grows as (1 - <offset, v>) for the minimal vectors v, all of one length
                 lean = (part - own / 2) @ MINIMAL.T
-                best = np.argpartition(-lean, probes - 1, axis=1)[:, : probes - 1]
-                cells += [own + (2 * MINIMAL[best[:, i]]).astype(np.int64) for i in range(probes - 1)]
+                best = np.argpartition(-lean, NEAR - 2, axis=1)[:, : NEAR - 1]
+                lean = np.take_along_axis(lean, best, 1)
+                order = np.argsort(-lean, axis=1, kind="stable")
+                best, lean = np.take_along_axis(best, order, 1), np.take_along_axis(lean, order, 1)
+                cells += [own + (2 * MINIMAL[best[:, i]]).astype(np.int64) for i in range(NEAR - 1)]
+                cost += [np.maximum(1 - lean[:, i], 0) + 1e-9 for i in range(NEAR - 1)]
             hashes.append(np.stack([_mix(c, 100 * table + b) for c in cells], axis=1))
-        out = hashes[0]
-        for h in hashes[1:]:
-            out = (out[:, :, None] * np.uint64(0x9FB21C651E98DF25) ^ (h[:, None, :] << np.uint64(1))).reshape(len(out), -1)
-        return out ^ np.uint64(table)
+            costs.append(np.stack(cost, axis=1))
+        if not probing:
+            picked = np.zeros((len(x), 1, self.blocks), np.int64)
+        else:
+            total = sum(costs[b][:, self.choices[:, b]] for b in range(self.blocks))
+            picked = self.choices[np.argsort(total, axis=1, kind="stable")[:, : self.probes]]
+        out = np.full(picked.shape[:2], np.uint64(table))
+        for b in range(self.blocks):
+            out = (out ^ np.take_along_axis(hashes[b], picked[:, :, b], 1)) * np.uint64(0x9FB21C651E98DF25)
+            out ^= out >> np.uint64(32)
+        return out
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +145,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _rows(tables: int, probes: int):
+def _rows(form: tuple[int, int, int]):
     """Per vector and table a row for its own cell (probe false), and one for each cell it looks into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +154,10 @@ def _rows(tables: int, probes: int):
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
                 x, _ = matrix(b.column(1))
-                lattice = lattice or Lattice(x.shape[1], tables)
+                lattice = lattice or Lattice(x.shape[1], *form)
                 u = unit(x)
-                for t in range(tables):
-                    looked = lattice.keys(u, t, probes)
+                for t in range(lattice.tables):
+                    looked = lattice.keys(u, t, True)
                     n = looked.shape[1]
                     key = np.concatenate([looked[:, 0], looked.ravel()]).view(np.int64)
                     at = pa.array(np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), n)]))
@@ -150,7 +167,7 @@ def _rows(tables: int, probes: int):
     return run
 
 
-def _earlier(lattice: Lattice, x: np.ndarray, a: np.ndarray, b: np.ndarray, swapped: np.ndarray, table: np.ndarray, probes: int) -> np.ndarray:
+def _earlier(lattice: Lattice, x: np.ndarray, a: np.ndarray, b: np.ndarray, swapped: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether each pair of rows of x (a looks into b's cell in its table) was found before: in an earlier table, or
     in this one the other way round where that way counts first, which is that of the smaller id looking."""
     seen = np.zeros(len(a), bool)
@@ -158,16 +175,16 @@ def _earlier(lattice: Lattice, x: np.ndarray, a: np.ndarray, b: np.ndarray, swap
         rows = np.flatnonzero((table >= t) & ~seen)
         if not len(rows):
             continue
-        keys = lattice.keys(x, t, probes)
-        for s in range(0, len(rows), 10 * PAIRS):
-            r = rows[s : s + 10 * PAIRS]
+        keys = lattice.keys(x, t, True)
+        for s in range(0, len(rows), LOOKED):
+            r = rows[s : s + LOOKED]
             ka, kb = keys[a[r]], keys[b[r]]
             forth, back = (ka == kb[:, :1]).any(1), (kb == ka[:, :1]).any(1)
             seen[r] |= np.where(table[r] > t, forth | back, swapped[r] & back)
     return seen
 
 
-def _verify(cosine: float, tables: int, probes: int):
+def _verify(cosine: float, form: tuple[int, int, int]):
     """Rows sorted by cell and part, own rows before probes: the links first found there, as counts and a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +193,7 @@ def _verify(cosine: float, tables: int, probes: int):
         for b in batches:
             x, _ = matrix(b.column(5))
             u = unit(x)
-            lattice = lattice or Lattice(x.shape[1], tables)
+            lattice = lattice or Lattice(x.shape[1], *form)
             cell, part, t, ids, size = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 6))
             probe = b.column(3).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
@@ -198,22 +215,22 @@ def _verify(cosine: float, tables: int, probes: int):
                         di, dj = np.unique(i), np.unique(j)
                         left.append((ids[i], size[i], t[i], ids[di], u[di]))
                         right.append((here[1][j], here[2][j], here[1][dj], here[3][dj]))
-                    if sum(len(v[0]) for v in left) >= 20 * PAIRS or (left and k + step >= len(asks) and e == len(cell)):
-                        yield from _out(lattice, left, right, probes)
+                    if sum(len(v[0]) for v in left) >= 2 * PAIRS or (left and k + step >= len(asks) and e == len(cell)):
+                        yield from _out(lattice, left, right)
                         left, right = [], []
             if left:
-                yield from _out(lattice, left, right, probes)
+                yield from _out(lattice, left, right)
 
     return run
 
 
-def _out(lattice: Lattice, left: list, right: list, probes: int) -> Iterator[pa.RecordBatch]:
+def _out(lattice: Lattice, left: list, right: list) -> Iterator[pa.RecordBatch]:
     """left: ids, sizes, tables; right: ids, sizes; either with the unit vectors of its distinct ids last."""
     ia, na, t = (np.concatenate([v[k] for v in left]) for k in range(3))
     ib, nb = (np.concatenate([v[k] for v in right]) for k in range(2))
     known, first = np.unique(np.concatenate([v[-2] for v in left + right]), return_index=True)
     x = np.concatenate([v[-1] for v in left + right])[first]
-    new = ~_earlier(lattice, x, np.searchsorted(known, ia), np.searchsorted(known, ib), ia > ib, t, probes)
+    new = ~_earlier(lattice, x, np.searchsorted(known, ia), np.searchsorted(known, ib), ia > ib, t)
     ids, at = np.unique(np.concatenate([ia[new], ib[new]]), return_inverse=True)
     links = np.bincount(at, weights=np.concatenate([nb[new], na[new]]).astype(float), minlength=len(ids)).astype(np.int64)
     a, b = forest(ia[new], ib[new])
@@ -223,38 +240,54 @@ def _out(lattice: Lattice, left: list, right: list, probes: int) -> Iterator[pa.
     )
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, form: tuple[int, int, int] | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector.
 
-    Equal vectors are one class, whose smallest id stands for it. Every class has a cell of E8 x E8 in each
+    Equal vectors are one class, whose smallest id stands for it. Every class has a cell of several E8 lattices in each
     table and looks into its own and the nearest neighbouring ones; those it meets there are compared in
     double precision. A pair counts where it is found first, which its two vectors tell, so links are
     counted without listing pairs: a cell gives counts and the edges of a forest. Cells with more than
     CELL_ROWS own rows are dealt out in parts that every probe visits, so none is compared in one task.
-    Nothing is capped.
+    Nothing is capped. form is (tables, blocks, probes), by default that of FORMS for the number of classes.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: n_links 0,
-    component_id their own id. Vectors are assumed to have one length; shorter ones in a batch link with
-    nothing. Rows that repeat a vec_id count as vectors of their own with that id. Other columns are ignored.
+    component_id their own id. So do those shorter than the longest vector, and rows without an id, whose component is
+    null. Rows that repeat a vec_id are vectors of their own with that id, whether equal or not. An empty table gives no rows; other
+    columns are ignored.
     """
-    spark = bounded(vectors.sparkSession)
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    bounded(vectors.sparkSession)
+    kind = "array<float>" if "float" in vectors.select(F.col(f"`{vector_col}`").alias("v")).dtypes[0][1] else "array<double>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(kind).alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     valid = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))
-    classes = settle(rows.where(valid).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    cells = settle(classes.select("rep", "v").mapInArrow(_rows(tables, probes), "cell long, t int, probe boolean, id long"))
+    longest = rows.where(valid).agg(F.max(F.size("v"))).first()[0] or 0
+    valid = valid & (F.coalesce(F.size("v"), F.lit(0)) == longest)
+    classes = store(rows.where(valid).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    several = not classes.groupBy("rep").count().where("count > 1").isEmpty()
+    classes = classes.withColumn("cls", F.xxhash64("rep", "v") if several else F.col("rep"))
+    if form is None:
+        n = classes.count()
+        form = next(f for most, *f in FORMS if n <= most)
+    cells = store(classes.select("cls", "v").mapInArrow(_rows(tuple(form)), "cell long, t int, probe boolean, id long"))
     # cells where a vector may meet another: an own row, and some other vector's row
     met = cells.groupBy("cell").agg(F.count_if(~F.col("probe")).alias("own"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("own > 0 and lo < hi")
-    met = settle(met.select("cell", F.ceil(F.col("own") / CELL_ROWS).cast("int").alias("parts")))
-    light = cells.join(met, "cell")
+    met = store(met.select("cell", F.ceil(F.col("own") / CELL_ROWS).cast("int").alias("parts")))
+    light = cells.hint("merge").join(met.hint("merge"), "cell")
     light = light.withColumn("part", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))))
-    full = light.join(classes, light["id"] == classes["rep"]).select("cell", "part", "t", "probe", "id", F.col("v"), "size")
+    light = store(light.select("cell", "part", "t", "probe", "id"))
+    release(cells, met)
+    full = light.join(classes, light["id"] == classes["cls"]).select("cell", "part", "t", "probe", "id", F.col("v"), "size")
     dealt = full.repartition("cell", "part").sortWithinPartitions("cell", "part", "probe")
-    found = settle(dealt.mapInArrow(_verify(cosine, tables, probes), "id long, links long, to long"))
+    found = settle(dealt.mapInArrow(_verify(cosine, tuple(form)), "id long, links long, to long"))
+    release(light)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> to"), "id", "to")
-    named = classes.join(links, classes["rep"] == links["id"], "left").join(groups, classes["rep"] == groups["node"], "left")
-    named = settle(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    named = classes.join(links, classes["cls"] == links["id"], "left").join(groups, classes["cls"] == groups["node"], "left")
+    named = named.select("v", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    if several:  # classes have numbers of their own: a component's id is the smallest of its vectors'
+        named = store(named)
+        named = named.join(named.groupBy("component_id").agg(F.min("rep").alias("least")), "component_id").withColumn("component_id", F.col("least"))
+    named = store(named.select("v", "n_links", "component_id"))
     good = rows.where(valid).join(named, "v").select("id", "n_links", "component_id")
     bad = rows.where(~valid).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.union(bad).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
