@@ -13,8 +13,9 @@ from .common import bounded, settle
 DEGREE, SLACK = 32, 64
 #: Beam of the searches that propose neighbours, and of queries; nodes a beam expands at once; relaxation of pruning.
 BUILD_BEAM, QUERY_BEAM, EXPAND, ALPHA = 64, 160, 4, 1.2
-#: Distinct vectors of a shard and queries of a block, about.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 50_000
+#: Distinct vectors that are worth a shard, and vectors of a shard at most, about, once all tasks have one; queries of a
+#: block. Every query visits every shard, so fewer, larger shards cost less, and more of them build side by side.
+SHARD_ROWS, MOST_ROWS, BLOCK_QUERIES = 8192, 32_768, 50_000
 BATCH, SEED = 256, 23
 
 
@@ -145,16 +146,18 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, id_col
     """(shard, node, v, ids, edges): the graphs over all distinct vectors.
 
     Equal vectors are one node with the k + 1 smallest of their ids: no others can be among k nearest. The
-    limit is applied before rows are shuffled, so many copies cost little. Nodes are dealt to shards by a
-    hash; every vector gets a component more, the root of M^2 - |v|^2, so that Euclidean order is that of
+    limit is applied before rows are shuffled, so many copies cost little. Vectors shorter than the longest one are
+    left out. Nodes are dealt to shards by a hash; every vector gets a component more, the root of M^2 - |v|^2, so that Euclidean order is that of
     the inner product.
     """
     bounded(vectors.sparkSession)
     rows = vectors_of(vectors, id_col, vector_col).distinct()
+    rows = rows.where(F.size("v") == (rows.agg(F.max(F.size("v"))).first()[0] or 0))
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rn") <= k + 1)
     nodes = settle(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n, longest = nodes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
-    shards = max(1, -(-n // shard_rows))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, min(-(-n // shard_rows), tasks), -(-n // max(shard_rows, MOST_ROWS)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first").reset_index(drop=True)
@@ -169,17 +172,18 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, id_col
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k best found by inner product in double precision,
-    without the query's own id; ties go to the smaller vec_id; fewer where there are fewer.
+    without the query's own id; ties go to the smaller vec_id; fewer where there are fewer. Rows without an id take no
+    part, nor do vectors of another length than the longest of the table. No queries or an empty index give no rows.
 
     Every query visits every shard, in blocks, and brings k answers from each; these are ranked per query.
     Queries whose vector is null, zero or not finite take no part. Rows that repeat an id and vector count once.
     """
-    asked = vectors_of(queries, id_col, vector_col).distinct()
-    shards = [r["shard"] for r in index.select("shard").distinct().collect()]  # one in SHARD_ROWS vectors
-    if not shards:
+    asked = vectors_of(queries, id_col, vector_col).distinct().join(F.broadcast(index.agg(F.max(F.size("v")).alias("n"))), F.size("v") == F.col("n")).drop("n")
+    last = index.agg(F.max("shard")).first()[0]
+    if last is None:
         return asked.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*map(F.lit, sorted(shards)))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def answer(nodes: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

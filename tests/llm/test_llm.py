@@ -421,6 +421,25 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, rows):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, comp[i], comp[i] == i)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(len(x), len(x) + 5))
     assert lattice.near_duplicates(df.limit(0)).count() == 0
+    r = np.random.default_rng(17)
+    base = r.normal(size=(6, 16))
+    odd = spark.createDataFrame([(None, base[0].tolist(), "x"), (7, base[0].tolist(), "x"), (7, (2 * base[0]).tolist(), "x"), (8, base[0].tolist()[:9], "x"), (9, [], "x"), (10, (base[0] + 0.01).tolist(), "x")], "vec_id long, embedding array<double>, cell string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_duplicates(odd).collect()), key=str)
+    assert got == sorted([(None, 0, None), (7, 2, 7), (7, 2, 7), (8, 0, 8), (9, 0, 9), (10, 2, 7)], key=str)
+
+
+def test_every_form_finds_the_least_pairs(spark):
+    r = np.random.default_rng(18)
+    a = r.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = r.normal(size=a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    b = 0.9505 * a + np.sqrt(1 - 0.9505**2) * z
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<float>")
+    for _, *form in lattice.FORMS:
+        got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(df, form=tuple(form)).collect()}
+        assert sum(got[i] for i in range(400)) >= 398, form
 
 
 # --- 8 toxicity -------------------------------------------------------------------------------------------------
