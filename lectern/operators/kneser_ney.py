@@ -90,7 +90,7 @@ def estimate(counts: DataFrame, order: int, prune: tuple[int, ...]) -> DataFrame
 def arpa_lines(lm: DataFrame, order: int) -> DataFrame:
     """(section, gram, line) of an ARPA file in its order: the counts, then a section an order, and the end."""
     spark = lm.sparkSession
-    number = lambda c: F.format_string("%.10g", F.col(c))
+    number = lambda c: F.col(c).cast("string")  # noqa: E731  shortest digits that give the same number
     body = lm.select(F.col("ord").alias("section"), F.lit(1).alias("part"), "gram", F.concat_ws("\t", number("logp"), "gram", F.when(F.col("ord") < order, number("backoff"))).alias("line"))
     sizes = lm.groupBy("ord").count().select(F.lit(0).alias("section"), F.lit(1).alias("part"), F.col("ord").cast("string").alias("gram"), F.format_string("ngram %d=%d", "ord", "count").alias("line"))
     heads = [(0, 0, "", "\\data\\"), *[(n, 0, "", f"\n\\{n}-grams:") for n in range(1, order + 1)], (order + 1, 0, "", "\n\\end\\")]
