@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import induction
 from .common import bounded, release, store
 
 LENGTH, GRAM = 400, 64
@@ -319,8 +320,8 @@ def sorted_suffixes(text: np.ndarray, most: int = LENGTH, room: int = ROOM) -> I
     """Suffixes of text in order, by first byte, and each one's common prefix with the one before it, up to most bytes.
 
     text is bytes without 0 but at its end. Order beyond most bytes isn't kept apart. Leftmost smaller-type suffixes
-    are named by the strings between them and ranked by those names; two sweeps then induce all others, and their
-    common prefixes with them. Text, types, queues and results go to disk beyond room bytes each.
+    are named by the strings between them, and the text of their names is sorted in turn; two sweeps then induce all
+    others, and their common prefixes with them. Text, types, queues and results go to disk beyond room bytes each.
     """
     kind = np.int32 if len(text) < 1 << 31 else np.int64
     small = suffix_types(text, disk_array(len(text), bool, room))
@@ -358,36 +359,25 @@ def suffix_array(text: np.ndarray, most: int = LENGTH, room: int = ROOM) -> tupl
 
 
 def _ranked_seeds(text: np.ndarray, seeds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that start at seeds in order, with their common prefixes.
-
-    Names of the strings between seeds are joined in pairs to names of two, four and more of them until most bytes are
-    told apart. The names of every size then tell how many strings two neighbours share; only the first strings that
-    differ are compared by bytes.
-    """
-    n, kind = len(seeds), np.int32 if len(seeds) < 1 << 31 else np.int64
+    """The suffixes that start at seeds in order, with their common prefixes: the strings between seeds are named, the text of
+    their names is sorted by the same induction in turn, and tells how many strings two neighbours share; only the
+    first strings that differ are compared by bytes."""
+    n = len(seeds)
     if not n:
         return seeds, np.empty(0, np.int16)
-    names, step = [_names(text, seeds, np.append(seeds[1:], len(text) - 1)).astype(kind)], 1
-    covered = int(np.diff(seeds).min()) if n > 1 else most
-    while names[-1].max() + 1 < n and covered < most:
-        nxt = np.full(n, -1, np.int64)
-        nxt[:-step] = names[-1][step:]
-        names.append(np.unique(names[-1].astype(np.int64) * (n + 1) + nxt + 1, return_inverse=True)[1].astype(kind))
-        step *= 2
-        covered = int((seeds[step:] - seeds[:-step]).min()) if step < n else most
-    order = np.argsort(names[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    for k in range(len(names) - 1, -1, -1):
-        inside = np.flatnonzero(np.maximum(a, b) < n)
-        same = inside[names[k][a[inside]] == names[k][b[inside]]]
-        a[same] += 1 << k
-        b[same] += 1 << k
+    name = _names(text, seeds, np.append(seeds[1:], len(text) - 1))
+    if name.max() + 1 < n:
+        by, agree = induction.sorted_names(name, most // 2 + 1)  # a string has two bytes that the next one hasn't
+    else:
+        by, agree = np.argsort(name, kind="stable"), np.zeros(n, np.int64)
+    del name
+    a, b = by[:-1], by[1:]
     ends = np.append(seeds, len(text) - 1)
-    shared = (ends[np.minimum(a, n)] - seeds[order[:-1]]).astype(np.int64)
+    shared = (ends[np.minimum(a + agree[1:], n)] - seeds[a]).astype(np.int64)
     open_ = np.flatnonzero(shared < most)
-    x, y = seeds[order[:-1]][open_], seeds[order[1:]][open_]
+    x, y = seeds[a][open_], seeds[b][open_]
     shared[open_] += common_prefix(text, x + shared[open_], y + shared[open_], most)
-    return seeds[order], np.append(0, np.minimum(shared, most)).astype(np.int16)
+    return seeds[by], np.append(0, np.minimum(shared, most)).astype(np.int16)
 
 
 def _names(text: np.ndarray, a: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, common, langid, lattice, mixing, pii, queries, simhash, suffix, toxicity, warc
+from lectern.llm import ann, bpe, common, induction, langid, lattice, mixing, pii, queries, simhash, suffix, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, spans string"
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "vat", "pik") for c in ("a", "o", "us", "en")]
@@ -500,6 +500,25 @@ def test_suffix_array(most, room):
             assert common_[i] == n
 
 
+@pytest.mark.parametrize("rows", [1, 7, 4096])
+def test_texts_of_names(monkeypatch, rows):
+    monkeypatch.setattr(induction, "BLOCK_ROWS", rows)
+    r = np.random.default_rng(19)
+    for k in range(250):
+        t = r.integers(1, 2 + k % 8, int(r.integers(1, 60)))
+        t = np.tile(t[: max(1, len(t) // 5)], 6)[: len(t)] if k % 3 == 0 else t
+        t = np.r_[t, 0]
+        most = (1, 2, 4, 100)[k % 4]
+        order, common_ = induction.sorted_names(t, most)
+        suf = [tuple(t[i : i + most]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(t))) and suf == sorted(suf)
+        for i in range(1, len(suf)):
+            n = 0
+            while n < min(len(suf[i]), len(suf[i - 1])) and suf[i][n] == suf[i - 1][n]:
+                n += 1
+            assert common_[i] == n
+
+
 def plain_removal(texts, length=400):
     seen = defaultdict(int)
     for t in texts:
