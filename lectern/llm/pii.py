@@ -20,7 +20,7 @@ TAGS = 1 + 2 * len(KINDS)
 #: Windows begin every ZONE characters, MARGIN before a zone, and reach MARGIN beyond its end, so that they overlap by half.
 ZONE, MARGIN = 48, 24
 WINDOW = ZONE + 2 * MARGIN
-HIDDEN, STEPS, BATCH, RATE = 20, 360, 48, 0.02
+HIDDEN, STEPS, BATCH, RATE = 20, 420, 48, 0.02
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,27 +111,34 @@ def _sample(r: np.random.Generator) -> tuple[int | None, str]:
     )
 
 
+#: Windows that are cut from one generated line.
+CUTS = 6
+
+
 def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """n windows of characters and tags, cut at random places of lines with labelled spans."""
     r = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int16), np.zeros((n, WINDOW), np.int8)
+    line, marks = np.empty(0, np.int16), np.empty(0, np.int8)
     for k in range(n):
-        text, tags = "", []
-        while len(text) < 2 * WINDOW:
-            if r.random() < 0.3:
-                kind, s = _sample(r)
-                marked = [0] * len(s) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1)
-            else:
-                s = _word(r)
-                s = s.capitalize() if r.random() < 0.15 else s
-                marked = [0] * len(s)
-            end = ("", ",", ".", ":", ";", "\n", ")", "!")[r.integers(8)] if r.random() < 0.35 else ""
-            if end and len(s) and marked[-1] and end in ".)":
-                end = ""
-            text += s + end + " "
-            tags += marked + [0] * (len(end) + 1)
-        at = r.integers(0, len(text) - WINDOW)
-        x[k], y[k] = codes(text[at : at + WINDOW]), tags[at : at + WINDOW]
+        if k % CUTS == 0:
+            text, tags = "", []
+            while len(text) < 4 * WINDOW:
+                if r.random() < 0.3:
+                    kind, s = _sample(r)
+                    marked = [0] * len(s) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1)
+                else:
+                    s = _word(r)
+                    s = s.capitalize() if r.random() < 0.15 else s
+                    marked = [0] * len(s)
+                end = ("", ",", ".", ":", ";", "\n", ")", "!")[r.integers(8)] if r.random() < 0.35 else ""
+                if end and len(s) and marked[-1] and end in ".)":
+                    end = ""
+                text += s + end + " "
+                tags += marked + [0] * (len(end) + 1)
+            line, marks = codes(text), np.array(tags, np.int8)
+        at = r.integers(0, len(line) - WINDOW)
+        x[k], y[k] = line[at : at + WINDOW], marks[at : at + WINDOW]
         if r.random() < 0.15:  # the end of a text
             cut = r.integers(MARGIN, WINDOW)
             x[k, cut:], y[k, cut:] = 0, 0
@@ -153,44 +160,64 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _lstm(p: dict, way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
-    """x: [T, N] characters. The states [T, N, H], and what the gradient needs."""
-    h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-    out, kept = np.empty((*x.shape, HIDDEN), np.float32), []
+def _both(p: dict, name: str) -> np.ndarray:
+    return np.stack([p[name + "F"], p[name + "B"]])
+
+
+def _lstm(p: dict, x: np.ndarray) -> tuple[np.ndarray, list]:
+    """x: [T, N] characters, read forwards and backwards side by side. The states [T, 2, N, H], each way in its own order,
+    and what the gradient needs."""
+    rec, bias = _both(p, "rec"), _both(p, "bias")[:, None]
+    h = c = np.zeros((2, x.shape[1], HIDDEN), np.float32)
+    out, kept = np.empty((len(x), 2, x.shape[1], HIDDEN), np.float32), []
     for t in range(len(x)):
-        z = p["in" + way][x[t]] + h @ p["rec" + way] + p["bias" + way]
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+        z = h @ rec
+        z[0] += p["inF"][x[t]]
+        z[1] += p["inB"][x[-1 - t]]
+        z += bias
+        gates = _sigmoid(z[:, :, : 3 * HIDDEN])
+        i, f, o, g = gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN], gates[:, :, 2 * HIDDEN :], np.tanh(z[:, :, 3 * HIDDEN :])
         before, c = c, f * c + i * g
         tc = np.tanh(c)
-        kept.append((h, before, i, f, o, g, tc))
+        kept.append((h, before, gates, g, tc))
         h = o * tc
         out[t] = h
     return out, kept
 
 
-def _lstm_gradient(p: dict, way: str, x: np.ndarray, kept: list, dout: np.ndarray, grad: dict) -> None:
-    dh = dc = np.zeros((x.shape[1], HIDDEN), np.float32)
-    dz = np.empty((*x.shape, 4 * HIDDEN), np.float32)
+def _lstm_gradient(p: dict, x: np.ndarray, kept: list, dout: np.ndarray, grad: dict) -> None:
+    """dout: [T, 2, N, H] as _lstm gives its states."""
+    rec = _both(p, "rec")
+    back, total = np.ascontiguousarray(rec.transpose(0, 2, 1)), np.zeros_like(rec)
+    dh = dc = np.zeros((2, x.shape[1], HIDDEN), np.float32)
+    dz = np.empty((len(x), 2, x.shape[1], 4 * HIDDEN), np.float32)
     for t in range(len(x) - 1, -1, -1):
-        h, before, i, f, o, g, tc = kept[t]
+        h, before, gates, g, tc = kept[t]
+        i, f, o = gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN], gates[:, :, 2 * HIDDEN :]
         dh = dh + dout[t]
         dc = dc + dh * o * (1 - tc * tc)
-        z = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        grad["rec" + way] += h.T @ z
-        dz[t], dh, dc = z, z @ p["rec" + way].T, dc * f
-    grad["bias" + way] += dz.sum((0, 1))
-    flat = x.ravel()
-    order = np.argsort(flat, kind="stable")
-    seen, first = np.unique(flat[order], return_index=True)
-    grad["in" + way][seen] += np.add.reduceat(dz.reshape(len(flat), -1)[order], first)
+        slope = gates * (1 - gates)
+        z = dz[t]
+        z[:, :, :HIDDEN] = dc * g
+        z[:, :, HIDDEN : 2 * HIDDEN] = dc * before
+        z[:, :, 2 * HIDDEN : 3 * HIDDEN] = dh * tc
+        z[:, :, : 3 * HIDDEN] *= slope
+        z[:, :, 3 * HIDDEN :] = dc * i * (1 - g * g)
+        total += h.transpose(0, 2, 1) @ z
+        dh, dc = z @ back, dc * f
+    for k, (way, read) in enumerate((("F", x), ("B", x[::-1]))):
+        grad["rec" + way] += total[k]
+        grad["bias" + way] += dz[:, k].sum((0, 1))
+        flat = read.ravel()
+        order = np.argsort(flat, kind="stable")
+        seen, first = np.unique(flat[order], return_index=True)
+        grad["in" + way][seen] += np.add.reduceat(dz[:, k].reshape(len(flat), -1)[order], first)
 
 
 def _emissions(p: dict, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    fwd, kf = _lstm(p, "F", x)
-    bwd, kb = _lstm(p, "B", x[::-1])
-    states = np.concatenate([fwd, bwd[::-1]], axis=2)
-    return states @ p["out"] + p["outbias"], (states, kf, kb)
+    out, kept = _lstm(p, x)
+    states = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+    return states @ p["out"] + p["outbias"], (states, kept)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -226,19 +253,18 @@ def trained(seed: int = 7, steps: int = STEPS) -> dict:
         p |= {"in" + way: r.normal(0, 0.3, (CHARS, 4 * HIDDEN)), "rec" + way: r.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)), "bias" + way: np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    x_all, y_all = training_windows(6000, seed + 1)
+    x_all, y_all = training_windows(9000, seed + 1)
     for step in range(1, steps + 1):
         some = r.integers(0, len(x_all), BATCH)
         x, y = x_all[some].T.astype(int), y_all[some].T.astype(int)
-        e, (states, kf, kb) = _emissions(p, x)
+        e, (states, kept) = _emissions(p, x)
         _, de, dtrans = _crf(p, e, y)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         grad["trans"] += dtrans
         grad["out"] += np.tensordot(states, de, ((0, 1), (0, 1)))
         grad["outbias"] += de.sum((0, 1))
-        ds = de @ p["out"].T
-        _lstm_gradient(p, "F", x, kf, ds[:, :, :HIDDEN], grad)
-        _lstm_gradient(p, "B", x[::-1], kb, ds[::-1, :, HIDDEN:], grad)
+        ds = (de @ p["out"].T).astype(np.float32)
+        _lstm_gradient(p, x, kept, np.stack([ds[:, :, :HIDDEN], ds[::-1, :, HIDDEN:]], axis=1), grad)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for k, g in grad.items():
