@@ -115,6 +115,20 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs, which SQL can afford on a small table.
+ORACLES["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+g AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, g.component_id, g.component_id = e.vec_id AS kept FROM embeddings e JOIN g USING (vec_id) LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 @query
 def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every embedding whose id is divisible by 20, among all the others."""

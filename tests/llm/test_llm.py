@@ -377,10 +377,28 @@ def test_warc_query_equals_sql(spark):
     import oracle
 
     sf = "/root/testdata/sf0.001"
-    for name in ("op6_warc_zstd", "op10_poisson_mix"):
+    for name in ("op6_warc_zstd", "op7_embedding_near_dedup", "op10_poisson_mix"):
         assert oracle.compare(queries.QUERIES[name](spark, sf), oracle.connect(sf), queries.ORACLES[name]) is None
 
 
+def test_links_of_embeddings_equal_sql(spark, tmp_path):
+    import oracle
+
+    _, df = vectors(spark, 300)
+    df.withColumn("embedding", F.col("embedding").cast("array<float>")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    name = "op7_embedding_near_dedup"
+    assert oracle.compare(queries.QUERIES[name](spark, str(tmp_path)), oracle.connect(str(tmp_path)), queries.ORACLES[name]) is None
+
+
+def test_rare_sources_equal_sql(spark, tmp_path):
+    import oracle
+
+    rows = [(i, "t", None, "rare" if i < 2 else "big", 1) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "op10_poisson_mix"
+    assert oracle.compare(queries.QUERIES[name](spark, str(tmp_path)), oracle.connect(str(tmp_path)), queries.ORACLES[name]) is None
+
+
 def test_broken_archives(spark):
     good = warc.archive([warc.record(i, "http://x", f"page {i} ".encode() * 200, None) for i in range(60)])
     assert struct.unpack_from("<I", good)[0] == warc.DICTIONARY_FRAME and struct.unpack_from("<I", good, 4)[0] > 0
