@@ -97,6 +97,13 @@ def mel_htk(f: Column) -> Column:
     return F.lit(1127.0) * F.log1p(f / 700)
 
 
+def quality(p: Column, floor: float = 0.25) -> Column:
+    """For speakers' probabilities: the log-odds of each, with all speakers' silence, less half the logarithm of two."""
+    log = lambda x: F.log(F.greatest(x, F.lit(floor)))
+    silent = F.aggregate(p, F.lit(0.0), lambda s, x: s + log(1 - x))
+    return F.transform(p, lambda x: log(x) - log(1 - x) + silent - F.log(F.sqrt(F.lit(2.0))))
+
+
 def confidence_alpha(logprob: Column) -> Column:
     """How strongly a token's background shows that it is unsure."""
     t = F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (logprob + 2) / 2)))

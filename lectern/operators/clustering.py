@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine
 
+from . import ranges
+
 
 def linkage(x: np.ndarray) -> np.ndarray:
     """Centroid linkage: rows (left, right, distance, size), the pair of nearest centroids each time, the smaller indices
@@ -147,12 +149,13 @@ def merge_small(df: DataFrame, vector: str, cluster: str, keep: list[str], least
 
 
 def compact(df: DataFrame, by: list[str], cluster: str, order: str, out: str) -> DataFrame:
-    """Labels 0, 1, ... by first appearance."""
-    from pyspark.sql import Window
-
+    """Labels 0, 1, ... by first appearance, in each group or, numbered over ranges of the order, in all."""
     first = df.groupBy(*by, cluster).agg(F.min(order).alias("__first"))
-    w = Window.partitionBy(*by).orderBy("__first") if by else Window.orderBy("__first")
-    return df.join(first.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("__first"), [*by, cluster])
+    if by:
+        first = first.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy("__first")))
+    else:
+        first = ranges.numbered(first, ["__first"], out)
+    return df.join(first.withColumn(out, (F.col(out) - 1).cast("long")).drop("__first"), [*by, cluster])
 
 
 def best_unique(score: np.ndarray) -> list[int]:

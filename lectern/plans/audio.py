@@ -18,7 +18,7 @@ from lectern.session import table
 from lectern.sources import exports, readers
 from lectern.streaming import stateful
 
-from .base import base_query, frames
+from .base import base_query, frames, speaker_frames
 from .registry import query
 
 
@@ -109,19 +109,10 @@ def _(spark, d):
     return s.select("audio_id", "s.percent", F.size("s.segments").cast("long").alias("segments"))
 
 
-def _diarized_frames(spark, d):
-    """Frames with four speakers' probabilities and an embedding of six dimensions."""
-    e = frames(spark, d).select("audio_id", "frame", "event_id")
-    wave = lambda s: F.abs((F.col("frame") * 23 + F.col("audio_id") * 11 + s * 50) % 200 - 100) / F.lit(100.0)
-    p = F.array(*[F.when(F.col("event_id") % 7 == 0, 0.02).otherwise(wave(s) * wave(s)) for s in range(4)])
-    x = F.array(*[((F.col("event_id") * (k + 3)) % 101) / F.lit(100.0) for k in range(6)])
-    return e.select("audio_id", "frame", x.alias("x"), p.alias("p"))
-
-
 @query("st_sortformer_cache")
 def _(spark, d):
     """The cache of each recording after all its frames have come as a stream, in three micro-batches."""
-    f = _diarized_frames(spark, d)
+    f = speaker_frames(spark, d)
     states = stateful.drained(f, lambda s: stateful.stream_cache(s, cache=32, queue=16), "frame", 3, "update")
     last = states.groupBy("audio_id").agg(F.max_by(F.struct("cached", "queued", "silent", "p_sum", "x_sum"), "batch").alias("s"))
     return last.select("audio_id", "s.*")
@@ -199,15 +190,25 @@ def energy():
     return step
 
 
-@query("st_vad_recurrent")
+@base_query("st_vad_recurrent", """WITH RECURSIVE s AS (SELECT audio_id, frame * 40 + k AS j, value / 100.0::DOUBLE - 0.5::DOUBLE AS x FROM frames, range(0, 40) r(k)),
+n AS (SELECT audio_id, count(*) // 512 AS windows FROM s GROUP BY audio_id),
+m AS MATERIALIZED (SELECT audio_id, win, sum(x * x) / 576 AS m FROM (SELECT audio_id, j // 512 AS win, x FROM s UNION ALL SELECT audio_id, j // 512 + 1, x FROM s WHERE j % 512 >= 448) t JOIN n USING (audio_id) WHERE win < windows GROUP BY audio_id, win),
+v(audio_id, win, p) AS (SELECT audio_id, win, 0.1::DOUBLE * m FROM m WHERE win = 0 UNION ALL SELECT m.audio_id, m.win, 0.9::DOUBLE * v.p + 0.1::DOUBLE * m.m FROM v JOIN m ON m.audio_id = v.audio_id AND m.win = v.win + 1)
+SELECT audio_id, win AS window, round(p, 7) AS p FROM v""")
 def _(spark, d):
     """Scores of a signal that comes as a stream, 40 samples a row, in three micro-batches."""
     x = (F.col("value") / F.lit(100.0)) - 0.5
     f = frames(spark, d).select("audio_id", F.col("frame").alias("pos"), F.array_repeat(x, 40).alias("x"))
-    return stateful.drained(f, lambda s: stateful.stream_scores(s, energy, [0.0]), "pos", 3).select("audio_id", "window", F.round("p", 9).alias("p"))
+    return stateful.drained(f, lambda s: stateful.stream_scores(s, energy, [0.0]), "pos", 3).select("audio_id", "window", F.round("p", 7).alias("p"))
 
 
-@query("st_continuous_batch")
+@query("st_continuous_batch", """WITH RECURSIVE c AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS steps, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+v(conv_id, turn, i, slot, enters, leaves, a, b, c) AS (
+  SELECT DISTINCT conv_id, NULL::BIGINT, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM c
+  UNION ALL SELECT conv_id, turn, i, slot, least(a, b, c), least(a, b, c) + steps, CASE slot WHEN 0 THEN a + steps ELSE a END, CASE slot WHEN 1 THEN b + steps ELSE b END, CASE slot WHEN 2 THEN c + steps ELSE c END
+  FROM (SELECT v.conv_id, x.turn, x.i, x.steps, v.a, v.b, v.c, CASE WHEN v.a <= v.b AND v.a <= v.c THEN 0 WHEN v.b <= v.c THEN 1 ELSE 2 END AS slot FROM v JOIN c x ON x.conv_id = v.conv_id AND x.i = v.i + 1)
+)
+SELECT conv_id, turn, slot::BIGINT AS slot, enters, leaves FROM v WHERE i > 0""")
 def _(spark, d):
     """Turns of a recording decoded in a batch of three: a turn takes a step a token, and the next one has its place as soon
     as it ends. Only the schedule; there is no device to run it."""

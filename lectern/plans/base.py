@@ -62,6 +62,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("audio_id"), "frame", F.col("event_type").alias("spk"), p.alias("p"), "event_id", "ts", "value")
 
 
+def speaker_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with four speakers' probabilities and an embedding of six dimensions."""
+    e = frames(spark, sf_dir).select("audio_id", "frame", "event_id")
+    wave = lambda s: F.abs((F.col("frame") * 23 + F.col("audio_id") * 11 + s * 50) % 200 - 100) / F.lit(100.0)
+    p = F.array(*[F.when(F.col("event_id") % 7 == 0, 0.02).otherwise(wave(s) * wave(s)) for s in range(4)])
+    x = F.array(*[((F.col("event_id") * (k + 3)) % 101) / F.lit(100.0) for k in range(6)])
+    return e.select("audio_id", "frame", x.alias("x"), p.alias("p"))
+
+
 #: The same tables as common table expressions.
 PRELUDE = """
 results AS (

@@ -9,7 +9,7 @@ from lectern.functions import text, times, vectors
 from lectern.session import table
 from lectern.sources import exports
 
-from .base import base_query, frames, results
+from .base import base_query, frames, results, speaker_frames
 from .registry import query
 
 _DOC = lambda spark, d: table(spark, d, "documents")
@@ -318,14 +318,19 @@ def _(spark, d):
     return n.select("audio_id", "win", "speaker", (F.col("e") / F.sum("e").over(Window.partitionBy("audio_id", "win")) >= 0.3).alias("active"))
 
 
-@base_query("ma_quality_score", "WITH q AS (SELECT audio_id, spk, frame, p, ln(greatest(p, 0.25::DOUBLE)) - ln(greatest(1 - p, 0.25::DOUBLE)) + ln(greatest(1 - p, 0.25::DOUBLE)) - ln(sqrt(2::DOUBLE)) AS s FROM frames), c AS (SELECT *, count(*) FILTER (WHERE p > 0.5::DOUBLE AND s > 0) OVER (PARTITION BY audio_id, spk) AS pos FROM q) SELECT audio_id, frame, round(CASE WHEN p <= 0.5::DOUBLE OR (s <= 0 AND pos >= 3) THEN NULL ELSE s END, 9) AS score FROM c")
+@base_query("ma_quality_score", """WITH w AS (SELECT audio_id, frame, event_id, s, abs((frame * 23 + audio_id * 11 + s * 50) % 200 - 100) / 100.0::DOUBLE AS w FROM frames, range(0, 4) r(s)),
+q AS (SELECT audio_id, frame, s, CASE WHEN event_id % 7 = 0 THEN 0.02::DOUBLE ELSE w * w END AS p FROM w),
+t AS (SELECT *, sum(ln(greatest(1 - p, 0.25::DOUBLE))) OVER (PARTITION BY audio_id, frame) AS silent FROM q),
+u AS (SELECT *, round(ln(greatest(p, 0.25::DOUBLE)) - ln(greatest(1 - p, 0.25::DOUBLE)) + silent - ln(sqrt(2::DOUBLE)), 9) AS score FROM t),
+c AS (SELECT *, count(*) FILTER (WHERE score > 0) OVER (PARTITION BY audio_id, s) AS pos FROM u)
+SELECT audio_id, frame, s AS spk, CASE WHEN p <= 0.5::DOUBLE OR (score <= 0 AND pos >= 3) THEN NULL ELSE score END AS score FROM c""")
 def _(spark, d):
-    lo = lambda c: F.log(F.greatest(c, F.lit(0.25)))
-    s = lo(F.col("p")) - lo(1 - F.col("p")) + lo(1 - F.col("p")) - F.log(F.sqrt(F.lit(2.0)))
-    q = frames(spark, d).withColumn("s", s)
-    pos = F.count(F.when((F.col("p") > 0.5) & (F.col("s") > 0), 1)).over(Window.partitionBy("audio_id", "spk"))
-    q = q.withColumn("pos", pos)
-    return q.select("audio_id", "frame", F.round(F.when(~((F.col("p") <= 0.5) | ((F.col("s") <= 0) & (F.col("pos") >= 3))), F.col("s")), 9).alias("score"))
+    """How telling every frame is of each of four speakers, given the silence of all of them."""
+    q = speaker_frames(spark, d).select("audio_id", "frame", F.posexplode(F.arrays_zip(F.col("p").alias("p"), vectors.quality(F.col("p")).alias("score"))).alias("spk", "x"))
+    q = q.select("audio_id", "frame", F.col("spk").cast("long").alias("spk"), F.col("x.p").alias("p"), F.round("x.score", 9).alias("score"))
+    pos = F.count(F.when(F.col("score") > 0, 1)).over(Window.partitionBy("audio_id", "spk"))
+    masked = (F.col("p") <= 0.5) | ((F.col("score") <= 0) & (F.col("pos") >= 3))
+    return q.withColumn("pos", pos).select("audio_id", "frame", "spk", F.when(~masked, F.col("score")).alias("score"))
 
 
 @base_query("ma_confidence_alpha", "SELECT audio_id, frame, round((1 - t * t) * 200, 6) AS alpha FROM (SELECT audio_id, frame, sqrt(greatest(0, least(1, (2 - 3 * p) / 2))) AS t FROM frames)")

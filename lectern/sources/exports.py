@@ -25,8 +25,8 @@ def json_record(formatted: bool = True) -> Column:
     return F.to_json(F.struct("speaker", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"), "text"))
 
 
-def cue_number(within: str | None = None, order: tuple[str, ...] = ("start", "id")) -> Column:
-    return F.row_number().over((Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))).orderBy(*order))
+def cue_number(within: str, order: tuple[str, ...] = ("start", "id")) -> Column:
+    return F.row_number().over(Window.partitionBy(within).orderBy(*order))
 
 
 def srt_cue(number: Column, bracket: bool = False, wrap: bool = False) -> Column:

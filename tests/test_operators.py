@@ -1,6 +1,7 @@
 """Operators on small inputs worked out by hand, and against plain folds."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times
-from lectern.operators import clustering, decoding, evaluation, joins, ranking, sequence, store
+from lectern.operators import clustering, decoding, evaluation, joins, ranges, ranking, sequence, store
 from lectern.sources import exports, readers
 
 
@@ -245,3 +246,66 @@ def test_features():
     hum = np.sin(np.arange(16000) / 16000 * 2 * np.pi * 50)
     assert np.abs(audio.clean_up(hum)[8000:]).max() < 0.1 and np.abs(audio.clean_up(x)[8000:]).max() > 0.8
     assert abs(len(audio.resample(x, 8000)) - 32000) <= 1 and audio.log_mel(x[:0]).shape[1] == 128
+
+
+#: Ranges of code points of scripts (fixed values) and a line in each.
+SCRIPTS = {
+    "hi": ([(0x0900, 0x097F)], "नमस्ते दुनिया, यह एक वाक्य है"),
+    "bn": ([(0x0980, 0x09FF)], "ওহে বিশ্ব, এটি একটি বাক্য"),
+    "ta": ([(0x0B80, 0x0BFF)], "வணக்கம் உலகம் இது ஒரு வாக்கியம்"),
+    "te": ([(0x0C00, 0x0C7F)], "హలో ప్రపంచం ఇది ఒక వాక్యం"),
+    "ur": ([(0x0600, 0x06FF), (0x0750, 0x077F)], "ہیلو دنیا یہ ایک جملہ ہے"),
+}
+
+
+def test_script_of_a_transcript(spark):
+    for lang, (ranges, line) in SCRIPTS.items():
+        df = spark.createDataFrame([(line,), ("hello " + "x" * len(line),), ("  \n",)], "text string")
+        own, other, none = [r[0] for r in df.select(text.script_fraction(F.col("text"), ranges)).collect()]
+        solid = re.sub(r"\s", "", line)
+        assert own == pytest.approx(sum(any(a <= ord(c) <= b for a, b in ranges) for c in solid) / len(solid)), lang
+        assert own >= 0.7 and other == 0 and none is None and len(solid) >= 3, lang
+
+
+def test_backoff_of_unknown_words():
+    lm = decoding.Backoff({"1": (-1.0, -0.5), "2": (-2.0, -0.25), "1 2": (-0.3, -0.1), "<unk>": (-5.0, 0.0)}, 3, -5.0)
+    ten = np.log(10)
+    assert lm((), 2) == pytest.approx(-2 * ten) and lm((1,), 2) == pytest.approx(-0.3 * ten)
+    assert lm((2,), 1) == pytest.approx((-1 - 0.25) * ten)  # the bigram is missing
+    assert lm((1, 2), 1) == pytest.approx((-1 - 0.1 - 0.25) * ten)
+    assert lm((1, 2), 9) == pytest.approx(-5 * ten)  # the word too: no backoffs
+
+
+def test_running_values_over_ranges(spark):
+    r = np.random.default_rng(5)
+    rows_ = [(s, int(i), None if r.random() < 0.7 else int(i), int(r.integers(0, 9))) for s in ("a", None) for i in r.choice(200, 90, replace=False)]
+    df = spark.createDataFrame(rows_, "s string, i long, v long, n long")
+    got = {(x["s"], x["i"]): (x["last"], x["sum"]) for x in ranges.sum_before(ranges.preceding(df, ["s"], "i", F.col("v"), "last", 16), ["s"], "i", "n", "sum", 16).collect()}
+    for s, i, _, _ in rows_:
+        before = sorted((j, v, n) for t, j, v, n in rows_ if t == s and j < i)
+        assert got[s, i] == (next((v for _, v, _ in reversed(before) if v is not None), None), sum(n for _, _, n in before))
+    places = [x["k"] for x in ranges.numbered(df.where("s = 'a'"), ["i"], "k", 16).orderBy("i").collect()]
+    assert places == list(range(1, 91))
+
+
+def test_streams_of_files(spark):
+    import io
+    import struct
+    import wave
+
+    f = io.BytesIO()
+    with wave.open(f, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(b"\x01\x00\xff\xff" * 10)
+    flac = b"fLaC" + b"\x00\x00\x00\x22" + b"\x00" * 10 + ((44100 << 44) | (1 << 41) | (15 << 36) | 1234).to_bytes(8, "big") + b"\x00" * 16
+    au = b".snd" + struct.pack(">5I", 24, 80, 3, 22050, 2) + b"\x00" * 80
+    aiff = b"FORM" + struct.pack(">I", 46) + b"AIFF" + b"COMM" + struct.pack(">IhIhHQ", 18, 1, 99, 16, 0x400E, 0xAC44 << 48)
+    assert readers.probe(f.getvalue()) == [(0, "pcm_16", 8000, 2, 10)] and readers.probe(flac) == [(0, "flac_16", 44100, 2, 1234)]
+    assert readers.probe(au) == [(0, "au_3", 22050, 2, 20)] and readers.probe(aiff) == [(0, "aiff_16", 44100, 1, 99)]
+    assert readers.probe(b"") == readers.probe(b"RIFFxxxxWAVE") == readers.probe(b"OggS") == []
+    files = spark.createDataFrame([("a", f.getvalue()), ("b", b"junk"), ("c", None)], "path string, content binary")
+    assert [tuple(x) for x in readers.audio_streams(files).collect()] == [("a", 0, "pcm_16", 8000, 2, 10)]
+    first, second = (sorted(tuple(x)[:3] for x in readers.read_stream(files, i).collect()) for i in (0, 1))
+    assert first == [("a", 8000, 2), ("b", None, None), ("c", None, None)] and second == [(k, None, None) for k in "abc"]
