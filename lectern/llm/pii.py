@@ -345,16 +345,36 @@ def reconciled(e: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out / weight
 
 
+#: Zones decoded together, about, and characters from which a text is read in parts that end with lines.
+TOGETHER, PART = 2048, 1 << 20
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text: whole, or for a long one parts that end with the first line end after PART characters."""
+    at = 0
+    while len(text) - at > PART and (end := text.find("\n", at + PART)) >= 0:
+        yield at, text[at : end + 1]
+        at = end + 1
+    yield at, text[at:] if at else text
+
+
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the tagger finds in each text. What overlapping windows say of a character is averaged,
     and one Viterbi pass over all of a text's zones in a row, between line ends, which no span crosses, sets the tags."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    parts = [(k, at, part) for k, text in enumerate(texts) for at, part in _parts(text)]
+    found: list[list[tuple[int, int, int]]] = [[] for _ in parts]
     some: list[tuple[int, int]] = []
-    for k, text in enumerate(texts):
-        some += [(k, z) for z in _zones(text)]
-        if len(some) >= 2048 or (k == len(texts) - 1 and some):
-            _decode(p, texts, some, out)
-            some = []
+    for n, (_, _, part) in enumerate(parts):
+        for z in _zones(part):
+            if len(some) >= TOGETHER and some[-1] != (n, z - 1):  # a gap, so nothing goes on
+                _decode(p, [x for _, _, x in parts], some, found)
+                some = []
+            some.append((n, z))
+    if some:
+        _decode(p, [x for _, _, x in parts], some, found)
+    for (k, at, _), spans in zip(parts, found, strict=True):
+        out[k] += [(kind, a + at, b + at) for kind, a, b in spans]
     return out
 
 

@@ -28,6 +28,20 @@ def test_pii_long_repeated_and_overlapping(spark):
     assert pii.redact(docs.limit(0)).count() == 0 and pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_parts_and_groups_change_nothing(monkeypatch):
+    weights = pii.trained()
+    line = "call (569) 555-4877 or write bob (at) example (dot) com, no. 12\n"
+    texts = [line * 40 + "words without any\n" * 30 + line, "", "x 1 " * 900, line]
+    whole = pii.model_spans(weights, texts)
+    assert len(whole[0]) >= 80
+    monkeypatch.setattr(pii, "TOGETHER", 3)
+    assert pii.model_spans(weights, texts) == whole
+    monkeypatch.setattr(pii, "PART", 200)
+    assert [(at, len(x)) for at, x in pii._parts(texts[0])][:2] == [(0, 4 * len(line)), (4 * len(line), 4 * len(line))]
+    inner = [len(s) for s in pii.model_spans(weights, texts)]
+    assert abs(inner[0] - len(whole[0])) <= 4 and inner[1:] == [len(s) for s in whole[1:]]
+
+
 def test_bytes_of_awkward_texts(spark):
     texts = ["", None, "\x00\x7f", "😀" * 3000, "a" * 300_000, "  \n\t ", "<|endoftext|>", "é‍"]
     docs = spark.createDataFrame([*enumerate(texts), (4, texts[4])], TEXT).withColumns({"ids": F.lit("x"), "n_tokens": F.lit("y")})
