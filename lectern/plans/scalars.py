@@ -24,7 +24,7 @@ def _(spark, d):
 
 @query("sc_peoples_norm", "SELECT doc_id, upper(substr(trim(lower(text)), 1, 1)) || substr(trim(lower(text)), 2) AS line FROM documents")
 def _(spark, d):
-    return _DOC(spark, d).select("doc_id", text.peoples_norm(F.lower("text")).alias("line"))
+    return _DOC(spark, d).select("doc_id", text.peoples_norm(text.lowered(F.col("text"))).alias("line"))
 
 
 @query("sc_sentence_split", f"WITH p AS (SELECT doc_id, {_SQ.format('unnest(string_split_regex(text, chr(10) || chr(92) || chr(115) || chr(42) || chr(10)))')} AS p FROM documents), s AS (SELECT doc_id, unnest(string_split(regexp_replace(p, '([.!?]) ([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM p) SELECT doc_id, trim(s) AS sentence, count(*) AS n FROM s WHERE length(trim(s)) > 0 GROUP BY ALL")

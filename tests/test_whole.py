@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from lectern import plans
 from lectern.plans import registry
 
@@ -130,3 +131,12 @@ def test_documents_of_every_language(spark, tables):
     of = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert run(spark, "sc_sentence_split", SF) == sorted((i, s, n) for i, x in of.items() for s, n in split(x).items())
     assert {i for i, _ in run(spark, "sc_peoples_norm", SF)} == set(of)
+
+
+def test_every_letter_has_the_case_of_sql(spark, tables):
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    newer = [*"\u1c89\u1c8a\ua7cb\ua7cc\ua7cd\ua7da\ua7db\ua7dc", *map(chr, range(0x10D50, 0x10D86))]
+    letters = [x for x in every if x.lower() != x or x.upper() != x or x.isspace()] + newer
+    texts = [*letters, *[f"a{x}" for x in letters], "ΑΣ ΒΣ", "İzmir", "　 ßheit  ", "", "  ", None]
+    d = tables(documents=([(i, x) for i, x in enumerate(texts)], "doc_id long, text string"))
+    assert oracle.compare(registry.QUERIES["sc_peoples_norm"](spark, d), oracle.connect(d), registry.ORACLES["sc_peoples_norm"]) is None
