@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -54,16 +55,49 @@ def _mapped(v: Column, run: Callable[[np.ndarray], np.ndarray]) -> Column:
     return apply(v)
 
 
-def _lengthened(x: np.ndarray) -> np.ndarray:
+def _fused(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """x times the transpose of rows as SQL sums it: dimension by dimension, each product added before it is rounded."""
+
+    def one(v: list[float], r: list[float]) -> float:
+        total = 0.0
+        for p, q in zip(v, r, strict=True):
+            total = math.fma(p, q, total)
+        return total
+
+    r = rows.tolist()
+    return np.array([[one(v, k) for k in r] for v in x.tolist()]).reshape(len(x), len(r))
+
+
+def _lengthened(x: np.ndarray, fused: bool = False) -> np.ndarray:
     """Rows of the length of the root of the dimension."""
-    n = np.sqrt((x * x).sum(1, keepdims=True))
+    n = np.sqrt(np.array([_fused(v[None], v[None])[0] for v in x]).reshape(len(x), 1) if fused else (x * x).sum(1, keepdims=True))
     return x / np.where(n > 0, n, 1) * np.sqrt(x.shape[1])
 
 
-def whitened(v: Column, mean: list[float], rows: list[list[float]], mean_after: list[float]) -> Column:
-    """Centred and of the length of the root of the dimension; mapped by rows; then the same again with the second mean."""
+def rounded(v: Column, digits: int) -> Column:
+    """Halves away from zero of the number times a power of ten, as SQL does, the sign of zero kept; F.round takes the
+    halves of the decimal digits and has no such sign."""
+    x = v * F.lit(10.0**digits)
+    whole = F.floor(F.abs(x)).cast("double")
+    up = whole + F.when(F.abs(x) - whole >= 0.5, 1.0).otherwise(0.0)
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), v).otherwise(up * F.when(x.cast("string").startswith("-"), -1.0).otherwise(1.0) / F.lit(10.0**digits))
+
+
+def whitened(v: Column, mean: list[float], rows: list[list[float]], mean_after: list[float], digits: int | None = None) -> Column:
+    """Centred and of the length of the root of the dimension; mapped by rows; then the same again with the second mean.
+    With digits, vectors whose numbers are so near to a half of the last digit, or to zero, that the order of sums could
+    decide are summed as SQL does, so that rounded() gives its digits."""
     m, r, a = np.array(mean), np.array(rows), np.array(mean_after)
-    return _mapped(v, lambda x: _lengthened(_lengthened(x - m) @ r.T - a))
+
+    def run(x: np.ndarray) -> np.ndarray:
+        y = _lengthened(_lengthened(x - m) @ r.T - a)
+        if digits is not None:
+            scaled = np.abs(y) * 10.0**digits
+            near = np.flatnonzero(((np.abs(scaled % 1 - 0.5) < 1e-3) | (scaled < 1e-3)).any(1))
+            y[near] = _lengthened(_fused(_lengthened(x[near] - m, True), r) - a, True)
+        return y
+
+    return _mapped(v, run)
 
 
 def projected(v: Column, mean: list[float], rows: list[list[float]]) -> Column:

@@ -261,18 +261,18 @@ _XVEC = f"""a AS (SELECT vec_id, list_transform(embedding, lambda z, i: z::DOUBL
 m AS (SELECT vec_id, list_transform(n, lambda z: z * sqrt(64::DOUBLE)) AS n FROM b), l AS (SELECT vec_id, {_SQL_MAP("n", _LDA)} AS y FROM m), o AS (SELECT vec_id, list_transform(y, lambda z, i: z - ({_SQL_LIST(_MEAN2)})[i]) AS y FROM l), x AS (SELECT vec_id, list_transform({_SQL_NORM("y")}, lambda z: z * sqrt(32::DOUBLE)) AS y FROM o)"""
 
 
-def _xvectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", vectors.whitened(F.col("embedding"), _MEAN1, _LDA, _MEAN2).alias("y"))
+def _xvectors(spark, d, digits=None):
+    return table(spark, d, "embeddings").select("vec_id", vectors.whitened(F.col("embedding"), _MEAN1, _LDA, _MEAN2, digits).alias("y"))
 
 
 @query("ma_xvec_tf", f"WITH {_XVEC} SELECT vec_id, list_transform(y, lambda z: round(z, 6)) AS y FROM x")
 def _(spark, d):
-    return _xvectors(spark, d).select("vec_id", F.transform("y", lambda z: F.round(z, 6)).alias("y"))
+    return _xvectors(spark, d, 6).select("vec_id", F.transform("y", lambda z: vectors.rounded(z, 6)).alias("y"))
 
 
 @query("ma_plda_tf", f"WITH {_XVEC}, c AS (SELECT vec_id, list_transform(y, lambda z, i: z - ({_SQL_LIST(_MEAN2)})[i]) AS c FROM x), p AS (SELECT vec_id, {_SQL_MAP('c', _PLDA)} AS y FROM c) SELECT vec_id, list_transform(y, lambda z: round(z, 6)) AS y FROM p")
 def _(spark, d):
-    return _xvectors(spark, d).select("vec_id", F.transform(vectors.projected(F.col("y"), _MEAN2, _PLDA), lambda z: F.round(z, 6)).alias("y"))
+    return _xvectors(spark, d).select("vec_id", F.transform(vectors.projected(F.col("y"), _MEAN2, _PLDA), lambda z: vectors.rounded(z, 6)).alias("y"))
 
 
 @query("ma_mel_slaney", "SELECT event_id, round(CASE WHEN f < 1000 THEN f * 3 / 200 ELSE 15 + ln(f / 1000) / (ln(6.4::DOUBLE) / 27) END, 9) AS mel FROM (SELECT event_id, value * 20 AS f FROM events)")

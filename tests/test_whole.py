@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import oracle
 from lectern import plans
-from lectern.plans import registry
+from lectern.functions import vectors
+from lectern.plans import registry, scalars
 
 SF = "/root/testdata/sf0.001"
 plans.load()
@@ -140,3 +141,14 @@ def test_every_letter_has_the_case_of_sql(spark, tables):
     texts = [*letters, *[f"a{x}" for x in letters], "ΑΣ ΒΣ", "İzmir", "　 ßheit  ", "", "  ", None]
     d = tables(documents=([(i, x) for i, x in enumerate(texts)], "doc_id long, text string"))
     assert oracle.compare(registry.QUERIES["sc_peoples_norm"](spark, d), oracle.connect(d), registry.ORACLES["sc_peoples_norm"]) is None
+
+
+def test_whitened_vectors_are_those_of_sql_to_the_bit(spark):
+    con = oracle.connect(SF)
+    got = {r["vec_id"]: r["y"] for r in scalars._xvectors(spark, SF, 8).collect()}  # near a half of so many digits: some rows
+    want = dict(con.execute(f"WITH {scalars._XVEC} SELECT vec_id, y FROM x").fetchall())
+    near = [i for i, y in want.items() if any(abs(abs(v) * 1e8 % 1 - 0.5) < 5e-4 for v in y)]
+    assert near and all(got[i] == want[i] for i in near) and got.keys() == want.keys()
+    x = [-1e-7, -0.0, 0.0, 1e-7, -4.9e-7, 5e-7, -5e-7, 1.0000005, -1.0000015, 2.0000025, 1.4999999999, 5e15, float("nan"), float("inf"), None]
+    near = spark.createDataFrame([(v,) for v in x], "x double").select(vectors.rounded(F.col("x"), 6)).collect()
+    assert [str(r[0]) for r in near] == [str(con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in x]
