@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,36 +15,157 @@ from lectern.functions.vectors import cosine
 from . import ranges
 
 
+#: A cluster of so many items keeps so many of the clusters nearest to it when it searched all.
+LARGE, NEIGHBOURS = 32, 1024
+
+
+class _Clusters:
+    """Centres of the clusters that are there, and exact searches for the nearest one. Centres less their mean, in single
+    precision, say which few can be the nearest; distances themselves are in double precision from the centres."""
+
+    def __init__(self, x: np.ndarray):
+        n, self.dim = x.shape
+        self.centre = np.zeros((2 * n - 1, self.dim))
+        self.centre[:n] = x
+        self.there = np.zeros(2 * n - 1, bool)
+        self.there[:n] = True
+        good = np.isfinite(x).all(1)
+        self.mean = x[good].mean(0) if good.any() else np.zeros(self.dim)
+        moved = np.where(good[:, None], x - self.mean, 0)
+        norms = (moved * moved).sum(1)
+        self.most = norms.max()
+        kind = np.float32 if 1e-20 < self.most < 1e30 else np.float64
+        self.ids, self.low, self.square = np.arange(n), moved.astype(kind), np.where(good, norms, np.inf).astype(kind)
+        self.ids, self.low, self.square = (np.concatenate([v, np.zeros((n // 8 + 64, *v.shape[1:]), v.dtype)]) for v in (self.ids, self.low, self.square))
+        self.count, self.gone = n, 0
+        self.slack = 4 * (self.dim + 16) * float(np.finfo(kind).eps) * self.most  # twice what a product's roundings can come to
+
+    def add(self, k: int) -> None:
+        if self.count == len(self.ids):
+            keep = np.flatnonzero(self.there[self.ids])
+            keep = keep[self.ids[keep] != k]
+            for v in (self.ids, self.low, self.square):
+                v[: len(keep)] = v[keep]
+            self.count = len(keep)
+        at, v = self.count, self.centre[k] - self.mean
+        good = np.isfinite(v).all()
+        self.ids[at], self.low[at], self.square[at] = k, v if good else 0, v @ v if good else np.inf
+        self.there[k] = True
+        self.count += 1
+
+    def remove(self, k: int) -> None:
+        self.there[k] = False
+        self.square[np.searchsorted(self.ids[: self.count], k)] = np.inf
+
+    def exact(self, some: np.ndarray, j: int) -> np.ndarray:
+        return ((self.centre[some] - self.centre[j]) ** 2).sum(1)
+
+    def pick(self, some: np.ndarray, j: int) -> tuple[float, int]:
+        """The least distance and the smallest cluster that has it; some are in order and not empty."""
+        d = self.exact(some, j)
+        d[np.isnan(d)] = np.inf
+        at = int(d.argmin())
+        return float(d[at]), int(some[at])
+
+    def search(self, j: int, keep: bool = False) -> tuple[float, int, tuple | None]:
+        """The nearest cluster before j that is there, if any; with keep also what near() takes."""
+        p = int(np.searchsorted(self.ids[: self.count], j))
+        v = self.centre[j] - self.mean
+        if not np.isfinite(v).all():
+            before = self.ids[:p][self.there[self.ids[:p]]]
+            return (np.inf, int(before[0]), None) if len(before) else (np.inf, -1, None)
+        about = self.square[:p] - 2 * (self.low[:p] @ v.astype(self.low.dtype))
+        least = about.min() if p else np.inf
+        if not np.isfinite(least):  # none but those that aren't finite
+            before = self.ids[:p][self.there[self.ids[:p]]]
+            return (np.inf, int(before[0]), None) if len(before) else (np.inf, -1, None)
+        d, i = self.pick(self.ids[np.flatnonzero(about <= least + 2 * self.slack)], j)
+        if not keep or p <= 2 * NEIGHBOURS:
+            return d, i, None
+        part = np.argpartition(about, NEIGHBOURS)[: NEIGHBOURS + 1]
+        part = part[np.argsort(about[part], kind="stable")]
+        least = np.sqrt(np.maximum(about[part].astype(float) + float(v @ v) - self.slack, 0))
+        return d, i, (self.centre[j].copy(), self.ids[part[:-1]], least, j)
+
+    def near(self, j: int, known: tuple) -> tuple[float, int] | None:
+        """The nearest cluster before j from what a search from another centre kept, if that suffices: all others that were
+        there then are at least as far from j as they were from that centre, less how far j is from it."""
+        centre, some, least, then = known
+        later = self.ids[np.searchsorted(self.ids[: self.count], then) : self.count]
+        if len(later) > NEIGHBOURS:
+            return None
+        moved = np.sqrt(((self.centre[j] - centre) ** 2).sum())
+        later = later[later < j]
+        for many in (64, NEIGHBOURS):
+            tried = np.sort(np.concatenate([some[:many], later]))
+            tried = tried[self.there[tried]]
+            if len(tried):
+                d, i = self.pick(tried, j)
+                if np.sqrt(d) < (least[min(many, NEIGHBOURS)] - moved) * (1 - 1e-9):
+                    return d, i
+        return None
+
+    def first(self) -> Iterator[tuple[float, int, int]]:
+        """(distance, i, j) of the nearest cluster i before each of the first ones j."""
+        n, a = self.count, 1
+        left = np.concatenate([-2 * self.low[:n], np.ones((n, 1), self.low.dtype)], axis=1)
+        right = np.concatenate([self.low[:n], self.square[:n, None]], axis=1)
+        while a < n:
+            b = min(n, a + max(1, (1 << 20) // (a + 1)), 2 * a)
+            about = left[a:b] @ right[:b].T
+            about[:, a:][np.triu_indices(b - a)] = np.inf
+            limit = about.min(1) + 2 * self.slack
+            row, col = np.divmod(np.flatnonzero(about <= limit[:, None]), b)
+            ends = np.searchsorted(row, np.arange(b - a + 1))
+            for r in range(b - a):
+                j = a + r
+                if np.isfinite(limit[r]) and np.isfinite(self.square[j]):
+                    d, i = self.pick(col[ends[r] : ends[r + 1]], j)
+                else:
+                    d, i = np.inf, 0
+                yield d, i, j
+            a = b
+
+
 def linkage(x: np.ndarray) -> np.ndarray:
     """Centroid linkage: rows (left, right, distance, size), the pair of nearest centroids each time, the smaller indices
-    on ties; clusters are numbered from n on. Distances are kept, and a merge computes those of its centroid alone."""
+    on ties; clusters are numbered from n on. What isn't finite is at no distance and comes last.
+
+    A cluster knows the nearest of those before it. As long as it is there these only become fewer, so what it knows
+    stays a lower bound, and it searches again only where its bound is the least of all. A large cluster moves little in
+    a merge and mostly finds its nearest among those near it before. Memory grows with the items, not with their pairs."""
     n = len(x)
-    m = max(0, 2 * n - 1)
-    centre, size = np.zeros((m, x.shape[1] if n else 0)), np.ones(m, np.int64)
-    centre[:n] = x
-    d = np.full((m, m), np.inf)
-    for i in range(n - 1):
-        d[i, i + 1 : n] = ((centre[i + 1 : n] - centre[i]) ** 2).sum(1)
-    nearest = d.argmin(1) if m else np.empty(0, int)  # of the clusters after each one
-    least, out = d[np.arange(m), nearest], []
-    there = np.arange(m) < n
-    for k in range(n, m):
-        i = int(least.argmin())
-        j = int(nearest[i])
-        out.append((i, j, float(np.sqrt(least[i])), int(size[i] + size[j])))
+    if n < 2:
+        return np.empty((0, 4))
+    c, size, out = _Clusters(x), np.ones(2 * n - 1, np.int64), []
+    queue = list(c.first())
+    heapq.heapify(queue)
+    around: dict[int, tuple] = {}
+    for k in range(n, 2 * n - 1):
+        while True:
+            d, i, j = heapq.heappop(queue)
+            if not c.there[j]:
+                continue
+            if c.there[i]:
+                break
+            d, i, known = c.search(j)
+            if i >= 0:
+                heapq.heappush(queue, (d, i, j))
         size[k] = size[i] + size[j]
-        centre[k] = (centre[i] * size[i] + centre[j] * size[j]) / size[k]
-        for gone in (i, j):
-            d[gone], d[:, gone], least[gone] = np.inf, np.inf, np.inf
-        there[[i, j]] = False
-        alive = np.flatnonzero(there[:k])
-        there[k] = True
-        d[alive, k] = ((centre[alive] - centre[k]) ** 2).sum(1)
-        lost = alive[np.isin(nearest[alive], (i, j))]
-        nearest[lost] = d[lost].argmin(1)
-        least[lost] = d[lost, nearest[lost]]
-        closer = alive[d[alive, k] < least[alive]]
-        nearest[closer], least[closer] = k, d[closer, k]
+        out.append((i, j, float(np.sqrt(d)), int(size[k])))
+        c.centre[k] = (c.centre[i] * size[i] + c.centre[j] * size[j]) / size[k]
+        c.remove(i)
+        c.remove(j)
+        c.add(k)
+        parts = around.pop(i, None), around.pop(j, None)
+        known = parts[0] if size[i] >= size[j] else parts[1]
+        found = c.near(k, known) if known else None
+        if found is None:
+            *found, known = c.search(k, size[k] >= LARGE)
+        if known:
+            around[k] = known
+        if found[1] >= 0:
+            heapq.heappush(queue, (*found, k))
     return np.array(out).reshape(-1, 4)
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -364,3 +365,17 @@ def test_greedy_asks_again_at_the_same_frame():
     out = decoding.tdt_greedy(step, 3, 0)
     assert [t for t, *_ in out] == [0] * 10 + [1] * 2 and asked == [0] * 10 + [1, 1, 1, 2]
     assert out[0][3] == pytest.approx(1 - math.log(1 + math.e + math.exp(0.5)))
+
+
+def test_linkage_needs_no_table_of_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(3 * k, 1, (20, 6)) for k in range(4)] + [np.repeat(r.integers(0, 3, (5, 6)), 3, axis=0)])
+    monkeypatch.setattr(clustering, "LARGE", 2, raising=False)
+    monkeypatch.setattr(clustering, "NEIGHBOURS", 8, raising=False)
+    assert np.allclose(clustering.linkage(x), plain_merges(list(x)))
+    x = r.normal(size=(1500, 16))
+    tracemalloc.start()
+    assert clustering.linkage(x)[-1, 3] == 1500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a double for every two clusters: 72e6
