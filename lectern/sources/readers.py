@@ -44,7 +44,7 @@ def file_names(spark: SparkSession, path: str, pattern: str = "train-*.parquet")
 
 def arpa(spark: SparkSession, path: str) -> DataFrame:
     """(order, gram array<int>, logp, backoff) of an ARPA file, gzip or not. Entries with words that aren't ids below
-    2^14 are left out; <unk> comes as an order of 0. Lines keep their order by file position, so one file is one task."""
+    2^14 are left out; <unk> comes as an order of 0. Lines keep their order by file position, blocks are read side by side."""
     return arpa_entries(_file_lines(spark, path))
 
 
@@ -54,18 +54,20 @@ def arpa_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    return whole.select(F.posexplode("lines").alias("pos", "line"))
+    """(pos, line): pos orders the lines of a file by the block they are in and their place there, whatever task reads it."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return spark.read.text(path, lineSep="\n").select(at.alias("pos"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
 def _arpa_rows(lines: DataFrame) -> DataFrame:
     """(order, words, logp, backoff) of (pos, line): a line belongs to the last section begun before it. The sections are
-    as few as orders, so their places come as one array instead of a window over all lines."""
+    as few as orders, so they come as ranges of places instead of a window over all lines."""
     mark = F.regexp_extract("line", r"^\\(\d+)-grams:", 1).try_cast("int")
     marks = lines.where(F.col("line").startswith("\\")).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(mark, F.lit(0)).alias("order")))).alias("marks"))
-    last = F.element_at(F.filter("marks", lambda m: m["pos"] <= F.col("pos")), -1)["order"]
+    section = F.transform("marks", lambda m, i: F.struct(m["order"].alias("order"), m["pos"].alias("begin"), F.get("marks", i + 1)["pos"].alias("next")))
+    sections = marks.select(F.inline(section)).where("order > 0")
     parts = F.split("line", "\t")
-    body = lines.where("line like '%\t%'").join(F.broadcast(marks)).withColumn("order", last).where("order > 0")
+    body = lines.where("line like '%\t%'").join(F.broadcast(sections), (F.col("pos") > F.col("begin")) & (F.col("next").isNull() | (F.col("pos") < F.col("next"))))
     return body.select("order", F.split(F.trim(parts[1]), r"\s+").alias("words"), parts[0].try_cast("double").alias("logp"), F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(0.0)).alias("backoff")).where("logp is not null")
 
 

@@ -309,3 +309,19 @@ def test_streams_of_files(spark):
     assert [tuple(x) for x in readers.audio_streams(files).collect()] == [("a", 0, "pcm_16", 8000, 2, 10)]
     first, second = (sorted(tuple(x)[:3] for x in readers.read_stream(files, i).collect()) for i in (0, 1))
     assert first == [("a", 8000, 2), ("b", None, None), ("c", None, None)] and second == [(k, None, None) for k in "abc"]
+
+
+def test_an_arpa_file_is_read_in_blocks(spark, tmp_path):
+    lines = ["\\data\\", "ngram 1=500", "ngram 2=500", "", "\\1-grams:", *[f"-1.5\tw{i}\t-0.25\r" for i in range(500)], "", "\\2-grams:", *[f"-0.5\tw{i} w{i}" for i in range(500)], "", "\\end\\", "-9\tout"]
+    (tmp_path / "lm").mkdir()
+    (tmp_path / "lm" / "part-0.txt").write_bytes("\n".join(lines).encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1k")
+        got = readers.arpa_words(spark, str(tmp_path / "lm"))
+        assert got.rdd.getNumPartitions() > 4
+        assert sorted(tuple(r) for r in got.collect()) == sorted([(1, f"w{i}", -1.5, -0.25) for i in range(500)] + [(2, f"w{i} w{i}", -0.5, 0.0) for i in range(500)])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
