@@ -98,7 +98,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    return toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+    learn_from = remainder("doc_id", 3) != 1
+    return toxicity.fit(docs.where(learn_from), labels, learn_from)
 
 
 @query

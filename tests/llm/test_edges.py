@@ -142,6 +142,17 @@ def test_toxicity_of_awkward_rows(spark):
     assert m.score(pa.array(["vile words vile words", "kind words kind words"])).argmax() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """The toxic word is only in documents that come after 5000 others by the hash that deals them."""
+    ids = spark.range(5300).orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").toPandas()["id"].tolist()
+    rows = [(i, f"kind word {i % 50} here" + " vermino" * (k >= 5000), "en", int(k >= 5000)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows, (9000, "unlabelled", "xx", None)], TEXT + ", lang string, toxic int")
+    models = [toxicity.fit(df.repartition(k), df.select("doc_id", "toxic").repartition(k)) for k in (1, 5)]
+    assert models[0].score(pa.array(["kind word 7 here", "kind word vermino here"])).round().tolist() == [0, 1]
+    assert models[0].languages == ["en"]
+    assert all((a == models[1].p[k]).all() for k, a in models[0].p.items()) and (models[0].shift == models[1].shift).all()
+
+
 def test_mixing_of_awkward_rows(spark):
     rows = [(None, "a", "s"), (1, "b", None), (1, "b", None), (2, "c", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({k: F.lit(k) for k in ("__copy", "__rate", "__order", "__source", "__n", "rate", "id", "of", "row", "copy", "n", "s", "order")})
