@@ -208,7 +208,7 @@ class Model:
             for f, own in enumerate(flat):
                 own[row[which == f]] += mean[which == f].astype(np.float32)
         self.p = self.with_flat(flat[2]).p
-        self._set_thresholds(at.frame(at.sums(partial(_scores, self, flat), "lang int, z long, n long, t long", ["lang", "z"])))
+        self._set_thresholds(at.frame(at.sums(partial(_scores, self, flat), "own int, lang int, z long, n long, t long", ["own", "lang", "z"])))
         return self
 
     def _step(self, rows, index, begins, y, weight, m1, m2, step, rate) -> None:
@@ -268,6 +268,10 @@ class Model:
         wanted = np.log(CUT / (1 - CUT))
 
         def best(some: pd.DataFrame) -> float:
+            # the model of both folds has seen more and scores higher: not below what tells apart its own documents
+            return max(highest(some[some["own"] == k]) for k in (0, 1))
+
+        def highest(some: pd.DataFrame) -> float:
             some = some.groupby("z")[["n", "t"]].sum().sort_index(ascending=False)
             s, n, t = some.index.to_numpy() * STEP, some["n"].to_numpy(float), some["t"].to_numpy(float)
             if t.sum() == 0:
@@ -281,7 +285,7 @@ class Model:
         self.shift = np.full(len(self.languages) + 1, wanted - base, np.float32)
         for a in range(len(self.languages)):
             use = scored[scored["lang"] == a]
-            n = use["t"].sum()
+            n = use["t"][use["own"] == 0].sum()
             self.shift[a] = wanted - (n * best(use) + 10 * base) / (n + 10) if n else wanted - base
 
 
@@ -358,8 +362,9 @@ def _scores(model: Model, flat: list[np.ndarray], shards: Iterable[Shard]) -> It
     for s in shards:
         for lo in range(0, len(s.toxic), BATCH):
             batch = s.batch(np.arange(lo, min(lo + BATCH, len(s.toxic))))
-            z = np.rint(other[s.fold].logits(*batch) / STEP).astype(np.int64)
-            yield {"lang": model.language(*batch), "z": z, "n": np.ones(len(z), np.int64), "t": s.toxic[lo : lo + BATCH].astype(np.int64)}
+            for own, m in enumerate((other[s.fold], model)):
+                z = np.rint(m.logits(*batch) / STEP).astype(np.int64)
+                yield {"own": np.full(len(z), own), "lang": model.language(*batch), "z": z, "n": np.ones(len(z), np.int64), "t": s.toxic[lo : lo + BATCH].astype(np.int64)}
 
 
 class Here:
